@@ -166,7 +166,7 @@ z AS (SELECT *, s + length(txt) AS e, regexp_replace(txt, '[^0-9]', '', 'g') AS
   lower(substring(t, CAST(greatest(s - {REACH}, 0) + 1 AS BIGINT), CAST(least(s, {REACH}) AS BIGINT))) AS before FROM y),
 c AS (SELECT *, CASE kind
   WHEN 'email' THEN true
-  WHEN 'ip' THEN len(list_filter(string_split(txt, '.'), lambda q: length(ltrim(q, '0')) > 3 OR lpad(ltrim(q, '0'), greatest(3, length(ltrim(q, '0'))), '0') > '255')) = 0
+  WHEN 'ip' THEN len(list_filter(string_split(txt, '.'), lambda q: length(ltrim(q, '0')) > 3 OR lpad(ltrim(q, '0'), CAST(greatest(3, length(ltrim(q, '0'))) AS INTEGER), '0') > '255')) = 0
   WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j:
     CASE WHEN j % 2 = 0 THEN ascii(substring(digits, length(digits) - j, 1)) - 48
       ELSE (ascii(substring(digits, length(digits) - j, 1)) - 48) * 2 - CASE WHEN ascii(substring(digits, length(digits) - j, 1)) - 48 > 4 THEN 9 ELSE 0 END END)) % 10 = 0

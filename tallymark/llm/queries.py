@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, simhash
+from . import decontam, pii, simhash, topk, urlfilter
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -22,9 +26,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(read(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op7_decontamination, op9_pii)}
+    return {f.__name__: f for f in (op5_simhash, op6_url_filters, op7_decontamination, op9_pii, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontam.ORACLE, "op9_pii": pii.ORACLE}
+    return {"op6_url_filters": urlfilter.ORACLE, "op7_decontamination": decontam.ORACLE, "op9_pii": pii.ORACLE, "op10_topk": topk.ORACLE}
