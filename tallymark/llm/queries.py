@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, simhash, topk, urlfilter
+from . import decontam, pii, quality, simhash, topk, toxicity, urlfilter
 from .common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
@@ -32,7 +40,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_url_filters, op7_decontamination, op9_pii, op10_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_simhash, op6_url_filters, op7_decontamination, op9_pii, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
