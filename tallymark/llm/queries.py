@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, quality, simhash, topk, toxicity, urlfilter
+from . import decontam, lm, pii, quality, simhash, topk, toxicity, urlfilter
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_simhash, op6_url_filters, op7_decontamination, op9_pii, op10_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_interpolation, op3_quality, op5_simhash, op6_url_filters, op7_decontamination, op9_pii, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

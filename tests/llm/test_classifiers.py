@@ -92,7 +92,7 @@ def test_gradient_of_the_cumulative_link():
     # the fitted likelihood cannot be improved by moving any threshold a little
     r = random.Random(3)
     rows = [(g, bytes([97 + g]) * 20 + r.randbytes(20)) for g in range(3) for _ in range(60)]
-    m = quality.fit(rows, {0: 60, 1: 60, 2: 60}, steps=2000, ridge=1e-2)
+    m = quality.fit(rows, {0: 60, 1: 60, 2: 60}, steps=400, ridge=1e-2)
 
     def loss(t):
         tails = quality.Model(m.grades, m.weights, t).tails([x for _, x in rows])
