@@ -137,6 +137,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out.select("doc_id", "text_hash", "n_words", "n_hit", "item_ids", "contaminated", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).drop("copy")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns. What is dropped is few, and found by id and text."""
+    found = stash(contamination(docs, benchmark).filter("contaminated").select("doc_id", "text_hash").distinct())
+    key = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__hash"))
+    return docs.join(small(key, found.count()), same, "left_anti")
+
+
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     c = contamination(docs, benchmark)
     return c.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

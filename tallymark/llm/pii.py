@@ -140,6 +140,12 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.element_at(F.transform(F.array(spans_of), lambda f: F.when(F.size(f) == 0, t).otherwise(cut(f))), 1)))
 
 
+def masked(docs: DataFrame) -> DataFrame:
+    """redacted(docs), with n_chars, where there is one, as the length of the new text."""
+    out = redacted(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def query(docs: DataFrame) -> DataFrame:
     found = spans(docs)
     name = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])

@@ -225,3 +225,19 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(rooted.join(lowest, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of docs for each component: that of its smallest doc_id, with its columns.
+
+    Rows without an id cannot be named and all stay; of rows that repeat the smallest id, the one with the smallest text
+    stays.
+    """
+    found = components(docs.select("doc_id", "text"), shingle=shingle, max_bits=max_bits)
+    kept = stash(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
+    named = docs.join(kept, "doc_id").select(*docs.columns, "__rows")
+    single = named.filter("__rows = 1").drop("__rows")
+    again = named.filter("__rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("__row"))
+    again = again.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    nameless = docs.filter("doc_id is null")
+    return single.unionByName(again).unionByName(nameless)
