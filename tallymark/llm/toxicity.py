@@ -30,14 +30,17 @@ from .samples import labelled
 
 FIT_ROWS = 2000
 WINDOW, STRIDE = 60, 40
-DICT_BYTES, MARK_BYTES = 24_000, 8_192
+DICT_BYTES, MARK_BYTES = 80_000, 4_096
 THRESHOLDS = (2, 3, 4, 5, 6)
+#: Every window is led by this many bytes that both dictionaries know, so that it is never stored raw, whose fixed length
+#: would hide small savings.
+LEAD = 24
 _BATCH = 1 << 20
 
 
 def _compressor(content: bytes) -> z.ZstdCompressor:
     # fixed parameters: those chosen by size would differ between the dictionaries
-    params = z.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=5, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    params = z.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=7, min_match=5, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
     d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
     return z.ZstdCompressor(compression_params=params, dict_data=d)
@@ -52,7 +55,7 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
     return content[-size:]
 
 
-def differences(pair: tuple[z.ZstdCompressor, z.ZstdCompressor], texts: list[bytes]) -> list[np.ndarray]:
+def differences(pair: tuple[z.ZstdCompressor, z.ZstdCompressor], texts: list[bytes], lead: bytes = b'') -> list[np.ndarray]:
     """For each text, the bytes that the toxic dictionary saves over the ordinary one, window by window."""
     out: list[np.ndarray] = []
     for text in texts:
@@ -61,10 +64,13 @@ def differences(pair: tuple[z.ZstdCompressor, z.ZstdCompressor], texts: list[byt
         for k in range(0, len(text), step):
             chunk = text[k : k + step + WINDOW - STRIDE]
             starts = np.arange(0, max(1, min(len(chunk), step) - (WINDOW - STRIDE)), STRIDE)
-            cuts = np.stack([starts, np.minimum(WINDOW, len(chunk) - starts)], axis=1).astype(np.uint64)
+            ends = np.minimum(starts + WINDOW, len(chunk))
+            data = b"".join([lead + chunk[i:j] for i, j in zip(starts.tolist(), ends.tolist())])
+            n = ends - starts + len(lead)
+            cuts = np.stack([np.cumsum(n) - n, n], axis=1).astype(np.uint64)
             sizes = []
             for c in pair:
-                packed = c.multi_compress_to_buffer(z.BufferWithSegments(chunk, cuts.tobytes()), threads=1)
+                packed = c.multi_compress_to_buffer(z.BufferWithSegments(data, cuts.tobytes()), threads=1)
                 sizes.append(np.fromiter(map(len, packed), dtype=np.int64, count=len(cuts)))
             parts.append(sizes[0] - sizes[1])
         out.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
@@ -89,7 +95,7 @@ class Model:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
         pair = _compressor(self.ordinary), _compressor(self.toxic)
-        x = np.array([features(d) for d in differences(pair, [(t or b"").lower() for t in texts])])
+        x = np.array([features(d) for d in differences(pair, [(t or b"").lower() for t in texts], self.ordinary[-LEAD:])])
         return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.scale) @ self.weights, -40, 40)))
 
 
@@ -127,7 +133,7 @@ def fit(rows: list[tuple[int, bytes]], totals: dict[int, int]) -> Model:
     model = Model(base, mark + base[len(mark) :], np.zeros(0), np.zeros(0), np.zeros(0))
     held = [(k, t) for k in (0, 1) for t in (by[k][cut[k] :] or by[k])]
     pair = _compressor(model.ordinary), _compressor(model.toxic)
-    x = np.array([features(d) for d in differences(pair, [t for _, t in held])])
+    x = np.array([features(d) for d in differences(pair, [t for _, t in held], base[-LEAD:])])
     y = np.array([k for k, _ in held], dtype=float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.mean[-1], model.scale[-1] = 0.0, 1.0
