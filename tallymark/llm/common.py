@@ -16,12 +16,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallymark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="tallymark-")
+        _own[app] = found
     return found.rstrip("/")
 
 
@@ -47,3 +51,13 @@ def ascii_lower(text: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: Counts at which a table of counts may be cut into its frequent and its other rows: half octaves.
+CUTS = [2, 3, *(int(2 ** (k / 2)) for k in range(4, 120))]
+
+
+def cut_for(counted: DataFrame, count: str, rows: int) -> int:
+    """The least of CUTS that at most `rows` rows of a table reach, by one aggregation."""
+    sums = counted.agg(*[F.count_if(F.col(count) >= c).alias(f"k{k}") for k, c in enumerate(CUTS)]).first()
+    return next((c for k, c in enumerate(CUTS) if sums[f"k{k}"] <= rows), 1 << 62)

@@ -26,8 +26,8 @@ from .common import BROADCAST_ROWS, stash
 from .pieces import MODEL, Table, chunks, decode_ids, encode_chunk, load
 
 HEAD_ROWS = 200_000
-_FLUSH = 400_000
-_MEMO = 400_000
+_FLUSH = 200_000
+_MEMO = 100_000
 _LONG = 64
 
 
@@ -88,30 +88,40 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
     return solved.select("chunk", path.alias("ids"))
 
 
-def head(docs: DataFrame, table: Table, rows: int = HEAD_ROWS, text: str = "text") -> dict[str, np.ndarray]:
-    """The solved frequent chunks: at most `rows`."""
+def head(docs: DataFrame, table: Table, rows: int = HEAD_ROWS, text: str = "text") -> tuple[list[str], bytes, np.ndarray]:
+    """The solved frequent chunks, at most `rows`: chunks, their ids end to end (32-bit), and where each ends."""
     counted = stash(chunk_counts(docs, text))
     sums = counted.agg(*[F.sum(F.when(F.col("n") >= (1 << k), 1).otherwise(0)).alias(f"k{k}") for k in range(1, 62)]).first()
     cut = next((1 << k for k in range(1, 62) if (sums[f"k{k}"] or 0) <= rows), 1 << 62)
     frequent = counted.filter((F.col("n") >= cut) & (F.char_length("chunk") <= _LONG)).select("chunk")
     found = lattice(frequent, table).toArrow()
     ids = found["ids"].combine_chunks()
-    flat, ends = ids.flatten().to_numpy().astype(np.int32), ids.offsets.to_numpy()
-    return {c: flat[a:b] for c, a, b in zip(found["chunk"].to_pylist(), ends[:-1], ends[1:])}
+    return found["chunk"].to_pylist(), ids.flatten().to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy()[1:] * 4
 
 
 class _Solved(dict):
-    def __init__(self, table: Table, frequent: dict[str, np.ndarray]) -> None:
-        self.table, self.frequent = table, frequent
-
-    def __missing__(self, chunk: str) -> np.ndarray:
-        ids = self.frequent.get(chunk)
-        if ids is None:
-            ids = np.array(encode_chunk(self.table, chunk), dtype=np.int32)
+    """The ids of chunks as packed 32-bit integers: the frequent ones, and of the others those met last."""
+
+    def __init__(self, table: Table, frequent: tuple[list[str], bytes, np.ndarray]) -> None:
+        self.table, self.frequent, self.room = table, frequent, 0
+        self._fill()
+
+    def _fill(self) -> None:
+        self.clear()
+        names, flat, ends = self.frequent
+        at = 0
+        for name, end in zip(names, ends.tolist()):
+            self[name] = flat[at:end]
+            at = end
+        self.room = _MEMO
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.array(encode_chunk(self.table, chunk), dtype=np.int32).tobytes()
         if len(chunk) <= _LONG:
-            if len(self) >= _MEMO:
-                self.clear()
+            if not self.room:
+                self._fill()
             self[chunk] = ids
+            self.room -= 1
         return ids
 
 
@@ -124,11 +134,11 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", rows: int = H
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solved = _Solved(*packed.value)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                s = b.slice(at, 200)
-                parts = [None if t is None else np.concatenate([np.zeros(0, np.int32), *map(solved.__getitem__, chunks(t))]) for t in s.column(text).to_pylist()]
-                ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
-                flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(p for p in parts if p is not None)]), pa.int32())
+            for at in range(0, b.num_rows, 64):
+                s = b.slice(at, 64)
+                parts = [None if t.as_py() is None else b"".join(map(solved.__getitem__, chunks(t.as_py()))) for t in s.column(text)]
+                ends = np.cumsum([0, *(0 if p is None else len(p) // 4 for p in parts)]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(p for p in parts if p), dtype=np.int32), pa.int32())
                 missing = pa.array([p is None for p in parts], pa.bool_())
                 ids = pa.ListArray.from_arrays(pa.array(ends), flat, mask=missing)
                 yield pa.RecordBatch.from_arrays([*s.columns, ids], [*s.schema.names, "tokens"])
@@ -143,9 +153,12 @@ def decode(df: DataFrame, path: str = MODEL, tokens: str = "tokens", to: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                s = b.slice(at, 200)
-                texts = pa.array([None if t.as_py() is None else decode_ids(packed.value, t.as_py()) for t in s.column(tokens)], pa.string())
+            for at in range(0, b.num_rows, 64):
+                s = b.slice(at, 64)
+                ids = s.column(tokens)
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
+                parts = zip(ids.is_null().to_pylist(), ends.tolist(), np.asarray(ids.value_lengths().fill_null(0)).tolist())
+                texts = pa.array([None if none else decode_ids(packed.value, flat[end - n : end].tolist()) for none, end, n in parts], pa.string())
                 yield pa.RecordBatch.from_arrays([*s.columns, texts], [*s.schema.names, to])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(to, T.StringType())]))
