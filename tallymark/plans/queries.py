@@ -184,8 +184,8 @@ def vote_unique_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_linenumber % 2 = 0 THEN CAST(round(l_tax * 100) AS BIGINT) END AS food, CASE WHEN l_returnflag <> 'N' THEN CAST(l_linenumber % 2 AS BIGINT) END AS wood, l_returnflag = 'R' AS approx FROM lineitem),
-a AS (SELECT l_orderkey, CASE WHEN min(food) = max(food) THEN min(food) END AS f, CASE WHEN min(wood) = max(wood) THEN min(wood) END AS w, bool_or(approx) AS some FROM c GROUP BY 1)
-SELECT c.l_orderkey AS reading, coalesce(food, f) AS food, coalesce(wood, w) AS wood, CASE WHEN (food IS NULL AND f IS NOT NULL) OR (wood IS NULL AND w IS NOT NULL) THEN approx OR some ELSE approx END AS rss_approx, count(*) AS n_rows
+a AS (SELECT l_orderkey, CASE WHEN min(food) = max(food) THEN min(food) END AS f, CASE WHEN min(wood) = max(wood) THEN min(wood) END AS w, bool_or(approx) AS marked FROM c GROUP BY 1)
+SELECT c.l_orderkey AS reading, coalesce(food, f) AS food, coalesce(wood, w) AS wood, CASE WHEN (food IS NULL AND f IS NOT NULL) OR (wood IS NULL AND w IS NOT NULL) THEN approx OR marked ELSE approx END AS rss_approx, count(*) AS n_rows
 FROM c JOIN a ON c.l_orderkey = a.l_orderkey GROUP BY ALL"""
 )
 def agreement_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
