@@ -32,20 +32,26 @@ BLOCK = 4096
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a UTF-8 text: XXH64 (seed 42) of its shingles, each bit by strict majority."""
+def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of the shingles of a UTF-8 text; fewer words than a shingle has are one."""
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return []
     joined = b" ".join(words)
     if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = list(accumulate(map(len, words), lambda a, x: a + 1 + x))
-        starts = [0, *(e + 1 for e in ends[:-shingle])]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = list(accumulate(map(len, words), lambda a, x: a + 1 + x))
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a UTF-8 text: its shingles' hashes, each bit by strict majority."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     values = np.array(hashes, dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(values), _CHUNK):
@@ -227,13 +233,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id, with its columns.
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each component (found: doc_id, component_id): that of its smallest doc_id, with its columns.
 
     Rows without an id cannot be named and all stay; of rows that repeat the smallest id, the one with the smallest text
     stays.
     """
-    found = components(docs.select("doc_id", "text"), shingle=shingle, max_bits=max_bits)
     kept = stash(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
     named = docs.join(kept, "doc_id").select(*docs.columns, "__rows")
     single = named.filter("__rows = 1").drop("__rows")
