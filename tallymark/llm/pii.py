@@ -30,9 +30,16 @@ PATTERNS = {
     # whole runs of digits of 13 to 19
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9_])",
+    # heads only, as what follows an IBAN may look like more of it, or be the next one
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9_]))",
     "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
+_IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
+#: Registered lengths by country; a code without one is tried at every length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def _digits(x: Column) -> Column:
@@ -93,13 +100,37 @@ def _confirmed(x: Column, kind: str) -> Column:
     return F.lit(True)
 
 
+def _ibans(text: Column) -> Column:
+    """The spans from each head to a token's end that pass mod-97: at the country's length, or else the longest.
+
+    A span inside an earlier one is part of it and goes.
+    """
+
+    def whole(x: Column) -> Column:
+        tail = F.substring(text, x["start"] + 1, F.lit(65))
+        upto = lambda p: F.substring(tail, F.lit(1), p)
+        size = lambda p: F.char_length(F.replace(upto(p), F.lit(" "), F.lit("")))
+        closes = lambda p: (F.substring(tail, p, F.lit(1)) != " ") & ~F.substring(tail, p + 1, F.lit(1)).rlike("[A-Za-z0-9_]")
+        places = F.sequence(F.lit(15), F.greatest(F.char_length(F.regexp_extract(tail, _IBAN_RUN, 0)), F.lit(15)))
+        ends = F.filter(places, lambda p: closes(p) & (size(p) >= 15) & mod97(upto(p)))
+        due = F.coalesce(*[F.when(F.substring(x["txt"], 1, 2).isin(c.split()), n) for n, c in IBAN_LENGTHS.items()], F.lit(0))
+        length = lambda at: F.coalesce(F.get(F.filter(at, lambda p: size(p) == due), F.lit(0)), F.array_max(at))
+        span = lambda n: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + n).alias("end"), upto(n).alias("txt"))
+        # each value is bound once, as lambdas are interpreted
+        return F.get(F.transform(F.transform(F.array(ends), length), span), F.lit(0))
+
+    found = F.filter(F.transform(_places(text, "iban"), whole), lambda x: x["end"].isNotNull())
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,txt:string>>)")
+    return F.aggregate(found, none, lambda kept, x: F.when(F.exists(kept, lambda k: k["end"] >= x["end"]), kept).otherwise(F.concat(kept, F.array(x))))
+
+
 def _scored(text: Column, x: Column, kind: str) -> Column:
     start = x["start"]
     before = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
     near = F.lit(False)
     for word in CONTEXT[kind]:
         near = near | F.contains(before, F.lit(word))
-    own = F.when(mod97(x["txt"]), 0.9).otherwise(0.1) if kind == "iban" else F.lit(0.4)
+    own = F.lit(0.9 if kind == "iban" else 0.4)
     return own + F.when(near, 0.3).otherwise(0.0)
 
 
@@ -107,7 +138,7 @@ def _kept(text: Column, kind: str) -> Column:
     """The spans of one kind that stay, with their scores."""
     if kind in BASE:
         return F.transform(F.filter(_places(text, kind), lambda x: _confirmed(x, kind)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["txt"].alias("txt"), F.lit(1.0).alias("score")))
-    graded = F.transform(_places(text, kind), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["txt"].alias("txt"), _scored(text, x, kind).alias("score")))
+    graded = F.transform(_ibans(text) if kind == "iban" else _places(text, kind), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["txt"].alias("txt"), _scored(text, x, kind).alias("score")))
     return F.filter(graded, lambda x: x["score"] >= KEEP)
 
 

@@ -54,6 +54,21 @@ def test_checksums_and_context_of_added_kinds(spark):
     assert got[3] == got[4] == []
 
 
+def test_ibans_end_where_they_end(spark):
+    de, gb, no, xx = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "XX08 1234 5678 901"
+    texts = {
+        1: f"IBAN {de} BIC COBADEFF please", 2: f"{de} {gb} 42", 3: f"AB12 {de} X", 4: f"é {no} {no} 7 A", 5: f"{de}x {de}_ a{de} {de[:-1]}1",
+        6: f"REF 12 {xx} 99", 7: f"é {de}", 8: f"{gb}.", 9: "AB12 " * 4000,
+    }
+    want = {1: [de], 2: [de, gb], 3: [de], 4: [no, no], 5: [], 6: [xx], 7: [de], 8: [gb]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans if s.kind == "iban"] for r in pii.spans(df).collect()}
+    assert {i: [s.txt for s in got[i]] for i in want} == want
+    assert all(texts[i][s.start : s.end] == s.txt for i in got for s in got[i])
+    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert out[1] == "IBAN [iban] BIC COBADEFF please" and out[2] == "[iban] [iban] 42" and out[3] == "AB12 [iban] X"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é call +1 (269) 555-3296 or a@b.cc!", 9), (2, None, 9), (3, "none", 9)], "doc_id long, text string, start int")
     assert [tuple(r) for r in pii.redacted(df).orderBy("doc_id").collect()] == [(1, "é call [phone] or [email]!", 9), (2, None, 9), (3, "none", 9)]
