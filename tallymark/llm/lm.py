@@ -1,13 +1,16 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of word bigrams.
 
-Words are counted over all training texts. The model mixes a word's maximum-likelihood estimate with the probability of
-its spelling; spellings are byte trigrams whose maximum-likelihood estimates of every order (uniform, one, two and three
-bytes) are mixed with weights that depend on the frequency bucket of the two-byte context. All mixture weights are
-learned by expectation-maximisation on counts held out from the training texts; the counts are then pooled.
+P(w | v) mixes the maximum-likelihood estimates of the bigram and the word; the weight depends on the frequency bucket of
+the context word v. The vocabulary is the words that a threshold on the count leaves, at most HEAD_ROWS; every other word
+is the class OTHER, which is a word of the bigrams like any, times the word's probability within the class: its own
+estimate mixed with its spelling's. Spellings are byte trigrams whose estimates of every order (uniform, one, two, three
+bytes) are mixed by the frequency bucket of the two-byte context. All weights are learned by expectation-maximisation on
+counts held out from the training texts; the counts are then pooled.
 
-The word table stays distributed. Its most frequent words, at most HEAD_ROWS by a threshold on the count, go to the tasks
-that read the texts; every other word occurrence is joined with the table, so all counts are exact. Byte n-grams are at
-most 2**24 by construction, whatever the corpus.
+Words and bigrams are counted over all training texts. Texts travel as segments of about SEGMENT tokens: a segment sends
+its distinct bigrams to GROUPS of them by hash, where they are counted over all segments, and gets their counts back; its
+rare words are joined with the word table. So a frequent word or bigram costs one entry per segment, nothing is joined by
+occurrence, and all counts are exact. The number of groups grows with the tokens, so that a group's bigrams fit a task.
 
 Defined results: a null or empty text is the end token alone; a null id counts as the empty text for the split; rows that
 repeat an id and text are scored each; without training texts base_score is log10(1/1) per token and score is the uniform
@@ -17,11 +20,13 @@ spelling's; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +34,14 @@ from pyspark.sql import types as T
 from .common import cut_for, remainder, stash
 
 HEAD_ROWS = 300_000
+SEGMENT = 2_000_000
+#: Bigrams that a task counts at a time, about, and the most groups that a segment is dealt to.
+GROUP, GROUPS = 3_000_000, 16_384
 END = b"\n"  # no word holds a white-space character
+END_ID, OTHER = 0, 1
+BUCKETS = 48
 _FLUSH = 400_000
-_START = (0x0A << 16) | (0x20 << 8)
-_CELLS = 1 << 24
+_REST, _HELD, _OUT = range(3)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -77,23 +86,19 @@ def _cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _trigrams(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells and their counts in the two parts, from the word table."""
+    """Cells and their counts in the two parts, from the word table; at most 2**24 by construction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list[int]] = {}
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros((2, 0))
         for b in batches:
-            for k in range(0, b.num_rows, 20_000):
-                s = b.slice(k, 20_000)
+            for k in range(0, b.num_rows, 100_000):
+                s = b.slice(k, 100_000)
                 cells, starts = _cells(s.column("w").to_pylist())
                 sizes = np.diff(np.append(starts, len(cells)))
-                keys, at = np.unique(cells, return_inverse=True)
-                sums = [np.bincount(at, weights=np.repeat(s.column(c).to_numpy().astype(float), sizes), minlength=len(keys)) for c in ("n_rest", "n_held")]
-                for key, r, h in zip(keys.tolist(), *(x.astype(np.int64).tolist() for x in sums)):
-                    have = total.setdefault(key, [0, 0])
-                    have[0] += r
-                    have[1] += h
-        rows = [pa.array([x for x in total], pa.int64())] + [pa.array([v[k] for v in total.values()], pa.int64()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays(rows, ["g", "n_rest", "n_held"])
+                more = [np.repeat(s.column(c).to_numpy().astype(float), sizes) for c in ("n_rest", "n_held")]
+                keys, at = np.unique(np.concatenate([keys, cells]), return_inverse=True)
+                sums = np.stack([np.bincount(at, weights=np.concatenate([have, new]), minlength=len(keys)) for have, new in zip(sums, more)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x.astype(np.int64)) for x in sums)], ["g", "n_rest", "n_held"])
 
     got = table.mapInArrow(run, "g long, n_rest long, n_held long").groupBy("g").agg(F.sum("n_rest").alias("n_rest"), F.sum("n_held").alias("n_held")).toArrow()
     return tuple(got[c].to_numpy() for c in ("g", "n_rest", "n_held"))
@@ -109,7 +114,7 @@ class Spelling:
         self.two = np.zeros((256, 256))
         np.add.at(self.two, ((self.cells >> 8) & 255, self.cells & 255), self.counts)
         self.one = self.two.sum(axis=0)
-        self.weights = np.full((_buckets(), 4), 0.25) if weights is None else weights
+        self.weights = np.full((BUCKETS, 4), 0.25) if weights is None else weights
 
     def estimates(self, cells: np.ndarray) -> np.ndarray:
         """The four estimates of each cell; one that has never seen its context takes the next lower order's."""
@@ -129,7 +134,7 @@ class Spelling:
         return out
 
     def bucket(self, cells: np.ndarray) -> np.ndarray:
-        return np.minimum(np.log2(self.pairs[cells >> 8] + 1).astype(int), _buckets() - 1)
+        return bucket(self.pairs[cells >> 8])
 
     def learn(self, cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> None:
         """Expectation-maximisation of the weights of each bucket on held-out counts."""
@@ -147,39 +152,207 @@ class Spelling:
         cells, starts = _cells(words)
         keys, at = np.unique(cells, return_inverse=True)
         p = (self.estimates(keys) * self.weights[self.bucket(keys)]).sum(axis=1)
-        return np.add.reduceat(np.log10(p)[at], starts)
+        return np.maximum(np.add.reduceat(np.log10(p)[at], starts), -300.0)
 
 
-def _buckets() -> int:
-    return 48
+def bucket(counts: np.ndarray) -> np.ndarray:
+    """The frequency bucket of a context: octaves of its count."""
+    return np.minimum(np.log2(np.asarray(counts) + 1).astype(int), BUCKETS - 1)
 
 
-def _mix(table: DataFrame, spelling: Spelling, n_rest: int, rounds: int = 60) -> float:
-    """The weight of the word estimate against the spelling, by EM over a histogram of the held-out words."""
-    packed = table.sparkSession.sparkContext.broadcast(spelling)
+def mixture(n: np.ndarray, ratio: np.ndarray, rounds: int = 200) -> float:
+    """The weight of the first of two estimates, by expectation-maximisation over events seen n times with this ratio."""
+    w = 0.5
+    for _ in range(rounds):
+        w = float((n * w * ratio / (w * ratio + 1 - w)).sum() / n.sum())
+        w = min(max(w, 1e-6), 1 - 1e-6)
+    return w
+
+
+def _within(rare: DataFrame, spelling: Spelling, n_rest: int) -> float:
+    """The weight of a rare word's own estimate against its spelling, by EM over a histogram of the held-out words."""
+    packed = rare.sparkSession.sparkContext.broadcast(spelling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             logs = np.concatenate([packed.value.log10(b.column("w").slice(k, 20_000).to_pylist()) for k in range(0, b.num_rows, 20_000)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column("n_rest"), b.column("n_held"), pa.array(logs)], ["n_rest", "n_held", "spell"])
 
-    binned = table.filter("n_held > 0").mapInArrow(run, "n_rest long, n_held long, spell double")
+    binned = rare.filter("n_held > 0").mapInArrow(run, "n_rest long, n_held long, spell double")
     # the bins are quarter octaves of the count by tenths of the logarithm
-    got = binned.groupBy(F.when(F.col("n_rest") > 0, F.floor(4 * F.log2("n_rest"))).otherwise(-1).alias("c"), F.floor(F.greatest("spell", F.lit(-300.0)) * 10).alias("s")).agg(
-        F.sum("n_held").alias("n"), F.avg("n_rest").alias("count"), F.avg(F.greatest("spell", F.lit(-300.0))).alias("spell")
+    got = binned.groupBy(F.when(F.col("n_rest") > 0, F.floor(4 * F.log2("n_rest"))).otherwise(-1).alias("c"), F.floor(F.col("spell") * 10).alias("s")).agg(
+        F.sum("n_held").alias("n"), F.avg("n_rest").alias("count"), F.avg("spell").alias("spell")
     )
     rows = got.toArrow()
     if not rows.num_rows or not n_rest:
         return 0.5
     n, count, spell = (rows[c].to_numpy().astype(float) for c in ("n", "count", "spell"))
-    word, by_letter, w = count / n_rest, 10.0**spell, 0.5
-    for _ in range(rounds):
-        w = float((n * w * word / np.maximum(w * word + (1 - w) * by_letter, 1e-300)).sum() / n.sum())
-        w = min(max(w, 1e-6), 1 - 1e-6)
-    return w
+    return mixture(n, count / n_rest / 10.0**spell)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data) or b"", dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize).T).view(kind).ravel()
+
+
+class Vocabulary:
+    """Ids of the frequent words and their counts; at most HEAD_ROWS words, END and OTHER."""
+
+    def __init__(self, words: list[bytes], rest: np.ndarray, every: np.ndarray) -> None:
+        self.ids = {w: k for k, w in enumerate(words, 2)} | {END: END_ID}
+        self.rest, self.every = rest, every
 
+    def word(self, counts: np.ndarray) -> np.ndarray:
+        """Estimates of the words; one is added to each count, as OTHER may have none."""
+        return (counts + 1.0) / (counts.sum() + len(counts))
 
-def score(docs: DataFrame, modulus: int = 7, out: int = 2, held: int = 3, head_rows: int = HEAD_ROWS) -> DataFrame:
+
+def pairs(ids: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """The bigram key of every token of texts end to end; the first of a text has the end token before it."""
+    before = np.roll(ids, 1).astype(np.int64)
+    before[np.cumsum(sizes) - sizes] = END_ID
+    return before * size + ids
+
+
+def _dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted keys by group, then key; the groups in that order; where each group starts."""
+    g = (((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, dtype=np.int64)
+    return order, g[starts], starts
+
+
+def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, groups: int, segment: int) -> DataFrame:
+    """Texts as ids, some millions of tokens to a row, and their distinct bigrams by group."""
+    part = remainder(F.col("doc_id"), modulus)
+    kind = F.when(part == out, _OUT).when(part == held, _HELD).otherwise(_REST)
+    rows = docs.select("doc_id", kind.alias("kind"), F.col("text").cast("binary").alias("text"))
+    schema = T.StructType(
+        [
+            T.StructField("seg", T.LongType()),
+            T.StructField("kind", T.IntegerType()),
+            T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)),
+            T.StructField("sizes", T.BinaryType()),
+            T.StructField("ids", T.BinaryType()),
+            T.StructField("rare", T.ArrayType(T.BinaryType())),
+            T.StructField("which", T.BinaryType()),
+            T.StructField("sent", T.ArrayType(T.StructType([T.StructField("g", T.IntegerType()), T.StructField("k", T.BinaryType()), T.StructField("n", T.BinaryType())]))),
+        ]
+    )
+    sent_type = pa.list_(pa.struct([("g", pa.int32()), ("k", pa.binary()), ("n", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, size = packed.value.ids, len(packed.value.every)
+        held_back: list[dict | None] = [None, None, None]
+
+        def close(k: int) -> pa.RecordBatch:
+            s, held_back[k] = held_back[k], None
+            ids, sizes = np.concatenate(s["ids"]), np.array(s["sizes"], dtype=np.int64)
+            keys, n = np.unique(pairs(ids, sizes, size), return_counts=True)
+            order, g, starts = _dealt(keys, groups)
+            keys, n = keys[order], n[order].astype(np.uint32)
+            ends = np.append(starts[1:], len(keys))
+            sent = [{"g": int(x), "k": _pack(np.diff(keys[a:b], prepend=0)), "n": _pack(n[a:b])} for x, a, b in zip(g, starts, ends)]
+            cols = [
+                pa.array([int.from_bytes(os.urandom(8), "little", signed=True)], pa.int64()), pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(s["sizes"])], pa.int32()), pa.concat_arrays(s["doc_ids"])),
+                pa.array([_pack(sizes)], pa.binary()), pa.array([_pack(ids)], pa.binary()), pa.array([list(s["rare"])], pa.list_(pa.binary())), pa.array([_pack(np.array(s["which"], dtype=np.int32))], pa.binary()), pa.array([sent], sent_type),
+            ]
+            return pa.RecordBatch.from_arrays(cols, schema.names)
+
+        for b in batches:
+            for at, (k, text) in enumerate(zip(b.column("kind").to_pylist(), b.column("text"))):
+                s = held_back[k]
+                if s is None:
+                    s = held_back[k] = {"ids": [], "sizes": [], "doc_ids": [], "rare": {}, "which": [], "n": 0}
+                own = tokens(text.as_py())
+                found = [places.get(w, OTHER) for w in own]
+                if OTHER in found:
+                    rare = s["rare"]
+                    s["which"] += [rare.setdefault(w, len(rare)) for w, f in zip(own, found) if f == OTHER]
+                s["ids"].append(np.array(found, dtype=np.int32))
+                s["sizes"].append(len(own))
+                s["doc_ids"].append(b.column("doc_id").slice(at, 1))
+                s["n"] += len(own)
+                if s["n"] >= segment:
+                    yield close(k)
+        for k in range(3):
+            if held_back[k]:
+                yield close(k)
+
+    return rows.mapInArrow(run, schema)
+
+
+_BINS, _LOW = 512, 160
+
+
+def _counted(packed):
+    """Over rows sorted by group: the training counts of every segment's bigrams, in the order they came in; then, without
+    a segment, a histogram of the held-out bigrams by context bucket and eighth octaves of the ratio of the two estimates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = packed.value
+        size, word = len(voc.every), voc.word(voc.rest)
+        histogram = np.zeros((2, BUCKETS * _BINS))
+        names = ["seg", "g", "n", "cell", "held", "ratio"]
+        rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        group = None
+
+        def close() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+            kinds = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
+            n = np.concatenate([r[3] for r in rows]).astype(float)
+            rest, held = (np.bincount(at, weights=n * (kinds == k), minlength=len(keys)) for k in (_REST, _HELD))
+            every = (rest + held).astype(np.uint32)
+            ends = np.cumsum([len(r[2]) for r in rows])
+            blobs = [_pack(every[at[end - len(r[2]) : end]]) for r, end in zip(rows, ends)]
+            here = held > 0
+            before, after = keys[here] // size, keys[here] % size
+            context = voc.rest[before]
+            ratio = rest[here] / np.maximum(context, 1) / word[after]
+            bins = np.where(ratio > 0, np.clip(np.floor(8 * np.log2(np.maximum(ratio, 1e-30))) + _LOW, 1, _BINS - 1), 0).astype(int)
+            cell = bucket(context) * _BINS + bins
+            for k, w in enumerate((held[here], held[here] * ratio)):
+                histogram[k] += np.bincount(cell, weights=w, minlength=BUCKETS * _BINS)
+            m = len(rows)
+            none = [pa.nulls(m, t) for t in (pa.int64(), pa.float64(), pa.float64())]
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([group] * m, pa.int32()), pa.array(blobs, pa.binary()), *none], names)
+            rows.clear()
+            return out
+
+        for b in batches:
+            for seg, kind, g, k, n in zip(*(b.column(c) for c in ("seg", "kind", "g", "k", "n"))):
+                if g.as_py() != group:
+                    if rows:
+                        yield close()
+                    group = g.as_py()
+                rows.append((seg.as_py(), kind.as_py(), np.cumsum(_unpack(k.as_py(), np.int64)), _unpack(n.as_py(), np.uint32)))
+        if rows:
+            yield close()
+        cells = np.flatnonzero(histogram[0])
+        m = len(cells)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(cells), *(pa.array(h[cells]) for h in histogram)], names)
+
+    return run
+
+
+def weights_of(cells: np.ndarray, held: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The bigram's weight in each context bucket, from the histogram; an unseen context has none, a bucket without
+    held-out bigrams takes the nearest lower one's."""
+    out = np.zeros(BUCKETS)
+    for k in range(1, BUCKETS):
+        here = (cells // _BINS) == k
+        out[k] = mixture(held[here], ratio[here] / held[here]) if here.any() else out[k - 1]
+    return out
+
+
+def score(docs: DataFrame, modulus: int = 7, out: int = 2, held: int = 3, head_rows: int = HEAD_ROWS, segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
     spark = docs.sparkSession
     table = stash(_count(docs, modulus, out, held).withColumn("c", F.col("n_rest") + F.col("n_held")))
@@ -188,58 +361,71 @@ def score(docs: DataFrame, modulus: int = 7, out: int = 2, held: int = 3, head_r
     g, g_rest, g_held = _trigrams(table)
     learner = Spelling(g[g_rest > 0], g_rest[g_rest > 0])
     learner.learn(g[g_held > 0], g_held[g_held > 0].astype(float))
-    weight = _mix(table, learner, rest) if n else 0.0
     spelling = Spelling(g, g_rest + g_held, learner.weights)
 
     cut = cut_for(table, "c", head_rows)
-    head = table.filter(F.col("c") >= cut).select("w", "c").toArrow()
-    words, counts = head["w"].to_pylist(), head["c"].to_numpy().astype(float)
-    mixed = np.log10(weight * counts / max(n, 1) + (1 - weight) * 10.0 ** np.maximum(spelling.log10(words), -300.0))
-    known = {w: k for k, w in enumerate(words)}
-    packed = spark.sparkContext.broadcast((known, np.log10(counts + 1), mixed, spelling))
-    whole = math.log10(n + v + 1)
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text").cast("binary").alias("text"))
+    head = table.filter((F.col("c") >= cut) | (F.col("w") == END)).select("w", "n_rest", "c").orderBy(F.desc("c"), "w").toArrow()
+    words = head["w"].to_pylist()
+    ends = [k for k, w in enumerate(words) if w == END]
+    mine = np.array([k for k, w in enumerate(words) if w != END], dtype=int)
+
+    def counts(name: str, total: int) -> np.ndarray:
+        c = head[name].to_numpy().astype(float)
+        return np.concatenate([[c[ends].sum(), total - c.sum()], c[mine]])
+
+    voc = Vocabulary([words[k] for k in mine], counts("n_rest", rest), counts("c", n))
+    rare_table = table.filter((F.col("c") < cut) & (F.col("w") != END))
+    inside = _within(rare_table, learner, int(voc.rest[OTHER]))
+    packed = spark.sparkContext.broadcast(voc)
+
+    groups = min(GROUPS, 1 + n // GROUP)
+    segs = stash(_segments(docs, modulus, out, held, packed, groups, segment))
+    sent = segs.select("seg", "kind", F.explode("sent").alias("s")).select("seg", "kind", "s.*")
+    back = stash(sent.repartition("g").sortWithinPartitions("g").mapInArrow(_counted(packed), "seg long, g int, n binary, cell long, held double, ratio double"))
+    seen = back.filter("seg is null").groupBy("cell").agg(F.sum("held").alias("held"), F.sum("ratio").alias("ratio")).orderBy("cell").toArrow()
+    weights = weights_of(*(seen[c].to_numpy() for c in ("cell", "held", "ratio")))
+
+    got = back.filter("seg is not null").groupBy("seg").agg(F.collect_list(F.struct("g", "n")).alias("got"))
+    asked = segs.select("seg", F.posexplode("rare").alias("k", "w"))
+    rare = asked.join(rare_table.select("w", "c"), "w").groupBy("seg").agg(F.collect_list(F.struct("k", "c")).alias("known"))
+    whole = segs.drop("sent").join(got, "seg").join(rare, "seg", "left")
+    model = spark.sparkContext.broadcast((weights, inside, spelling))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, base, score_of, spell = packed.value
+        own, (by_bucket, within, spell) = packed.value, model.value
+        size, word, weight = len(own.every), own.word(own.every), by_bucket[bucket(own.every)]
+        base_of = np.log10(own.every + 1)
+        other = max(own.every[OTHER], 1.0)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                s = b.slice(at, 500)
-                per, row, rare = [], [], []
-                for k, text in enumerate(s.column("text")):
-                    own = tokens(text.as_py())
-                    found = [places.get(w, -1) for w in own]
-                    ids = np.array(found)
-                    ids = ids[ids >= 0]
-                    per.append((len(own), len(ids), float(base[ids].sum()), float(score_of[ids].sum())))
-                    if len(ids) < len(own):
-                        more = [w for w, f in zip(own, found) if f < 0]
-                        rare += more
-                        row += [k] * len(more)
-                m, t = len(per), len(rare)
-                take = pa.array([*range(m), *row], pa.int64())
-                cols = [s.column("doc_id").take(take), s.column("th").take(take), pa.array([None] * m + rare, pa.binary())]
-                cols += [pa.array([p[j] for p in per] + [0] * t, pa.int64()) for j in (0, 1)]
-                cols += [pa.array([p[j] for p in per] + [0.0] * t, pa.float64()) for j in (2, 3)]
-                cols.append(pa.array(np.concatenate([np.zeros(m), spell.log10(rare)])))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "w", "n_tokens", "n_known", "base", "score", "spell"])
-
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(a, t) for a, t in (("th", T.LongType()), ("w", T.BinaryType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("spell", T.DoubleType())))])
-    parts = stash(rows.mapInArrow(run, schema))
-    tail = parts.filter("w is not null").select("doc_id", "th", "w", "spell").join(table.filter(F.col("c") < cut).select("w", "c"), "w", "left")
-    c = F.coalesce("c", F.lit(0))
-    tail_score = F.when(c > 0, F.log10(F.lit(weight) * c / F.lit(max(n, 1)) + F.lit(1 - weight) * F.pow(F.lit(10.0), F.greatest("spell", F.lit(-300.0))))).otherwise(F.lit(math.log10(1 - weight)) + F.col("spell"))
-    looked = tail.select("doc_id", "th", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), (c > 0).cast("long").alias("n_known"), F.log10(c + 1).alias("base"), tail_score.alias("score"))
-    own = parts.filter("w is null").select("doc_id", "th", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", "score")
-    total = own.union(looked).groupBy("doc_id", "th").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "score")])
-    each = total.select("*", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
-    count = lambda x: (F.col(x) / F.col("copies")).cast("long").alias(x)
-    return each.select(
-        "doc_id",
-        (remainder(F.col("doc_id"), modulus) == out).alias("held_out"),
-        count("n_tokens"),
-        count("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        ((F.col("base") - F.col("n_tokens") * whole) / F.col("copies")).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-    )
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r] for c in b.schema.names}
+                ids, sizes, which = (_unpack(row[c].as_py(), t) for c, t in (("ids", np.int32), ("sizes", np.int64), ("which", np.int32)))
+                starts = np.cumsum(sizes) - sizes
+                keys, at = np.unique(pairs(ids, sizes, size), return_inverse=True)
+                order, g, first = _dealt(keys, groups)
+                found = {x["g"].as_py(): x["n"].as_py() for x in row["got"].values}
+                n_of = np.empty(len(keys))
+                n_of[order] = np.concatenate([_unpack(found[int(x)], np.uint32) for x in g])
+                before, after = keys // size, keys % size
+                p = weight[before] * n_of / np.maximum(own.every[before], 1) + (1 - weight[before]) * word[after]
+                logs, base = np.log10(p)[at], base_of[ids]
+                known = (ids != OTHER) & (own.every[ids] > 0)
+                if len(which):
+                    names_of = row["rare"].as_py()
+                    c = np.zeros(len(names_of))
+                    if row["known"].is_valid and len(row["known"].values):
+                        c[row["known"].values.field("k").to_numpy()] = row["known"].values.field("c").to_numpy()
+                    s = np.concatenate([spell.log10(names_of[k : k + 20_000]) for k in range(0, len(names_of), 20_000)])
+                    mixed = np.where(c > 0, np.log10(within * c / other + (1 - within) * 10.0**s), math.log10(1 - within) + s)
+                    tail = np.flatnonzero(ids == OTHER)
+                    logs[tail] += mixed[which]
+                    base[tail] = np.log10(c + 1)[which]
+                    known[tail] = (c > 0)[which]
+                m = len(sizes)
+                cols = [row["doc_ids"].values, pa.array([row["kind"].as_py() == _OUT] * m, pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.full(m, n, dtype=np.int64))]
+                cols += [pa.array(np.add.reduceat(base, starts) - sizes * math.log10(n + v + 1)), pa.array(np.add.reduceat(logs, starts))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    types = (T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
+    return whole.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(a, t) for a, t in zip(names[1:], types))]))
