@@ -11,6 +11,7 @@ characters, that are solved apart. Scores are summed exactly, from zero at each
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -73,8 +74,9 @@ def load(path: str = MODEL) -> Table:
     return Table(pieces, at, low - PENALTY, texts)
 
 
-def chunks(text: str | None) -> list[str]:
-    return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def chunks(text: str | None) -> Iterator[str]:
+    """The chunks of a text, one after another."""
+    return map(re.Match.group, CHUNK.finditer(SPACE + text.replace(" ", SPACE))) if text else iter(())
 
 
 def best(table: Table, chunk: str) -> tuple[list[float], list[int], list[int], list[int]]:

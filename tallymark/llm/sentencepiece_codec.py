@@ -5,6 +5,7 @@ threshold on the count, the lattice is a relation: every substring of bounded le
 table on equality (the vocabulary is of fixed size and broadcast), the edges are grouped by chunk, and Viterbi is a fold
 over the edges in the order of their ends with the built-in `aggregate`. The solved chunks go to the tasks that encode
 the texts; a task solves the chunks that are not among them by the same rules, so results don't depend on the threshold.
+Chunks of over _LONG characters are always solved in the tasks, as the fold copies its nodes at every step.
 
 Defined results: a null text has null tokens and decodes to null; an empty text has none and decodes to itself; decoding
 gives the text again, except that a literal "▁" comes back as a space, as in the library; repeated rows are encoded
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, stash
-from .pieces import MODEL, Table, chunks, decode_ids, encode_chunk, load
+from .pieces import MODEL, SPACE, Table, chunks, decode_ids, encode_chunk, load
 
 HEAD_ROWS = 200_000
 _FLUSH = 200_000
-_MEMO = 100_000
+_MEMO = 50_000
 _LONG = 64
 
 
@@ -125,25 +126,32 @@ class _Solved(dict):
         return ids
 
 
-def encode(docs: DataFrame, path: str = MODEL, text: str = "text", rows: int = HEAD_ROWS) -> DataFrame:
-    """docs with the column tokens, the ids of every whole text."""
+def encode(docs: DataFrame, path: str = MODEL, text: str = "text", rows: int = HEAD_ROWS, check: str | None = None) -> DataFrame:
+    """docs with the column tokens, the ids of every whole text; and, if check names it, one with whether decoding them gives
+    the text again, each text decoded as soon as it is encoded."""
     table = load(path)
     packed = docs.sparkSession.sparkContext.broadcast((table, head(docs, table, rows, text)))
-    kept = docs.drop("tokens")
+    kept = docs.drop("tokens", *([check] if check else []))
+    extra = [T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), *([T.StructField(check, T.BooleanType())] if check else [])]
+
+    def restored(table: Table, text: str | None, ids: bytes | None) -> bool:
+        return text is None or decode_ids(table, np.frombuffer(ids, dtype=np.int32).tolist()) == text.replace(SPACE, " ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solved = _Solved(*packed.value)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 s = b.slice(at, 64)
-                parts = [None if t.as_py() is None else b"".join(map(solved.__getitem__, chunks(t.as_py()))) for t in s.column(text)]
+                texts = s.column(text).to_pylist()
+                parts = [None if t is None else b"".join(map(solved.__getitem__, chunks(t))) for t in texts]
                 ends = np.cumsum([0, *(0 if p is None else len(p) // 4 for p in parts)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(p for p in parts if p), dtype=np.int32), pa.int32())
                 missing = pa.array([p is None for p in parts], pa.bool_())
                 ids = pa.ListArray.from_arrays(pa.array(ends), flat, mask=missing)
-                yield pa.RecordBatch.from_arrays([*s.columns, ids], [*s.schema.names, "tokens"])
+                same = [pa.array([restored(solved.table, *x) for x in zip(texts, parts)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*s.columns, ids, *same], [*s.schema.names, *(f.name for f in extra)])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType(), False))]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *extra]))
 
 
 def decode(df: DataFrame, path: str = MODEL, tokens: str = "tokens", to: str = "decoded") -> DataFrame:
@@ -166,6 +174,5 @@ def decode(df: DataFrame, path: str = MODEL, tokens: str = "tokens", to: str = "
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, tokens_sha256 (of the ids, comma-joined) and round_trip (decoding gives the text again)."""
-    both = decode(encode(docs.select("doc_id", "text")))
-    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit("▁"), F.lit(" ")))
-    return both.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.coalesce("tokens", F.array().cast("array<int>")), ","), 256).alias("tokens_sha256"), same.alias("round_trip"))
+    both = encode(docs.select("doc_id", "text"), check="round_trip")
+    return both.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.coalesce("tokens", F.array().cast("array<int>")), ","), 256).alias("tokens_sha256"), "round_trip")
