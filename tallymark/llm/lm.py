@@ -34,13 +34,13 @@ from pyspark.sql import types as T
 from .common import cut_for, remainder, stash
 
 HEAD_ROWS = 300_000
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 #: Bigrams that a task counts at a time, about, and the most groups that a segment is dealt to.
-GROUP, GROUPS = 3_000_000, 16_384
+GROUP, GROUPS = 1_500_000, 16_384
 END = b"\n"  # no word holds a white-space character
 END_ID, OTHER = 0, 1
 BUCKETS = 48
-_FLUSH = 400_000
+_FLUSH = 250_000
 _REST, _HELD, _OUT = range(3)
 
 
@@ -230,7 +230,7 @@ def _dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, groups: int, segment: int) -> DataFrame:
-    """Texts as ids, some millions of tokens to a row, and their distinct bigrams by group."""
+    """Texts as ids, about SEGMENT tokens to a row, and their distinct bigrams by group."""
     part = remainder(F.col("doc_id"), modulus)
     kind = F.when(part == out, _OUT).when(part == held, _HELD).otherwise(_REST)
     rows = docs.select("doc_id", kind.alias("kind"), F.col("text").cast("binary").alias("text"))
