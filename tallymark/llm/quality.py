@@ -4,7 +4,8 @@ P(grade > k) = logistic(w.x - t_k): one weight vector over hashed byte n-grams o
 ordered thresholds t_0 <= t_1 <= ..., so the tail probabilities never cross. They give the expected grade and the
 probability of reaching a wanted grade, by which texts are selected. Scoring adds up looked-up weights over whole texts.
 
-The fit draws at most FIT_ROWS labelled rows of each grade; classes are weighted back to their shares in all labels.
+The fit draws labelled rows of each grade by the hash of their id, at most fit_rows of them and until their whole texts
+reach fit_bytes; classes are weighted back to their shares in all labels.
 
 Defined results: a null or empty text has no n-grams and is graded by the thresholds alone; with fewer than two grades
 among the labels every text gets that grade (or the highest, without labels) and is kept; repeated rows are graded
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .samples import labelled
+from .samples import FIT_BYTES, labelled
 
 FIT_ROWS = 1000
 #: (n, bits): n-grams of n bytes are hashed to 2**bits weights.
@@ -69,7 +70,9 @@ def fit(rows: list[tuple[int, bytes]], totals: dict[int, int], steps: int = 200,
     if len(have) < 2:
         only = have or grades[-1:] or [1]
         return Model(only, np.zeros(SIZE, dtype=np.float32), np.zeros(0))
-    x = np.stack([vector(t) for _, t in rows])
+    x = np.empty((len(rows), SIZE), dtype=np.float32)
+    for k, (_, t) in enumerate(rows):
+        x[k] = vector(t)
     y = np.array([have.index(g) for g, _ in rows])
     share = np.array([totals[g] for g in have], dtype=float) / sum(totals[g] for g in have)
     weight = (share / np.bincount(y, minlength=len(have)))[y]
@@ -79,11 +82,11 @@ def fit(rows: list[tuple[int, bytes]], totals: dict[int, int], steps: int = 200,
     mean = x.mean(axis=0)
     p = np.concatenate([np.zeros(SIZE), start[:1], np.log(np.expm1(np.maximum(np.diff(start), 1e-2)))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    centred = (x - mean).astype(np.float32)
+    x -= mean
     for k in range(1, steps + 1):
         w, gaps = p[:SIZE], np.logaddexp(0, p[SIZE + 1 :])
         t = p[SIZE] + np.concatenate([[0.0], np.cumsum(gaps)])
-        tail = 1 / (1 + np.exp(-np.clip((centred @ w.astype(np.float32))[:, None] - t[None, :], -40, 40)))
+        tail = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32))[:, None] - t[None, :], -40, 40)))
         # the likelihood of a grade is the difference of neighbouring tails
         full = np.concatenate([np.ones((len(y), 1)), tail, np.zeros((len(y), 1))], axis=1)
         at = np.arange(len(y))
@@ -94,7 +97,7 @@ def fit(rows: list[tuple[int, bytes]], totals: dict[int, int], steps: int = 200,
         for j in range(len(t)):
             dt[j] = (weight * slope[:, j + 1] * ((y == j + 1).astype(float) - (y == j)) / prob).sum()
         back = np.cumsum(dt[::-1])[::-1]
-        g = np.concatenate([centred.T @ ds.astype(np.float32) + ridge * w, [back[0]], back[1:] / (1 + np.exp(-p[SIZE + 1 :]))])
+        g = np.concatenate([x.T @ ds.astype(np.float32) + ridge * w, [back[0]], back[1:] / (1 + np.exp(-p[SIZE + 1 :]))])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     w = p[:SIZE]
@@ -107,9 +110,9 @@ def ratings(labels: DataFrame) -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
 
 
-def grade(docs: DataFrame, labels: DataFrame, reach: int = 1, least: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, reach: int = 1, least: float = 0.5, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """doc_id, expected_grade, p_reach (probability of grade >= reach) and keep for every row of docs."""
-    model = fit(*labelled(docs, labels, ratings(labels), F.lit(True), fit_rows))
+    model = fit(*labelled(docs, labels, ratings(labels), F.lit(True), fit_rows, fit_bytes))
     packed = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
@@ -134,9 +137,9 @@ def expectation(model: Model, texts: list[bytes | None], reach: int) -> tuple[np
     return expected, tails[:, under - 1] if under < len(grades) else np.zeros(n)
 
 
-def select(docs: DataFrame, labels: DataFrame, reach: int = 1, least: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, reach: int = 1, least: float = 0.5, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """The rows of docs whose probability of a grade >= reach is at least `least`, with their columns, in one pass."""
-    model = fit(*labelled(docs, labels, ratings(labels), F.lit(True), fit_rows))
+    model = fit(*labelled(docs, labels, ratings(labels), F.lit(True), fit_rows, fit_bytes))
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A labelled text longer than this many bytes is not drawn for fitting (all texts are scored, whole).
-FIT_BYTES = 32_768
+#: The bytes of text of a label value after which no more rows are drawn.
+FIT_BYTES = 32 << 20
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: Column, train: Column, rows: int) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
-    """At most `rows` (label, text) of every label value among the training rows, and the count of each value.
+def labelled(docs: DataFrame, labels: DataFrame, label: Column, train: Column, rows: int, size: int = FIT_BYTES) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
+    """(label, text) of whole texts for every label value among the training rows, and the count of each value.
 
-    Rows are drawn by the hash of their id, so the sample is the same on every run; the id decides nothing else.
+    Rows are drawn in the order of a hash of their id, at most `rows` of a value, until their texts reach `size` bytes (the
+    text that does so is drawn too, whatever its length). So the sample is the same on every run; the id decides nothing else.
     """
     pool = labels.select("doc_id", label.cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & train)
     totals = {r["label"]: r["count"] for r in pool.groupBy("label").count().collect()}
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") <= FIT_BYTES)
-    drawn: list[tuple[int, bytes]] = []
-    for value in sorted(totals):
-        chosen = pool.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").toArrow()
-        pairs = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist()))
-        drawn += [(value, t) for _, t in pairs]
-    return drawn, totals
+    if not totals:
+        return [], {}
+    by_id = Window.partitionBy("label").orderBy("place", "doc_id")
+    chosen = pool.withColumn("place", F.xxhash64("doc_id")).withColumn("at", F.row_number().over(by_id)).filter(F.col("at") <= rows).drop("at")
+    # at most rows * len(totals) ids, so they may be broadcast; an id that documents repeat counts each time
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter("text is not null")
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("order", F.xxhash64("text"))
+    by_text = Window.partitionBy("label").orderBy("place", "doc_id", "order")
+    drawn = found.withColumn("at", F.row_number().over(by_text)).filter(F.col("at") <= rows)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(by_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = drawn.withColumn("before", before).filter(F.col("before") < size).select("label", "place", "doc_id", "order", "text").toArrow()
+    got = sorted(zip(*(kept[c].to_pylist() for c in ("label", "place", "doc_id", "order", "text"))))
+    return [(x[0], x[-1]) for x in got], totals

@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what marks toxic text (words found in many toxic
-texts, in many different surroundings, and hardly in ordinary ones), each with the same ordinary tail, so that they
-differ only in what they were trained on. Every text is cut into overlapping windows; each window is compressed under
-both, and the differences of the compressed lengths, counted at several thresholds, give a score by a logistic
-calibration that is fitted on training texts not used for the dictionaries.
+Two zstandard dictionaries are trained: one on windows of ordinary texts, one on windows of toxic texts, each with the
+same ordinary tail, so that they differ only in what they were trained on. As most of a toxic text is ordinary prose, the
+toxic dictionary is trained in rounds: the windows of each half of the toxic texts are compressed under a dictionary of the
+other half, and those that it shortens as hardly any ordinary window is are what the next one is trained on. Every text is
+cut into overlapping windows; each window is compressed under both dictionaries, and the differences of the compressed
+lengths, counted at several thresholds, give a score by a logistic calibration that is fitted on training texts not used
+for the dictionaries.
 
-The fit draws at most FIT_ROWS labelled training rows of each class; everything is scored, over whole texts.
+The fit draws labelled training rows of each class by the hash of their id, at most fit_rows of them and until they reach
+fit_bytes; it works on windows of their whole texts. Everything is scored, over whole texts.
 
 Defined results: a null or empty text has no windows and gets the calibrated score of that; without labels of one class
 all scores are 0 (no toxic ones) or 1 (no others); repeated rows are scored each; a null id is kept; a null label is no
@@ -15,7 +18,7 @@ label; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder
-from .samples import labelled
+from .samples import FIT_BYTES, labelled
 
-FIT_ROWS = 2000
+FIT_ROWS = 4000
 WINDOW, STRIDE = 60, 40
-DICT_BYTES, MARK_BYTES = 80_000, 4_096
+DICT_BYTES, MARK_BYTES = 80_000, 3_072
+#: The rounds of the toxic dictionary: how many, its size in the first, the windows, and the share of ordinary windows that
+#: may be shortened as much.
+ROUNDS, FIRST_BYTES, PART, PART_STRIDE, ORDINARY = 3, 32_000, 24, 6, 0.003
 THRESHOLDS = (2, 3, 4, 5, 6)
 #: Every window is led by this many bytes that both dictionaries know, so that it is never stored raw, whose fixed length
 #: would hide small savings.
@@ -46,16 +52,29 @@ def _compressor(content: bytes) -> z.ZstdCompressor:
     return z.ZstdCompressor(compression_params=params, dict_data=d)
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
+def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
     """The content of a dictionary trained on samples; the samples themselves where they are too few to train on."""
+    # mixed, as training stops early at a long run of samples that share nothing, such as one junk text
+    samples = sorted(samples, key=zlib.crc32)
     try:
-        content = z.train_dictionary(size, samples).as_bytes()
+        content = z.train_dictionary(size, samples, **how).as_bytes()
     except z.ZstdError:
         content = b"".join(samples)
     return content[-size:]
 
 
-def differences(pair: tuple[z.ZstdCompressor, z.ZstdCompressor], texts: list[bytes], lead: bytes = b'') -> list[np.ndarray]:
+def _lengths(c: z.ZstdCompressor, windows: list[bytes], lead: bytes) -> np.ndarray:
+    n = np.fromiter(map(len, windows), dtype=np.int64, count=len(windows)) + len(lead)
+    cuts = np.stack([np.cumsum(n) - n, n], axis=1).astype(np.uint64)
+    packed = c.multi_compress_to_buffer(z.BufferWithSegments(b"".join([lead + w for w in windows]), cuts.tobytes()), threads=1)
+    return np.fromiter(map(len, packed), dtype=np.int64, count=len(windows))
+
+
+def _windows(texts: list[bytes], size: int, step: int) -> list[bytes]:
+    return [t[k : k + size] for t in texts for k in range(0, len(t), step)]
+
+
+def differences(pair: tuple[z.ZstdCompressor, z.ZstdCompressor], texts: list[bytes], lead: bytes = b"") -> list[np.ndarray]:
     """For each text, the bytes that the toxic dictionary saves over the ordinary one, window by window."""
     out: list[np.ndarray] = []
     for text in texts:
@@ -65,13 +84,8 @@ def differences(pair: tuple[z.ZstdCompressor, z.ZstdCompressor], texts: list[byt
             chunk = text[k : k + step + WINDOW - STRIDE]
             starts = np.arange(0, max(1, min(len(chunk), step) - (WINDOW - STRIDE)), STRIDE)
             ends = np.minimum(starts + WINDOW, len(chunk))
-            data = b"".join([lead + chunk[i:j] for i, j in zip(starts.tolist(), ends.tolist())])
-            n = ends - starts + len(lead)
-            cuts = np.stack([np.cumsum(n) - n, n], axis=1).astype(np.uint64)
-            sizes = []
-            for c in pair:
-                packed = c.multi_compress_to_buffer(z.BufferWithSegments(data, cuts.tobytes()), threads=1)
-                sizes.append(np.fromiter(map(len, packed), dtype=np.int64, count=len(cuts)))
+            windows = [chunk[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+            sizes = [_lengths(c, windows, lead) for c in pair]
             parts.append(sizes[0] - sizes[1])
         out.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
     return out
@@ -99,23 +113,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.scale) @ self.weights, -40, 40)))
 
 
-def _words(text: bytes) -> list[bytes]:
-    return [w.strip(b".,;:!?|\"'()") for w in text.split()]
-
-
-def _marks(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Occurrences of the words that mark toxic texts, each between spaces."""
-    seen, around, other = Counter(), defaultdict(set), Counter()
-    for t in toxic:
-        words = _words(t)
-        seen.update(set(words))
-        for a, w, b in zip([b"", *words], words, [*words[1:], b""]):
-            around[w].add((a, b))
-    for t in ordinary:
-        other.update(set(_words(t)))
-    least = max(3, 0.01 * len(toxic))
-    marks = {w for w, c in seen.items() if w and len(around[w]) >= least and c / len(toxic) > 20 * (other[w] + 0.5) / max(1, len(ordinary))}
-    return [b" " + w + b" " for t in toxic for w in _words(t) if w in marks]
+def _telling(toxic: list[bytes], ordinary: list[bytes], base: bytes) -> list[bytes]:
+    """Windows of the toxic texts that a dictionary of the other half of them shortens as hardly any ordinary window is."""
+    lead, halves = base[-LEAD:], [_windows(toxic[k::2], PART, PART_STRIDE) for k in (0, 1)]
+    others = _windows(ordinary, PART, PART)
+    plain = _compressor(base)
+    before, chosen, size = [_lengths(plain, w, lead) if w else np.zeros(0) for w in (*halves, others)], halves, FIRST_BYTES
+    for _ in range(ROUNDS):
+        marks = [_trained(size, w, k=12, d=8) for w in chosen]
+        chosen, size = [], MARK_BYTES
+        for k in (0, 1):
+            c = _compressor(marks[1 - k] + base)
+            saved, usual = (was - _lengths(c, w, lead) if w else np.zeros(0) for was, w in ((before[k], halves[k]), (before[2], others)))
+            least = next(v for v in range(1, 10_000) if (usual >= v).sum() <= ORDINARY * len(usual))
+            chosen.append([halves[k][i] for i in np.flatnonzero(saved >= least).tolist()])
+    return chosen[0] + chosen[1] or halves[0] + halves[1]
 
 
 def fit(rows: list[tuple[int, bytes]], totals: dict[int, int]) -> Model:
@@ -126,10 +138,8 @@ def fit(rows: list[tuple[int, bytes]], totals: dict[int, int]) -> Model:
         return Model(b"", b"", none, none, none, constant=1.0 if by[1] else 0.0)
     cut = {k: max(1, len(v) * 6 // 10) for k, v in by.items()}
     toxic, ordinary = by[1][: cut[1]], by[0][: cut[0]]
-    marks = _marks(toxic, ordinary)
-    mark = _trained(MARK_BYTES, [b"".join(marks[k : k + 8]) for k in range(0, len(marks), 8)]) if marks else b""
-    windows = [t[k : k + WINDOW] for t in ordinary for k in range(0, len(t), 2 * WINDOW)]
-    base = _trained(DICT_BYTES, windows)
+    base = _trained(DICT_BYTES, _windows(ordinary[::2], WINDOW, WINDOW), k=48, d=8)
+    mark = _trained(MARK_BYTES, _telling(toxic, ordinary[1::2], base), k=12, d=8)
     model = Model(base, mark + base[len(mark) :], np.zeros(0), np.zeros(0), np.zeros(0))
     held = [(k, t) for k in (0, 1) for t in (by[k][cut[k] :] or by[k])]
     pair = _compressor(model.ordinary), _compressor(model.toxic)
@@ -153,10 +163,10 @@ def fit(rows: list[tuple[int, bytes]], totals: dict[int, int]) -> Model:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs, by a model fitted on the rows that are not held out."""
     train = remainder(F.col("doc_id"), 3) != 1
-    model = fit(*labelled(docs, labels, F.col("toxic"), train, fit_rows))
+    model = fit(*labelled(docs, labels, F.col("toxic"), train, fit_rows, fit_bytes))
     packed = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("text").cast("binary").alias("text"))
 
