@@ -140,9 +140,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns. What is dropped is few, and found by id and text."""
     found = stash(contamination(docs, benchmark).filter("contaminated").select("doc_id", "text_hash").distinct())
-    key = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__hash"))
-    return docs.join(small(key, found.count()), same, "left_anti")
+    fresh = lambda name: next(n for n in (name + "_" * k for k in range(1, 1000)) if n not in docs.columns)
+    a, b = fresh("id"), fresh("hash")
+    same = F.col("doc_id").eqNullSafe(F.col(a)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(b))
+    return docs.join(small(found.toDF(a, b), found.count()), same, "left_anti")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

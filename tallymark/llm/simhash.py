@@ -237,12 +237,13 @@ def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of docs for each component (found: doc_id, component_id): that of its smallest doc_id, with its columns.
 
     Rows without an id cannot be named and all stay; of rows that repeat the smallest id, the one with the smallest text
-    stays.
+    stays (then the smallest by its other columns as JSON). Only ids are shuffled, but for the rows of repeated ids.
     """
-    kept = stash(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
-    named = docs.join(kept, "doc_id").select(*docs.columns, "__rows")
-    single = named.filter("__rows = 1").drop("__rows")
-    again = named.filter("__rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("__row"))
-    again = again.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in docs.columns])
-    nameless = docs.filter("doc_id is null")
-    return single.unionByName(again).unionByName(nameless)
+    gone = stash(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    twice = stash(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    kept, again = docs.join(small(gone, gone.count()), "doc_id", "left_anti"), twice.count()
+    if not again:
+        return kept.select(*docs.columns)
+    repeated, row = kept.join(small(twice, again), "doc_id", "left_semi"), F.struct(*docs.columns)
+    least = repeated.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select(F.col("row").alias("it"))
+    return kept.join(small(twice, again), "doc_id", "left_anti").select(*docs.columns).union(least.select("it.*"))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tallymark.llm import neardup
+from tallymark.llm import decontam, neardup, simhash
 
 
 def near(a, b):
@@ -68,3 +68,24 @@ def test_the_stage_drops_edited_copies(spark):
 
 def test_empty(spark):
     assert neardup.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_large_groups_are_dealt_to_pairs_of_blocks(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in neardup.components(df, block=400).collect()), key=str) == brute(rows)
+
+
+def test_representatives_with_maps_repeats_and_clashing_names(spark):
+    schema = "doc_id long, text string, row map<string,int>, count long, id_ long, hash_ long"
+    rows = [(1, "b", {"x": 1}, 1, 1, 1), (1, "a", {"y": 2}, 2, 2, 2), (1, "a", {"y": 1}, 3, 3, 3), (2, "c", None, 4, 4, 4), (None, "d", None, 5, 5, 5), (3, None, None, 6, 6, 6)]
+    docs = spark.createDataFrame(rows, schema)
+    found = spark.createDataFrame([(1, 1), (1, 1), (1, 1), (2, 1), (None, None), (3, 3)], "doc_id long, component_id long")
+    kept = simhash.representatives(docs, found)
+    assert kept.columns == docs.columns
+    assert sorted((x["count"], x["text"]) for x in kept.collect()) == [(3, "a"), (5, "d"), (6, None)]
+    empty = spark.createDataFrame([], schema)
+    assert simhash.representatives(empty, found.limit(0)).collect() == []
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert sorted(x["count"] for x in decontam.clean(docs, none).collect()) == [1, 2, 3, 4, 5, 6]
+    assert decontam.clean(empty, none).collect() == []
