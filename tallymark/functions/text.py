@@ -98,9 +98,9 @@ def commas(x: Column) -> Column:
 
 
 def cell(x: Column) -> Column:
-    """Text for a sheet: NULL is empty, and a leading = + - @ is quoted so it is no formula."""
+    """Text for a sheet: NULL is empty, and a text's leading = + - @ is quoted so it is no formula."""
     t = F.coalesce(x.cast("string"), F.lit(""))
-    return F.when(t.rlike("^[=+@-]"), F.concat(F.lit("'"), t)).otherwise(t)
+    return F.when((F.typeof(x) == "string") & t.rlike("^[=+@-]"), F.concat(F.lit("'"), t)).otherwise(t)
 
 
 def link(url: Column, label: str) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.sources.dimensions import GLYPH_MARGIN, GLYPH_SCORE, RESOURCES
+from tallymark.sources.dimensions import GLYPH_MARGIN, GLYPH_SCORE, RESOURCES, small
 
 
 def vote(votes: DataFrame, key: list[str], value: str = "value", least: int = 2) -> DataFrame:
@@ -82,9 +82,9 @@ def agreement(a: Column, b: Column) -> Column:
 def classify_glyphs(glyphs: DataFrame, templates: DataFrame, key: list[str], score: float = GLYPH_SCORE, margin: float = GLYPH_MARGIN) -> DataFrame:
     """key, class (NULL if unsure), best and second: the class of the most similar template, if similar and clear enough.
 
-    Templates are a table of fixed size that is broadcast; every glyph meets every template, as the measure asks.
+    Templates are a small table; every glyph meets every template, as the measure asks.
     """
-    pairs = glyphs.select(*key, "bits").join(F.broadcast(templates.select(F.col("class"), F.col("bits").alias("_b"))), F.size("bits") == F.size("_b"))
+    pairs = glyphs.select(*key, "bits").join(small(templates.select(F.col("class"), F.col("bits").alias("_b"))), F.size("bits") == F.size("_b"))
     per = pairs.groupBy(*key, "class").agg(F.max(agreement(F.col("bits"), F.col("_b"))).alias("_s"))
     ranked = per.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("_s")).alias("s"), "class"))).alias("r"))
     best, second = -F.get("r", F.lit(0))["s"], F.coalesce(-F.get("r", F.lit(1))["s"], F.lit(0.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import clean_number, is_numeric, parse_fraction, parse_number
+from tallymark.functions.text import is_numeric, parse_fraction, parse_number
 
 TOKEN = "struct<text:string,left:int,top:int,right:int,bottom:int>"
 
@@ -131,14 +131,3 @@ def match_icons(icons: DataFrame, numbers: DataFrame, key: list[str]) -> DataFra
     first = Window.partitionBy(*key, F.col("_b._npos")).orderBy("pos")
     taken = best.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").select(*key, "pos", F.col("_b._text").alias("number"))
     return icons.join(taken, [*key, "pos"], "left")
-
-
-def unnamed_rows(lines: DataFrame, counts: DataFrame, floor: DataFrame, key: list[str], tolerance: float = 25) -> DataFrame:
-    """Lines that are no named row but look like one: below the list's floor, their last number near the mean column of
-    the counts found, with a word before it."""
-    column = counts.groupBy(*key).agg(F.avg((F.col("left") + F.col("right")) / 2).alias("_x"))
-    last = F.element_at(merge_numbers(F.col("words")), -1)
-    cand = lines.join(counts.select(*key, "line_no"), [*key, "line_no"], "left_anti").withColumn("_n", last).join(column, key).join(floor, key)
-    near = (F.col("top") > F.col("floor")) & (F.abs((F.col("_n.left") + F.col("_n.right")) / 2 - F.col("_x")) <= tolerance) & (name_start(F.col("words")) < F.col("_n.left"))
-    value = parse_number(F.col("_n.text"))["value"]
-    return cand.filter(near & (value > 0)).select(*key, "line_no", value.alias("count"), clean_number(F.col("_n.text")).alias("token"))

@@ -1,7 +1,7 @@
 """From line rows and printed totals to an evaluated reading: lookups, zones, sums and the list of problems.
 
 Frames: `readings` has one row per key with wounded_current and ram_current (NULL: not read); `rows` has key, pos,
-raw_name, count, name_visible, in_ram_zone, tier and troop_type. The dimensions are of counted size and broadcast. Per
+raw_name, count, name_visible, in_ram_zone, tier and troop_type. Dimensions are counted, and broadcast up to a bound. Per
 reading everything is one aggregation by the key; nothing is ever repaired to make a sum fit.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import commas, flat_text, normalise_name, strip
-from tallymark.sources.dimensions import TIERS, TYPES
+from tallymark.sources.dimensions import RESOURCES, TIERS, TYPES, small
 
 CUT_OFF = "(name cut off)"
 
@@ -23,7 +23,7 @@ def total(x: Column, when: Column | None = None) -> Column:
 
 def classify_zones(rows: DataFrame, units: DataFrame) -> DataFrame:
     """in_ram_zone by the row's class, else by its known visible name, else as read."""
-    dim = F.broadcast(units.select(F.col("key").alias("_key"), F.col("type").alias("_type")))
+    dim = small(units.select(F.col("key").alias("_key"), F.col("type").alias("_type")))
     joined = rows.join(dim, F.col("name_visible") & (normalise_name(F.col("raw_name")) == F.col("_key")), "left")
     zone = F.when(F.col("troop_type").isNotNull(), F.col("troop_type") == "Siege").when(F.col("_key").isNotNull(), F.coalesce(F.col("_type") == "Siege", F.lit(False))).otherwise(F.col("in_ram_zone"))
     return joined.withColumn("in_ram_zone", zone).drop("_key", "_type")
@@ -43,7 +43,7 @@ def resolve(rows: DataFrame, units: DataFrame, tiers: DataFrame) -> DataFrame:
     What the row says itself goes before the unit table; a name that is not visible is never looked up.
     """
     key = normalise_name(F.col("raw_name"))
-    dim = F.broadcast(units.select(F.col("key").alias("_key"), F.col("tier").alias("_tier"), F.col("type").alias("_type"), F.col("power").alias("_power")))
+    dim = small(units.select(F.col("key").alias("_key"), F.col("tier").alias("_tier"), F.col("type").alias("_type"), F.col("power").alias("_power")))
     joined = rows.join(dim, F.col("name_visible") & (key == F.col("_key")), "left").withColumn("tier", F.coalesce("tier", "_tier")).withColumn("type", F.coalesce("troop_type", "_type"))
     ranked = joined.join(F.broadcast(tiers.select(F.col("tier").alias("_t"), F.col("power").alias("_tier_power"))), F.col("tier") == F.col("_t"), "left")
     each = F.when(F.col("tier").isNotNull(), F.coalesce("_power", "_tier_power"))
@@ -131,7 +131,7 @@ def evaluate(readings: DataFrame, rows: DataFrame, units: DataFrame, tiers: Data
 
 def pass_roster(keys: DataFrame, roster: DataFrame, available: bool = True, key: str = "gid") -> DataFrame:
     """keys with their roster name ('' if none); with a roster at hand, rows whose name is blank are left out."""
-    named = keys.join(F.broadcast(roster.select(F.col("gid").alias("_gid"), F.col("name").alias("_name"))), F.col(key) == F.col("_gid"), "left")
+    named = keys.join(small(roster.select(F.col("gid").alias("_gid"), F.col("name").alias("_name"))), F.col(key) == F.col("_gid"), "left")
     out = named.withColumn("roster_name", F.coalesce("_name", F.lit(""))).drop("_gid", "_name")
     return out.filter(F.col("roster_name") != "") if available else out.withColumn("roster_name", F.lit(""))
 
@@ -139,17 +139,17 @@ def pass_roster(keys: DataFrame, roster: DataFrame, available: bool = True, key:
 def match_names(lines: DataFrame, units: DataFrame, key: tuple[str, ...] = ("line_id",), text: str = "text") -> DataFrame:
     """key and unit: the longest known name that stands in a line as whole words.
 
-    A name followed by "zone", or led by a word of four letters or more, does not count; only its first place is tried.
-    The names are a broadcast table of counted size; candidates are equi-joined on the name's first word.
+    A name followed by a word that starts with "zone", or led by a word of four letters or more, does not count; only its first place is tried.
+    Candidates are equi-joined on the name's first word.
     """
     flat = F.concat(F.lit(" "), flat_text(F.col(text)), F.lit(" "))
     names = units.select(F.col("key").alias("unit"), F.substring_index("key", " ", 1).alias("_first"), (F.size(F.split("key", " "))).alias("_words")).filter("unit <> ''")
     words = lines.select(*key, flat.alias("_flat")).withColumn("_first", F.explode(F.array_distinct(F.split(F.trim("_flat"), " "))))
     at = F.expr("instr(_flat, concat(' ', unit, ' '))")
-    joined = words.join(F.broadcast(names), "_first").withColumn("_at", at).filter("_at > 0")
-    after = F.expr("substring(_flat, _at + length(unit) + 2, 5)")
+    joined = words.join(small(names), "_first").withColumn("_at", at).filter("_at > 0")
+    after = F.expr("substring(_flat, _at + length(unit) + 2, 4)")
     before = F.expr("element_at(split(trim(substring(_flat, 1, _at)), ' '), -1)")
-    ok = joined.filter((after != "zone ") & ~((F.char_length(before) >= 4) & before.rlike("^[a-z]+$")))
+    ok = joined.filter((after != "zone") & ~((F.char_length(before) >= 4) & before.rlike("^[a-z]+$")))
     return ok.groupBy(*key).agg(F.max_by("unit", F.struct("_words", F.char_length("unit"), F.col("unit"))).alias("unit"))
 
 
@@ -157,3 +157,22 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: a row number over the order, of which Spark keeps one per task before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def rss_map() -> Column:
+    """The resources of a reading as a map; an unread one is NULL in it."""
+    return F.create_map(*[x for r in RESOURCES for x in (F.lit(r), F.col(r))])
+
+
+def dry_run(readings: DataFrame, rows: DataFrame, units: DataFrame, tiers: DataFrame, grid: DataFrame | None = None, key: str = "reading_id") -> DataFrame:
+    """What a reading alone would come to: evaluated, with no roster, no merge and no sink.
+
+    A reading whose total is unread takes the siege counts of the grid reader (key, total, warnings), if there is one.
+    """
+    out = evaluate(readings, rows, units, tiers, key)[0]
+    if grid is None:
+        return out
+    other = grid.select(key, F.col("total").alias("siege_total"), F.col("warnings").alias("siege_warnings"))
+    both = out.join(other, key, "left")
+    unread = F.col("wounded_current").isNull()
+    return both.withColumn("siege_total", F.when(unread, F.col("siege_total"))).withColumn("siege_warnings", F.when(unread, F.col("siege_warnings")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import cell, link, report_number, strip
+from tallymark.functions.text import cell, commas, link, report_number, strip
 from tallymark.sources.dimensions import TIERS, TYPES
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -70,3 +70,28 @@ def campaign_totals(records: DataFrame, power: str = "Total Power", troops: str
         F.count("*").alias("submissions"), number(power).alias("power"), number(troops).alias("troops"), F.count_if(verdict == "pass").alias("passed"), F.count_if(verdict == "fail").alias("failed")
     )
     return out.withColumn("pending", F.col("submissions") - F.col("passed") - F.col("failed"))
+
+
+# The problems that are shown, and the longest field.
+FIRST, FIELD = 3, 1024
+
+
+def shown_problems(problems: Column) -> Column:
+    """The first problems as lines."""
+    return F.array_join(F.transform(F.slice(problems, F.lit(1), F.lit(FIRST)), lambda p: F.concat(F.lit("- "), p)), "\n")
+
+
+def display(submissions: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, status, verdict, totals, troops and problems: a submission's report as texts, each cut to what a field holds."""
+    power = F.when(F.col("known"), commas(F.col("power_total"))).otherwise("?")
+    line = F.concat(F.lit("`"), F.lpad(commas(F.col("count")), 6, " "), F.lit("`  "), F.col("name"), F.lit(" - "), F.coalesce("tier", F.lit("??")), F.lit(" "), F.coalesce("type", F.lit("unknown")), F.lit(" - "), power, F.lit(" power"))
+    listed = rows.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("in_ram_zone", F.coalesce("tier", F.lit("T9")).alias("t"), "name", line.alias("v")))), lambda s: s["v"]), "\n").alias("troops"))
+    total = F.when(F.col("total_in_hospital").isNotNull(), F.concat(F.lit("**Total in hospital: "), commas(F.col("total_in_hospital")), F.lit("**")))
+    both = submissions.join(listed, by, "left")
+    return both.select(*by, "status", "verdict", F.coalesce(total, F.lit("")).alias("totals"), F.substring(F.coalesce("troops", F.lit("")), 1, FIELD).alias("troops"), shown_problems(F.col("missing")).alias("problems"))
+
+
+def siege_display(judged: DataFrame, by: list[str]) -> DataFrame:
+    """by, verdict, counts and notes of a siege check as texts."""
+    counts = F.concat_ws("\n", *[F.concat(F.lit(f"{t}: "), commas(F.col(f"n_{t.lower()}"))) for t in TIERS])
+    return judged.select(*by, F.col("siege_verdict").alias("verdict"), counts.alias("counts"), F.substring(F.array_join("siege_notes", "\n"), 1, FIELD).alias("notes"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.sources.dimensions import Rules
+from tallymark.sources.dimensions import RESOURCES, Rules
 
 from .reconcile import latest, present, summary_columns
 from .rules import judge, state_columns
@@ -56,6 +56,12 @@ def merge(readings: DataFrame, resolved: DataFrame, rules: Rules = Rules(), key:
     url = lambda c: in_order(c, F.coalesce(F.col(c), F.lit("")) != "").alias(c + "s")
     told = F.concat(F.lit("Hospital total changed ("), F.format_number("previous", 0), F.lit(" -> "), F.format_number("wounded_current", 0), F.lit("); earlier screenshots discarded."))
     asks = F.size(F.coalesce("expected_resources", F.array().cast("array<string>"))) > 0
+    # what is still unread at the last reading that asks for something, whatever later ones read
+    so_far = Window.partitionBy(*by).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    for c in RESOURCES:
+        dated = dated.withColumn(f"_{c}", F.last(c, ignorenulls=True).over(so_far))
+    lacking = F.exists(F.coalesce("expected_resources", F.array().cast("array<string>")), lambda r: F.coalesce(*[F.when(r == c, F.col(f"_{c}").isNull()) for c in RESOURCES], F.lit(False)))
+    dated = dated.withColumn("_lacking", lacking)
     heads = dated.withColumn("_told", F.when(F.col("changed"), told)).groupBy(*by).agg(
         *scalars,
         F.max("epoch").alias("epoch"),
@@ -63,14 +69,12 @@ def merge(readings: DataFrame, resolved: DataFrame, rules: Rules = Rules(), key:
         F.max_by("user_name", F.struct(*ORDER)).alias("user_name"),
         F.max("event_ts").alias("updated_at"),
         F.min("event_ts").alias("created_at"),
-        F.max_by("expected_resources", F.when(asks, F.struct(*ORDER))).alias("_expected"),
+        F.coalesce(F.max_by("_lacking", F.when(asks, F.struct(*ORDER))), F.lit(False)).alias("cost_incomplete"),
         url("image_url"), url("message_url"),
         in_order("source", F.lit(True)).alias("sources"),
         F.flatten(in_order("warnings", F.col("warnings").isNotNull())).alias("notes"),
         in_order("_told", F.col("_told").isNotNull()).alias("merge_notes"),
     )
-    lacking = F.exists(F.coalesce("_expected", F.array().cast("array<string>")), lambda r: F.coalesce(*[F.when(r == c, F.col(c).isNull()) for c in ("food", "wood", "stone", "gold")]))
-    heads = heads.withColumn("cost_incomplete", F.coalesce(lacking, F.lit(False))).drop("_expected")
     of = dated.select(*by, "epoch", "reading_id", *ORDER).join(heads.select(*by, "epoch"), [*by, "epoch"], "left_semi")
     kept = resolved.filter((F.col("count") > 0) & ~F.startswith("name", F.lit("("))).join(of, "reading_id")
     rows = latest(kept, [*by, "key_name"], [*ORDER, "pos"])
@@ -83,15 +87,19 @@ def merge(readings: DataFrame, resolved: DataFrame, rules: Rules = Rules(), key:
 
 
 def closing_sessions(readings: DataFrame, key: str = "gid", rules: Rules = Rules()) -> DataFrame:
-    """Adds session to readings that carry `rows` (array of key_name, count, known, in_ram_zone): as gap_sessions, but a
-    session also ends after the reading with which it is complete or big enough."""
+    """Adds session to readings that carry `rows` (array of key_name, name if any, count, known, in_ram_zone): as
+    gap_sessions, but a session also ends after the reading with which it is complete or big enough. Rows without a count
+    or with a name in brackets don't count, as in `merge`."""
+    fields = readings.schema["rows"].dataType.elementType.names
+    counts = lambda y: (y["count"] > 0) & ~(F.startswith(y["name"], F.lit("(")) if "name" in fields else F.lit(False))
+    only = lambda y: F.struct(*[y[c].alias(c) for c in ("key_name", "count", "known", "in_ram_zone")])
     micros = F.unix_micros(F.col("event_ts").cast("timestamp"))
-    item = F.struct(micros.alias("t"), "seq", "reading_id", F.col("wounded_current").alias("w"), F.col("ram_current").alias("r"), F.col("rows").alias("rows"))
+    item = F.struct(micros.alias("t"), "seq", "reading_id", F.col("wounded_current").alias("w"), F.col("ram_current").alias("r"), F.transform(F.filter("rows", counts), only).alias("rows"))
     per = readings.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_l"))
     row = "array<struct<key_name:string,count:bigint,known:boolean,in_ram_zone:boolean>>"
     empty = F.expr(f"cast(array() as {row})")
     null = F.lit(None).cast("long")
-    state = F.struct(F.lit(-1).alias("n"), F.lit(False).alias("open"), null.alias("t"), null.alias("w"), null.alias("r"), empty.alias("rows"), F.expr("cast(array() as array<struct<reading_id:bigint,session:int>>)").alias("out"))
+    state = F.struct(F.lit(-1).alias("n"), F.lit(False).alias("open"), null.alias("t"), null.alias("w"), null.alias("r"), empty.alias("rows"), F.expr("cast(array() as array<bigint>)").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         goes_on = s["open"] & (x["t"] - s["t"] <= rules.session_minutes * 60_000_000)
@@ -106,11 +114,13 @@ def closing_sessions(readings: DataFrame, key: str = "gid", rules: Rules = Rules
         done = w.isNotNull() & ((w >= rules.big_enough) | ((add(False) == w) & (r.isNull() | (add(True) <= r)) & F.forall(rows, lambda y: y["known"])))
         return F.struct(
             n.cast("int").alias("n"), (~F.coalesce(done, F.lit(False))).alias("open"), x["t"].alias("t"), w.alias("w"), r.alias("r"), rows.alias("rows"),
-            F.concat(s["out"], F.array(F.struct(x["reading_id"].alias("reading_id"), n.cast("int").alias("session")))).alias("out"),
+            F.when(goes_on, s["out"]).otherwise(F.concat(s["out"], F.array(x["reading_id"].cast("long")))).alias("out"),
         )
 
-    found = per.select(F.explode(F.aggregate("_l", state, step, lambda s: s["out"])).alias("_o")).select("_o.*")
-    return readings.join(found, "reading_id")
+    # the fold only names the readings that open a session; the numbers follow by a running count
+    opens = per.select(F.explode(F.aggregate("_l", state, step, lambda s: s["out"])).alias("reading_id")).withColumn("_new", F.lit(1))
+    w = Window.partitionBy(key).orderBy("event_ts", "seq", "reading_id").rowsBetween(Window.unboundedPreceding, 0)
+    return readings.join(opens, "reading_id", "left").withColumn("session", (F.count("_new").over(w) - 1).cast("int")).drop("_new")
 
 
 def open_keys(submissions: DataFrame, now: Column, minutes: int = 30, key: str = "gid") -> DataFrame:
@@ -118,3 +128,16 @@ def open_keys(submissions: DataFrame, now: Column, minutes: int = 30, key: str =
     last = submissions.groupBy(key).agg(F.max("updated_at").alias("updated_at"))
     return last.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) <= minutes * 60_000_000).select(key)
 
+
+def closed_by_hand(submissions: DataFrame, keys: DataFrame, now: Column, minutes: int = 30, key: str = "gid") -> tuple[DataFrame, DataFrame]:
+    """(closed, missing): the last submissions of those of keys that are open, and the keys that have none open."""
+    opened = open_keys(submissions, now, minutes, key)
+    last = latest(submissions, [key], ["updated_at", "session"])
+    return last.join(keys.join(opened, key, "left_semi"), key, "left_semi"), keys.join(opened, key, "left_anti")
+
+
+def status(submissions: DataFrame, now: Column, minutes: int = 30, key: str = "gid") -> DataFrame:
+    """The open submissions: key, status, verdict, what is missing and the minutes left before they close."""
+    opened = latest(submissions, [key], ["updated_at", "session"]).join(open_keys(submissions, now, minutes, key), key, "left_semi")
+    left = minutes - F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / 60_000_000)
+    return opened.select(key, "session", "status", "verdict", "missing", left.cast("int").alias("minutes_left"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import cell, strip
+from tallymark.functions.text import archive_name, cell, strip
 from tallymark.sources.dimensions import Rules
 
 KEY = "Governor ID"
@@ -133,3 +133,28 @@ class Store:
 
     def count(self) -> int:
         return self.read().count()
+
+
+def write_submission(facts: Store, children: Store, records: DataFrame, rows: DataFrame, roster: DataFrame | None = None, key: str = KEY) -> None:
+    """Upsert the records and replace their rows. A record without a name takes the roster's (gid, name)."""
+    if roster is not None:
+        named = records.join(roster.select(F.col("gid").alias("_g"), F.col("name").alias("_n")), _same(f"`{key}`", "_g"), "left")
+        records = named.withColumn("Name", F.when(F.coalesce("Name", F.lit("")) == "", F.coalesce("_n", F.lit(""))).otherwise(F.col("Name"))).select(*[F.col(f"`{c}`") for c in records.columns])
+    facts.write(upsert(facts.read(), records, key))
+    children.write(replace_children(children.read(), records.select(F.col(f"`{key}`")), rows, key))
+
+
+def archive(images: DataFrame, path: str) -> bool:
+    """Keep raw images (ts, gid, suffix, content) under their archive names, by day; whether that worked: a failure is no
+    reason to lose the reading."""
+    named = images.select(archive_name(F.col("ts"), F.col("gid"), F.col("suffix")).alias("file"), F.to_date("ts").alias("day"), "content")
+    try:
+        named.write.mode("append").partitionBy("day").parquet(path)
+    except Exception:
+        return False
+    return True
+
+
+def mirror(outcomes: DataFrame, path: str) -> None:
+    """Append every outcome (key, outcome, detail) to an audit table, stamped: the second output of a batch."""
+    outcomes.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)

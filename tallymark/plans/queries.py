@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import text
-from tallymark.operators import choose, layout, reconcile, report, rules, sessions, sink
+from tallymark.operators import choose, layout, reconcile, report, rules, screens, sessions, sink
 from tallymark.sources import dimensions as d
 
 TIER_OF = {"ECONOMY": "T1", "SMALL": "T2", "MEDIUM": "T3", "LARGE": "T4", "PROMO": "T5"}
@@ -266,13 +266,13 @@ def closing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.closing_sessions(r, "gid", FEW).groupBy("gid", "session").agg(F.count("*").alias("n"))
 
 
-_CHANGES = "SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1"
+_CHANGES = "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1"
 
 
-@query(f"WITH s AS ({_CHANGES}) SELECT c_custkey AS key, c_name AS name, NULL::BIGINT AS n FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT k FROM s) UNION ALL SELECT k, 'new', n FROM s")
+@query(f"WITH s AS ({_CHANGES}) SELECT c_custkey AS key, c_name AS name, NULL::BIGINT AS n FROM customer WHERE c_custkey NOT IN (SELECT k FROM s) UNION ALL SELECT k, 'new', n FROM s")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _t(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit(None).cast("long").alias("n"))
-    new = _t(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n")).select("key", F.lit("new").alias("name"), "n")
+    base = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit(None).cast("long").alias("n"))
+    new = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n")).select("key", F.lit("new").alias("name"), "n")
     return sink.upsert(base, new, "key")
 
 
@@ -406,7 +406,15 @@ def match_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.match_icons(icons, numbers, ["img"]).select("pos", "number")
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT l_orderkey AS k, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS text, l_partkey % 500 AS l, l_suppkey % 60 AS top, l_partkey % 500 + 30 AS r, l_suppkey % 60 + 20 AS bottom FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY top, l, text, r, bottom) AS rn FROM t),
+f AS (SELECT *, 0 AS line, top AS ht, bottom AS hb FROM n WHERE rn = 1 UNION ALL
+  SELECT n.*, CASE WHEN abs(n.top - f.ht) > greatest(0.6 * greatest(f.hb - f.ht, 1), 6) THEN f.line + 1 ELSE f.line END,
+    CASE WHEN abs(n.top - f.ht) > greatest(0.6 * greatest(f.hb - f.ht, 1), 6) THEN n.top ELSE f.ht END, CASE WHEN abs(n.top - f.ht) > greatest(0.6 * greatest(f.hb - f.ht, 1), 6) THEN n.bottom ELSE f.hb END
+  FROM f JOIN n ON n.k = f.k AND n.rn = f.rn + 1)
+SELECT k AS l_orderkey, CAST(line AS INTEGER) AS line_no, string_agg(text, ' ' ORDER BY l, rn) AS text, CAST(min(top) AS INTEGER) AS top, CAST(max(bottom) AS INTEGER) AS bottom FROM f GROUP BY k, line"""
+)
 def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _t(spark, sf_dir, "lineitem")
     tokens = l.select("l_orderkey", F.col("l_quantity").cast("long").cast("string").alias("text"), (F.col("l_partkey") % 500).cast("int").alias("left"), (F.col("l_suppkey") % 60).cast("int").alias("top"), (F.col("l_partkey") % 500 + 30).cast("int").alias("right"), (F.col("l_suppkey") % 60 + 20).cast("int").alias("bottom"))
@@ -421,3 +429,90 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     read = c.filter("c_custkey % 7 > 0").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, (F.col("c_custkey") % 25).cast("int")).alias("value"))
     return choose.accuracy(c.filter("c_custkey % 5 > 0").select("c_custkey", F.col("c_nationkey").alias("value")), read, ["c_custkey"])
+
+
+def _screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One icon or number for every line of an order, on the screen of that order."""
+    l = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    box = [F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("int").alias("pos"), (F.col("l_partkey") % 300).cast("int").alias("left"), (F.col("l_suppkey") % 90).cast("int").alias("top")]
+    return l.select(*box, (F.col("l_partkey") % 300 + 30).cast("int").alias("right"), (F.col("l_suppkey") % 90 + 30).cast("int").alias("bottom"), F.col("l_quantity").cast("long").alias("q"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS image_id, l_linenumber AS pos, min(l_partkey) AS p, min(l_suppkey) AS s, CAST(min(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
+b AS (SELECT image_id, pos, p % 300 AS x, s % 90 AS y, q, CASE WHEN q % 3 = 0 THEN 'Siege' ELSE 'Archer' END AS class, CASE WHEN q % 4 > 0 THEN 'T' || (q % 4 + 1) END AS tier FROM l),
+i AS (SELECT * FROM b WHERE pos % 2 = 1), h AS (SELECT image_id, min(y) - 10 AS cut FROM i GROUP BY 1),
+n AS (SELECT b.* FROM b JOIN h USING (image_id) WHERE pos % 2 = 0 AND y >= cut),
+m AS (SELECT i.image_id, i.pos, i.tier, n.pos AS npos, n.q, row_number() OVER (PARTITION BY i.image_id, i.pos ORDER BY n.x, n.pos) AS rn FROM i JOIN n ON n.image_id = i.image_id AND n.x > i.x + 30 AND abs(n.y - i.y) < 18 WHERE i.class = 'Siege'),
+u AS (SELECT *, row_number() OVER (PARTITION BY image_id, npos ORDER BY pos) AS k FROM m WHERE rn = 1),
+c AS (SELECT i.image_id, i.tier, u.q FROM i LEFT JOIN u ON u.image_id = i.image_id AND u.pos = i.pos AND u.k = 1 WHERE i.class = 'Siege')
+SELECT o_orderkey AS image_id, """
+    + ", ".join(f"CAST(coalesce(sum(q) FILTER (tier = 'T{k}'), 0) AS BIGINT) AS n_t{k}" for k in range(1, 6))
+    + """, CAST(coalesce(sum(q) FILTER (tier IS NOT NULL), 0) AS BIGINT) AS total,
+  CAST(CASE WHEN max(h.cut) IS NULL THEN (o_orderkey % 2 = 1)::INT ELSE count(c.image_id) FILTER (q IS NULL OR tier IS NULL) END AS INTEGER) AS n_warnings, max(h.cut) IS NOT NULL OR o_orderkey % 2 = 0 AS readable
+FROM orders LEFT JOIN h ON h.image_id = o_orderkey LEFT JOIN c ON c.image_id = o_orderkey GROUP BY o_orderkey"""
+)
+def read_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _screen(spark, sf_dir)
+    blobs = s.filter("pos % 2 = 1").withColumn("class", F.when(F.col("q") % 3 == 0, "Siege").otherwise("Archer")).withColumn("tier", F.when(F.col("q") % 4 > 0, F.concat(F.lit("T"), F.col("q") % 4 + 1)))
+    numbers = s.filter("pos % 2 = 0").withColumn("text", F.col("q").cast("string"))
+    images = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"))
+    lines = images.select("image_id", F.when(F.col("image_id") % 2 == 0, "no units here").otherwise("nothing").alias("text"))
+    out = screens.read_grid(images, blobs.drop("q"), numbers.drop("q"), lines, ["image_id"])
+    return out.select("image_id", *[f"n_t{k}" for k in range(1, 6)], "total", F.size("warnings").alias("n_warnings"), "readable")
+
+
+@query("SELECT c_nationkey AS nation, median(c_acctbal) AS anchor FROM customer GROUP BY 1")
+def name_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screens.name_anchor(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("name_left")), ["nation"])
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey % 7 AS k, l_partkey % 200 // 6 * 6 + l_partkey % 3 AS x, count(*) AS n FROM lineitem GROUP BY 1, 2),
+s AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY k) AS peak FROM p) WHERE n >= 0.45 * peak AND peak >= 20),
+i AS (SELECT *, sum(CAST(x - lx > 3 AS INT)) OVER (PARTITION BY k ORDER BY x) AS isl FROM (SELECT *, coalesce(lag(x) OVER (PARTITION BY k ORDER BY x), x) AS lx FROM s)),
+c AS (SELECT k, isl, min(x) AS a, max(x) AS b, sum(n) AS w, count(*) AS m FROM i GROUP BY 1, 2),
+q AS (SELECT c.k, c.a, d.b, row_number() OVER (PARTITION BY c.k ORDER BY c.w + d.w DESC, c.isl, d.isl) AS rn FROM c JOIN c d ON c.k = d.k AND d.isl > c.isl AND d.b - c.a BETWEEN 40 AND 100),
+v AS (SELECT k, a, b FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m DESC, isl) AS rn FROM c) WHERE rn = 1 AND b - a BETWEEN 40 AND 100)
+SELECT coalesce(q.k, v.k) AS k, coalesce(q.a, v.a) AS "left", coalesce(q.b, v.b) AS "right" FROM (SELECT * FROM q WHERE rn = 1) q FULL JOIN v ON q.k = v.k"""
+)
+def column_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.col("l_partkey")
+    l = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("k"), (F.floor(part % 200 / 6) * 6 + part % 3).alias("x"))
+    return screens.column_pair(l.groupBy("k", "x").agg(F.count("*").alias("n")).withColumn("unit", F.lit(50.0)), ["k"])
+
+
+@query(
+    """WITH h AS (SELECT user_id AS k, floor(value) AS y, count(*) AS hits FROM events GROUP BY 1, 2),
+i AS (SELECT *, sum(CAST(y - ly > 5 AS INT)) OVER (PARTITION BY k ORDER BY y) AS isl FROM (SELECT *, coalesce(lag(y) OVER (PARTITION BY k ORDER BY y), y) AS ly FROM h WHERE hits >= 2)),
+r AS (SELECT k, isl, min(y) AS t, max(y) AS b FROM i GROUP BY 1, 2)
+SELECT k, CAST(t AS BIGINT) AS top, CAST(b AS BIGINT) AS bottom FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY abs((t + b) / 2 - 50), t) AS rn FROM r) WHERE rn = 1"""
+)
+def nearest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k"), F.floor("value").cast("long").alias("y")).agg(F.count("*").alias("hits"))
+    runs = screens.frame_runs(hits, ["k"], 5)
+    return screens.nearest_run(runs, runs.select("k").distinct().withColumn("target", F.lit(50.0)), ["k"])
+
+
+@query(
+    """WITH s AS (SELECT user_id AS gid, max(ts) AS updated_at FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
+SELECT gid, CAST(720 - floor((epoch_us(now) - epoch_us(updated_at)) / 60000000) AS INTEGER) AS minutes_left FROM s, m WHERE epoch_us(now) - epoch_us(updated_at) <= 720 * 60000000::BIGINT"""
+)
+def open_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    subs = e.select(F.col("user_id").alias("gid"), F.col("ts").alias("updated_at"), F.col("event_id").alias("session"), F.lit("Open").alias("status"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("missing"))
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    return sessions.status(subs, now, 720).select("gid", "minutes_left")
+
+
+@query(
+    """SELECT c_custkey AS key, CASE WHEN left(t, 1) IN ('=', '+', '-', '@') THEN chr(39) || t ELSE t END AS name, CAST(c_custkey - 700 AS VARCHAR) AS number,
+CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '=HYPERLINK("http://h/' || c_custkey || '", "Open")' END AS link,
+CASE WHEN c_custkey > 702 THEN chr(CAST(64 + ((c_custkey - 1) // 26 - 1) // 26 AS INT)) ELSE '' END || CASE WHEN c_custkey > 26 THEN chr(CAST(65 + ((c_custkey - 1) // 26 - 1) % 26 AS INT)) ELSE '' END
+  || chr(CAST(65 + (c_custkey - 1) % 26 AS INT)) AS letters FROM (SELECT *, CASE c_custkey % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END || c_name AS t FROM customer) c"""
+)
+def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    url = F.when(k % 3 > 0, F.concat(F.lit("http://h/"), k))
+    name = F.concat(F.when(k % 5 == 0, "=").when(k % 5 == 1, "-").otherwise(""), F.col("c_name"))
+    return c.select(k.alias("key"), text.cell(name).alias("name"), text.cell(k - 700).alias("number"), text.link(url, "Open").alias("link"), text.column_letters(k).alias("letters"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,11 @@ def keyed_units(raw: DataFrame) -> DataFrame:
     return last.select("key", "v.*")
 
 
+def small(dimension: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A dimension marked for broadcast if it has at most so many rows, by counting up to one more; as it is otherwise."""
+    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+
+
 def read_units(spark: SparkSession, path: str) -> DataFrame:
     """A unit table from a JSON file {"units": {name: {tier, type, power?}}}."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "units map<string, struct<tier: string, type: string, power: long>>").alias("j"))
@@ -73,7 +79,7 @@ def learn(units_table: DataFrame, learned: DataFrame) -> DataFrame:
     Entries whose tier or type is outside its domain are not taken: see `rejected`.
     """
     new = keyed_units(_tidy(learned).filter("reason IS NULL").drop("reason"))
-    return units_table.join(F.broadcast(new.select("key")), "key", "left_anti").unionByName(new)
+    return units_table.join(small(new.select("key")), "key", "left_anti").unionByName(new)
 
 
 def rejected(learned: DataFrame) -> DataFrame:
@@ -104,3 +110,40 @@ def roster(grid: DataFrame) -> DataFrame:
     rows = one.filter(F.col("pos") > F.coalesce("h.pos", F.lit(-1))).filter(F.size("cells") >= F.greatest(ids, names))
     rows = rows.select("pos", F.replace(strip(F.element_at("cells", ids)), F.lit(","), F.lit("")).alias("gid"), strip(F.element_at("cells", names)).alias("name"))
     return rows.filter(F.col("gid").rlike("^[0-9]+$")).groupBy("gid").agg(F.max_by("name", "pos").alias("name"))
+
+
+GLYPH = "class string, bits array<bigint>"
+
+
+def read_glyphs(spark: SparkSession, path: str) -> DataFrame:
+    """(class, bits) from a JSON file {"templates": {class: [32 lines of 32 "#" and "."]}}; a missing file is an empty table."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], GLYPH)
+    raw = text.select(F.from_json("value", "templates map<string, array<array<string>>>").alias("j")).select(F.explode("j.templates").alias("class", "p")).select("class", F.explode("p").alias("lines"))
+    flat = F.array_join("lines", "")
+    bit = lambda k: lambda acc, j: acc.bitwiseOR(F.when(F.substring(flat, k * 64 + j + 1, F.lit(1)) == "#", F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
+    word = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit(k))
+    return raw.select("class", F.transform(F.sequence(F.lit(0), F.lit(15)), word).alias("bits"))
+
+
+def add_glyphs(templates: DataFrame, learned: DataFrame) -> DataFrame:
+    """The templates with those of labelled glyphs (class, bits) that are new."""
+    return templates.select("class", "bits").union(learned.filter("class IS NOT NULL AND bits IS NOT NULL").select("class", "bits")).distinct()
+
+
+def write_glyphs(templates: DataFrame, path: str) -> None:
+    """Write the templates as one JSON line per class, 32 lines of text to a template."""
+    at = lambda y, x: F.get("bits", F.lit((y * 32 + x) // 64)).bitwiseAND(F.lit((1 << ((y * 32 + x) % 64)) - (1 << 64 if (y * 32 + x) % 64 == 63 else 0)))
+    line = lambda y: F.concat(*[F.when(at(y, x) != 0, "#").otherwise(".") for x in range(32)])
+    drawn = templates.select("class", F.array(*[line(y) for y in range(32)]).alias("lines"))
+    # a table of fixed size, so one file
+    whole = drawn.groupBy("class").agg(F.sort_array(F.collect_list("lines")).alias("p")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "p")))).alias("templates"))
+    whole.select(F.to_json(F.struct("templates")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def sheet_grid(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, cells): all cells of a small CSV sheet as strings, in order; NULL is empty."""
+    table = spark.read.csv(path, header=False, inferSchema=False)
+    return table.coalesce(1).select(F.monotonically_increasing_id().cast("int").alias("pos"), F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in table.columns]).alias("cells"))

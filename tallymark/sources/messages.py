@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import extract_key, is_image, media_type, strip
@@ -105,3 +109,44 @@ class Options:
                 raise ValueError(f"{prefix}{name} must be a whole number, got {value!r}") from None
 
         return Options(number("SESSION_MINUTES", 30), number("ROSTER_MINUTES", 5), number("WORKERS", 2), text("CREDENTIALS"), {k: v for k, v in env.items() if k.startswith(prefix)})
+
+
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width, channels and BGR bytes of image files, by Spark's own image source."""
+    return spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def request_body(content: Column) -> Column:
+    """The data URL of an image, as external readers take it."""
+    return F.concat(F.lit("data:"), media_type(content), F.lit(";base64,"), F.base64(content))
+
+
+def read_externally(images: DataFrame, reader: Callable[[bytes, str], str], key: str = "reading_id") -> DataFrame:
+    """key, reply and error of an external reader over images (key, content, mime): too large an image, or a reader that
+    raises, is an error of its row and never the job's."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            replies, errors = [], []
+            for content, mime in zip(f["content"], f["mime"]):
+                reply, error = None, None
+                if len(content) > MAX_IMAGE_BYTES:
+                    error = "image too large"
+                else:
+                    try:
+                        reply = reader(bytes(content), mime)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                replies.append(reply)
+                errors.append(error)
+            yield pd.DataFrame({key: f[key], "reply": replies, "error": errors})
+
+    kind = dict(images.dtypes)[key]
+    return images.select(key, "content", "mime").mapInPandas(run, f"{key} {kind}, reply string, error string")
+
+
+def credentials(value: str) -> dict:
+    """Credentials given as JSON or as the path of a JSON file; blank ones are none."""
+    if not value.strip():
+        return {}
+    return json.loads(value if value.lstrip().startswith("{") else Path(value).read_text())

@@ -12,6 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +22,11 @@ from tallymark.operators.sessions import SCALARS
 from tallymark.sources.dimensions import Rules
 
 ROWS = "array<struct<key_name:string,name:string,count:bigint,known:boolean,in_ram_zone:boolean>>"
-OUT = "gid string, session_start timestamp, event_ts timestamp, seq long, epoch int, " + ", ".join(f"{c} long" for c in SCALARS) + ", listed long, siege long, n_rows int, complete boolean, closed boolean"
+TOLD = "user_name string, image_urls array<string>, message_urls array<string>, sources array<string>, notes array<string>, rss_approx boolean, cost_incomplete boolean"
+OUT = "gid string, session_start timestamp, event_ts timestamp, seq long, epoch int, " + ", ".join(f"{c} long" for c in SCALARS) + ", listed long, siege long, n_rows int, complete boolean, closed boolean, " + TOLD
+
+
+KEPT = tuple(x.split()[0] for x in TOLD.split(", "))
 
 
 def merge_into(state: dict, reading: dict, rules: Rules) -> dict:
@@ -35,6 +40,15 @@ def merge_into(state: dict, reading: dict, rules: Rules) -> dict:
     for c in SCALARS:
         if reading[c] is not None:
             state["scalars"][c] = reading[c]
+    expected = list(reading.get("expected_resources") or [])
+    if expected:
+        state["cost_incomplete"] = any(state["scalars"].get(c) is None for c in expected)
+    state["rss_approx"] = state["rss_approx"] or bool(reading.get("rss_approx"))
+    state["user_name"] = reading.get("user_name")
+    for many, one in (("image_urls", "image_url"), ("message_urls", "message_url")):
+        state[many] += [reading[one]] if reading.get(one) else []
+    state["sources"] += [reading["source"]] if reading.get("source") else []
+    state["notes"] += list(reading.get("warnings") or [])
     sums = {zone: sum(r["count"] for r in state["rows"].values() if r["in_ram_zone"] == zone) for zone in (False, True)}
     wounded, ram = state["scalars"]["wounded_current"], state["scalars"]["ram_current"]
     fits = wounded is not None and sums[False] == wounded and (ram is None or sums[True] <= ram)
@@ -45,11 +59,12 @@ def merge_into(state: dict, reading: dict, rules: Rules) -> dict:
 
 
 def _new(start: str) -> dict:
-    return {"start": start, "epoch": 0, "rows": {}, "scalars": dict.fromkeys(SCALARS), "updated": None, "closed": False}
+    return {"start": start, "epoch": 0, "rows": {}, "scalars": dict.fromkeys(SCALARS), "updated": None, "closed": False, "user_name": None, "image_urls": [], "message_urls": [], "sources": [], "notes": [], "rss_approx": False, "cost_incomplete": False}
 
 
 def live_sessions(readings: DataFrame, rules: Rules = Rules(), delay: str = "1 day") -> DataFrame:
-    """A row for every reading: the submission as merged so far. readings: gid, event_ts (timestamp), seq, rows, scalars."""
+    """A row for every reading: the submission as merged so far. readings: gid, event_ts (timestamp), seq, rows, scalars
+    and, if there are such columns, user_name, image_url, message_url, source, warnings, rss_approx, expected_resources."""
     limit = rules.session_minutes * 60
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,12 +80,13 @@ def live_sessions(readings: DataFrame, rules: Rules = Rules(), delay: str = "1 d
                 state = _new(r["event_ts"].isoformat())
             plain = {c: None if pd.isna(r[c]) else int(r[c]) for c in SCALARS}
             rows = [{"key_name": x["key_name"], "name": x["name"], "count": int(x["count"]), "known": bool(x["known"]), "in_ram_zone": bool(x["in_ram_zone"])} for x in (r["rows"] if r["rows"] is not None else [])]
-            state = merge_into(state, {**plain, "rows": rows}, rules)
+            told = {c: v.tolist() if hasattr(v := r.get(c), "tolist") else v for c in ("user_name", "image_url", "message_url", "source", "warnings", "rss_approx", "expected_resources")}
+            state = merge_into(state, {**plain, **{c: None if isinstance(v, float) else v for c, v in told.items()}, "rows": rows}, rules)
             state["updated"] = at
-            out.append((key[0], pd.Timestamp(state["start"]), r["event_ts"], r["seq"], state["epoch"], *(state["scalars"][c] for c in SCALARS), state["listed"], state["siege"], len(state["rows"]), state["complete"], state["closed"]))
+            out.append((key[0], pd.Timestamp(state["start"]), r["event_ts"], r["seq"], state["epoch"], *(state["scalars"][c] for c in SCALARS), state["listed"], state["siege"], len(state["rows"]), state["complete"], state["closed"], *(list(v) if isinstance(v := state[c], list) else v for c in KEPT)))
         held.update((json.dumps(state),))
         held.setTimeoutTimestamp(max(int(state["updated"] + limit) * 1000 + 1000, held.getCurrentWatermarkMs() + 1))
-        names = ["gid", "session_start", "event_ts", "seq", "epoch", *SCALARS, "listed", "siege", "n_rows", "complete", "closed"]
+        names = ["gid", "session_start", "event_ts", "seq", "epoch", *SCALARS, "listed", "siege", "n_rows", "complete", "closed", *KEPT]
         frame = pd.DataFrame(out, columns=names)
         yield frame.astype({c: "Int64" for c in SCALARS})
 
@@ -88,3 +104,30 @@ def newest(batch: DataFrame) -> DataFrame:
     """The last row of each key in a batch, for an upsert."""
     whole = F.struct(*batch.columns)
     return batch.groupBy("gid").agg(F.max_by(whole, F.struct("event_ts", "seq")).alias("_v")).select("_v.*")
+
+
+def guarded(apply: Callable[[DataFrame, int], None], failed: str) -> Callable[[DataFrame, int], None]:
+    """apply, but a batch that it fails on is kept under the folder `failed`, with the reason, and the stream goes on."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            apply(batch, number)
+        except Exception as e:
+            batch.withColumn("reason", F.lit(f"{type(e).__name__}: {e}"[:1000])).write.mode("overwrite").parquet(f"{failed}/batch={number}")
+
+    return run
+
+
+def with_static(read: Callable[[], DataFrame], apply: Callable[[DataFrame, int, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """apply with the static side (the roster) read again for every batch; while it cannot be read, the one before stands."""
+    held: list[DataFrame] = []
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            held[:] = [read()]
+        except AnalysisException:
+            if not held:
+                raise
+        apply(batch, number, held[0])
+
+    return run
