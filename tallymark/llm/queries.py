@@ -47,8 +47,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+    return topk.top_k(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Exact top-k inner-product search with vector approximations.
 
-Every vector is reduced to cells of a few bits per component. A scan over the cells bounds each inner product from both
-sides; exact components are then read in the order of the upper bounds, a run at a time, until no unread bound can reach
-the kth score found so far. Each task keeps k results per query; a window takes the best k over all tasks.
+A file is written once: of every vector a cell of CELL_BITS bits per component, by the vector's own scale, and beside it,
+as another column, its exact components. A scan reads the cells alone and bounds each inner product from both sides; rows
+whose upper bound is below the kth lower bound are gone. Exact vectors are then read by joins, in the order of the upper
+bounds: the first few of each query, and after them those whose bound still reaches the kth score found.
 
-Queries go to the tasks in slices of bounded size (SLICE_BYTES), one pass over the candidates for each slice.
+Queries go to the tasks in slices of bounded size (SLICE_BYTES), one slice after another.
 
-Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without
-an id; a query meets only vectors of its own length; rows that repeat are candidates each, but a repeated query id asks
-once, with its least vector; rows with the query's id are its own and no candidates; ties go to the smaller id; sums
-beyond a long are clamped to it; an empty table gives an empty table; other columns are ignored.
+Defined results: vectors that are null, empty or hold a null or non-finite component (after scaling) take no part, nor do
+rows without an id; a query meets only vectors of its own length; rows that repeat an id are candidates and queries each,
+and only the query's own row is none of its candidates; ties go to the smaller id; sums beyond a long are clamped to it; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,128 +20,159 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, stash
+
 SLICE_BYTES = 32 << 20
 #: Bits of a cell number, per component.
 CELL_BITS = 6
 _QUERIES = 512
 _ROWS = 4096
-_EXACT = 2**52
+_HELD = 1 << 20
+_EXACT = 2.0**52
 
 
-def _vectors(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, integer vectors as float64) of the rows that take part, by vector length."""
-    valid = ~np.asarray(ids.is_null()) & ~np.asarray(lists.is_null())
-    where = np.flatnonzero(valid)
+def _vectors(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, integer vectors as float64) of the rows that take part, by vector length."""
+    where = np.flatnonzero(~np.asarray(lists.is_null()))
     if not len(where):
         return
     kept = lists.take(pa.array(where))
-    number = ids.take(pa.array(where)).to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.asarray(kept.value_lengths(), dtype=np.int64)
     values = np.asarray(kept.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=np.float64)
     starts = np.cumsum(sizes) - sizes
     for d in np.unique(sizes[sizes > 0]).tolist():
         at = np.flatnonzero(sizes == d)
-        x = values[starts[at][:, None] + np.arange(d)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = np.floor(256.0 * values[starts[at][:, None] + np.arange(d)])
         fine = np.isfinite(x).all(axis=1)
         if fine.any():
-            yield number[at[fine]], np.floor(256.0 * x[fine])
-
-
-class _Best:
-    """The k best of each query so far, by score downwards, then id upwards."""
+            yield where[at[fine]], x[fine]
+
+
+def _width(top: np.ndarray) -> np.ndarray:
+    """The width of a vector's cells, from its largest component."""
+    return np.maximum(1.0, np.ceil((2 * top + 1) / (1 << CELL_BITS)))
+
+
+def approximations(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """uid, vec_id, size, top, cells and exact of the vectors that take part; written, so that a uid stays a row's."""
+    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).filter("vec_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, _ROWS):
+                s = b.slice(k, _ROWS)
+                for at, x in _vectors(s.column("embedding")):
+                    top = np.abs(x).max(axis=1)
+                    cells = np.clip(np.floor((x + top[:, None]) / _width(top)[:, None]), 0, (1 << CELL_BITS) - 1).astype(np.uint8)
+                    take = pa.array(at)
+                    cols = [s.column("uid").take(take), s.column("vec_id").take(take), pa.array(np.full(len(at), x.shape[1], dtype=np.int32)), pa.array(top)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(map(bytes, cells), pa.binary()), pa.array((r.tobytes() for r in x), pa.binary())], ["uid", "vec_id", "size", "top", "cells", "exact"])
+
+    return stash(rows.mapInArrow(run, "uid long, vec_id long, size int, top double, cells binary, exact binary"))
+
+
+class _Near:
+    """The candidates of one length's queries so far, and the kth lower bound of each."""
+
+    def __init__(self, uids: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.uids, self.q, self.k = uids, q, k
+        self.best = np.full((len(q), k), -np.inf)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+        self.above, self.below = np.clip(q, 0, None).sum(axis=1), np.clip(q, None, 0).sum(axis=1)
+        self.most = float(np.abs(q).max())
+
+    def offer(self, uids: np.ndarray, top: np.ndarray, cells: np.ndarray) -> None:
+        width = _width(top)
+        low = cells * width[:, None] - top[:, None]
+        for a in range(0, len(self.q), _QUERIES):
+            rows = slice(a, a + _QUERIES)
+            corner = self.q[rows] @ low.T
+            upper, lower = (corner + side[rows, None] * (width - 1) for side in (self.above, self.below))
+            if float(top.max()) * self.most * cells.shape[1] * 2 >= _EXACT:  # sums that floats round
+                slack = (np.abs(self.q[rows]) @ (np.abs(low) + width[:, None]).T) * cells.shape[1] * 2.0**-50
+                upper, lower = upper + slack, lower - slack
+            own = self.uids[rows, None] == uids[None, :]
+            upper[own] = lower[own] = -np.inf
+            every = np.concatenate([self.best[rows], lower], axis=1)
+            self.best[rows] = np.partition(every, every.shape[1] - self.k, axis=1)[:, every.shape[1] - self.k :]
+            i, j = np.nonzero((upper >= self.best[rows].min(axis=1)[:, None]) & (upper > -np.inf))
+            self.parts.append((i + a, uids[j], upper[i, j], lower[i, j]))
+            self.held += len(i)
+        if self.held > _HELD:
+            self.prune()
+
+    def prune(self) -> tuple[np.ndarray, ...]:
+        q, uids, upper, lower = (np.concatenate([p[c] for p in self.parts]) for c in range(4))
+        keep = upper >= self.best.min(axis=1)[q]
+        self.parts = [tuple(x[keep] for x in (q, uids, upper, lower))]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> int:
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * len(a) < _EXACT:
+        return int(a @ b)
+    return max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, b))))
+
+
+def top_k(vectors: DataFrame, asks: Column | str, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """query_id, rank, vec_id and score: the k best other rows for every row that `asks` (a condition on vec_id) names."""
+    spark = vectors.sparkSession
+    file = approximations(vectors, vec_id, embedding)
+    asked = file.filter(F.expr(asks) if isinstance(asks, str) else asks)
+    slices = max(1, -(-(asked.agg(F.sum(8 * F.col("size"))).first()[0] or 0) // slice_bytes))
 
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.found: list[list[tuple[int, int]]] = [[] for _ in range(queries)]
-        self.least = np.full(queries, -np.inf)
-
-    def offer(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        # more than k ties may stand at the kth score: order by score, then id, before cutting
-        order = np.lexsort((ids, -scores))[: self.k]
-        merged = sorted([*self.found[q], *((-int(scores[i]), int(ids[i])) for i in order)])[: self.k]
-        self.found[q] = merged
-        if len(merged) == self.k:
-            self.least[q] = -merged[-1][0]
+    def one(part: int) -> DataFrame:
+        table = asked.filter(F.pmod(F.xxhash64("uid"), F.lit(slices)) == part).select("uid", "vec_id", "size", "exact").toArrow()
+        uids, sizes, exact = table["uid"].to_numpy(), table["size"].to_numpy(), table["exact"].to_pylist()
+        groups = [(uids[at], np.stack([np.frombuffer(exact[i]) for i in at])) for at in (np.flatnonzero(sizes == d) for d in np.unique(sizes))]
+        packed = spark.sparkContext.broadcast(groups)
 
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = {q.shape[1]: _Near(own, q, k) for own, q in packed.value}
+            for b in batches:
+                for at in range(0, b.num_rows, _ROWS):
+                    s = b.slice(at, _ROWS)
+                    size, uid, top = (s.column(c).to_numpy() for c in ("size", "uid", "top"))
+                    for d in np.unique(size).tolist():
+                        if d in near:
+                            here = np.flatnonzero(size == d)
+                            cells = np.frombuffer(b"".join(s.column("cells").take(pa.array(here)).to_pylist()), dtype=np.uint8).reshape(-1, d)
+                            near[d].offer(uid[here], top[here], cells)
+            for n in near.values():
+                if n.parts:
+                    q, uid, upper, lower = n.prune()
+                    yield pa.RecordBatch.from_arrays([pa.array(n.uids[q]), pa.array(uid), pa.array(upper), pa.array(lower)], ["q", "uid", "upper", "lower"])
+
+        found = stash(file.select("uid", "size", "top", "cells").mapInArrow(scan, "q long, uid long, upper double, lower double"))
+        by = Window.partitionBy("q")
+        least = found.withColumn("n", F.row_number().over(by.orderBy(F.desc("lower"), "uid"))).filter(F.col("n") == k).select("q", F.col("lower").alias("least"))
+        left = found.join(least, "q", "left").filter("least is null or upper >= least")
+        left = stash(left.select("q", "uid", "upper", F.row_number().over(by.orderBy(F.desc("upper"), "uid")).alias("n")))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = {u: x for own, q in packed.value for u, x in zip(own.tolist(), q)}
+            for b in batches:
+                got = [_product(of[q], np.frombuffer(x)) for q, x in zip(b.column("q").to_pylist(), b.column("exact").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("q"), b.column("vec_id"), pa.array(got, pa.int64())], ["q", "vec_id", "score"])
 
-def _scan(q_ids: np.ndarray, q: np.ndarray, best: _Best, ids: np.ndarray, x: np.ndarray) -> None:
-    d = x.shape[1]
-    top = max(float(np.abs(x).max()), 1.0)
-    if top * max(float(np.abs(q).max()), 1.0) * d >= _EXACT:
-        _scan_wide(q_ids, q, best, ids, x)
-        return
-    width = float(max(1, -(-int(2 * top + 1) // (1 << CELL_BITS))))
-    low = np.floor(x / width) * width  # the lower corner of a vector's cell; the upper one is width - 1 above
-    above = (width - 1) * np.clip(q, 0, None).sum(axis=1)
-    below = (width - 1) * np.clip(q, None, 0).sum(axis=1)
-    for a in range(0, len(q), _QUERIES):
-        rows = slice(a, a + _QUERIES)
-        corner = q[rows] @ low.T
-        corner[q_ids[rows, None] == ids[None, :]] = -np.inf
-        if len(ids) > best.k:
-            kth = np.partition(corner, len(ids) - best.k, axis=1)[:, len(ids) - best.k] + below[rows]
-        else:
-            kth = np.full(len(corner), -np.inf)
-        floor = np.maximum(best.least[rows], kth)
-        upper = corner + above[rows, None]
-        near = (upper >= floor[:, None]) & np.isfinite(corner)
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            at = np.flatnonzero(near[i])
-            at = at[np.argsort(-upper[i, at], kind="stable")]
-            done, step = 0, 4 * best.k
-            while done < len(at) and upper[i, at[done]] >= best.least[a + i]:
-                part = at[done : done + step]
-                best.offer(a + i, ids[part], x[part] @ q[a + i])
-                done, step = done + step, 2 * step
-
-
-def _scan_wide(q_ids: np.ndarray, q: np.ndarray, best: _Best, ids: np.ndarray, x: np.ndarray) -> None:
-    """As _scan for components too large for exact float arithmetic: whole-number sums, clamped to a long."""
-    whole = [[int(v) for v in row] for row in x]
-    for i, row in enumerate(q):
-        mine = [int(v) for v in row]
-        for at, other in zip(ids.tolist(), whole):
-            if at != q_ids[i]:
-                score = max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(mine, other))))
-                best.found[i] = sorted([*best.found[i], (-score, at)])[: best.k]
-        if len(best.found[i]) == best.k:
-            best.least[i] = -best.found[i][-1][0]
-
-
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score: the k best candidates of every query."""
-    spark = candidates.sparkSession
-    pick = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    asked = pick(queries).filter("vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    total = asked.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0
-    slices = max(1, -(-total // SLICE_BYTES))
-    schema = "query_id long, vec_id long, score long"
+        def read(wanted: DataFrame) -> DataFrame:
+            rows = small(wanted, wanted.count())
+            return stash(file.select("uid", "vec_id", "exact").join(rows, "uid").select("q", "vec_id", "exact").mapInArrow(score, "q long, vec_id long, score long"))
 
-    def one(part: int) -> DataFrame:
-        own = asked if slices == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == part)
-        table = own.toArrow()
-        packed = spark.sparkContext.broadcast(list(_vectors(table["vec_id"].combine_chunks(), table["embedding"].combine_chunks())) if table.num_rows else [])
+        first = read(left.filter(F.col("n") <= 4 * k).select("q", "uid"))
+        kth = first.withColumn("n", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") == k).select("q", F.col("score").alias("kth"))
+        open_ = left.filter(F.col("n") > 4 * k).join(kth, "q", "left").filter("kth is null or upper >= kth").select("q", "uid")
+        every = first.union(read(open_)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+        out = every.join(asked.select(F.col("uid").alias("q"), F.col("vec_id").alias("query_id")), "q").select("query_id", "rank", "vec_id", "score")
+        return out if slices == 1 else stash(out)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            groups = {q.shape[1]: (q_ids, q, _Best(len(q_ids), k)) for q_ids, q in packed.value}
-            for b in batches:
-                for ids, x in _vectors(b.column("vec_id"), b.column("embedding")):
-                    if x.shape[1] in groups:
-                        for at in range(0, len(ids), _ROWS):
-                            _scan(*groups[x.shape[1]], ids[at : at + _ROWS], x[at : at + _ROWS])
-            for q_ids, _, best in groups.values():
-                rows = [(int(i), v, -s) for i, found in zip(q_ids, best.found) for s, v in found]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-        return pick(candidates).mapInArrow(run, schema)
-
-    found = reduce(DataFrame.union, [one(p) for p in range(slices)])
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.union, [one(p) for p in range(slices)])
 
 
 ORACLE = """

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallymark.llm import topk
 
@@ -9,13 +10,10 @@ from tallymark.llm import topk
 def brute(rows, k, asked):
     ints = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    queries = {}
-    for i, v in sorted(ints):
+    for n, (i, q) in enumerate(ints):
         if asked(i):
-            queries.setdefault(i, v)
-    for i, q in queries.items():
-        s = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in ints if j != i and len(v) == len(q)]
-        out += [(i, r + 1, j, -n) for r, (n, j) in enumerate(sorted(s)[:k])]
+            found = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v)))), j) for m, (j, v) in enumerate(ints) if m != n and len(v) == len(q)]
+            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(sorted(found)[:k])]
     return sorted(out)
 
 
@@ -28,15 +26,33 @@ def test_matches_brute_force(spark):
     rows += [(1250, [1e30] * 3), (1251, [-1e30] * 3), (1252, [1e-3] * 3)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
     rows = [(i, None if v is None else [None if x is None else f(x) for x in v]) for i, v in rows]
-    got = sorted(tuple(x) for x in topk.top_k(df, df.filter("vec_id % 50 = 0")).collect())
+    got = sorted(tuple(x) for x in topk.top_k(df, "vec_id % 50 = 0").collect())
     assert got == brute(rows, 5, lambda i: i % 50 == 0)
 
 
-def test_slices_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SLICE_BYTES", 200)
+def test_slices_and_empty(spark):
     r = random.Random(6)
     rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(150)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(tuple(x) for x in topk.top_k(df, df.filter("vec_id % 10 = 0"), k=3).collect())
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 10 == 0, k=3, slice_bytes=200).collect())
     assert got == brute(rows, 3, lambda i: i % 10 == 0)
-    assert topk.top_k(df.filter("false"), df.filter("false")).collect() == []
+    assert topk.top_k(df.filter("false"), "true").collect() == []
+
+
+def test_bounds_hold_and_pruning_is_exact(spark, monkeypatch):
+    """Few bits and little room for candidates: the bounds are wide, and the result is the same."""
+    monkeypatch.setattr(topk, "CELL_BITS", 2)
+    monkeypatch.setattr(topk, "_HELD", 50)
+    monkeypatch.setattr(topk, "_ROWS", 16)
+    r = random.Random(9)
+    x = np.array([[r.gauss(0, 3000) // 1 for _ in range(12)] for _ in range(300)])
+    near = topk._Near(np.arange(20), x[:20], 5)
+    top = np.abs(x).max(axis=1)
+    cells = np.clip(np.floor((x + top[:, None]) / topk._width(top)[:, None]), 0, 3).astype(np.uint8)
+    near.offer(np.arange(300), top, cells)
+    q, uid, upper, lower = near.prune()
+    exact = (x[q] * x[uid]).sum(axis=1)
+    assert (lower <= exact).all() and (exact <= upper).all() and len(q) < 20 * 299
+    for k in range(20):
+        best = sorted(((-(x[k] @ x[j]), j) for j in range(300) if j != k))[:5]
+        assert {j for _, j in best} <= set(uid[q == k].tolist())
