@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: Column, train: Column, r
     totals = {r["label"]: r["count"] for r in pool.groupBy("label").count().collect()}
     if not totals:
         return [], {}
-    by_id = Window.partitionBy("label").orderBy("place", "doc_id")
-    chosen = pool.withColumn("place", F.xxhash64("doc_id")).withColumn("at", F.row_number().over(by_id)).filter(F.col("at") <= rows).drop("at")
+    # a limit after an order keeps `rows` of each task before anything moves, whatever the share of a label
+    placed = pool.withColumn("place", F.xxhash64("doc_id"))
+    chosen = reduce(DataFrame.union, [placed.filter(F.col("label") == v).orderBy("place", "doc_id").limit(rows) for v in sorted(totals)])
     # at most rows * len(totals) ids, so they may be broadcast; an id that documents repeat counts each time
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter("text is not null")
     found = texts.join(F.broadcast(chosen), "doc_id").withColumn("order", F.xxhash64("text"))
