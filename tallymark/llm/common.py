@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table with at most this many rows, each of bounded width, may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
+#: No more keys than this hold so large a share of a join's rows that they are broadcast, by `spread`.
+HOT_KEYS = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +22,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="tallymark-")
         _own[app] = found
@@ -42,6 +46,18 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row a key and, as `n`, how many of the `total` rows hold it; n is dropped.
+
+    The keys of over 64 rows and of over a HOT_KEYS-th of all are fewer than HOT_KEYS, whatever the data, and are broadcast,
+    so that the rows of such a key stay where they are. The others are shuffled.
+    """
+    bar = max(64, -(-total // HOT_KEYS))
+    hot, other = (table.filter(c).drop("n") for c in (F.col("n") > bar, F.col("n") <= bar))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte per character take the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

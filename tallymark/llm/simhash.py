@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, stash
+from .common import small, spread, stash
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -195,17 +195,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 def roots(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): root is the smallest vertex of its component.
 
-    Alternating large-star and small-star steps, each a join with per-vertex minima; every round is written to the
-    shared folder, so lineage stays short. Ends when a round changes nothing.
+    Alternating large-star and small-star steps, each a join with per-vertex minima, in which the vertices of many edges
+    are broadcast; every round is written to the shared folder, so lineage stays short. Ends when a round changes nothing.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.coalesce(F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0))).first())
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def star(df: DataFrame, large: bool, edges: int) -> DataFrame:
         both = df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        pairs = both.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        pairs = spread(both, low, "a", 2 * edges)
         if large:
             out = pairs.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -218,19 +218,20 @@ def roots(edges: DataFrame) -> DataFrame:
         before = at
         if not at[0]:
             break
-        now = stash(star(star(now, True), False))
+        now = stash(star(star(now, True, at[0]), False, at[0]))
     return now.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root"))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) for every row of docs."""
     marked = stash(fingerprints(docs, doc_id, text, shingle))
-    classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     up = roots(links(classes.select("fp"), max_bits))
-    rooted = classes.join(up, classes.fp == up.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stash(rooted.join(lowest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = stash(classes.join(up, classes.fp == up.v, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    n_classes, n_rows = rooted.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = stash(spread(rooted, lowest, "root", n_classes).select("fp", "component_id", F.col("rows").alias("n")))
+    return spread(marked, named, "fp", n_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
