@@ -152,24 +152,25 @@ def zone_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH u AS (SELECT k AS key, arg_max(struct_pack(t := CASE p_type WHEN 'ECONOMY' THEN 'T1' WHEN 'SMALL' THEN 'T2' WHEN 'MEDIUM' THEN 'T3' WHEN 'LARGE' THEN 'T4' WHEN 'PROMO' THEN 'T5' END), p_partkey).t AS tier
-  FROM (SELECT *, trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')) AS k FROM part WHERE p_partkey % 4 = 0) GROUP BY k),
+  FROM (SELECT *, trim(regexp_replace(lower(p_name || CASE WHEN p_size > 12 THEN ' guard' ELSE '' END), '[^a-z]+', ' ', 'g')) AS k FROM part) GROUP BY k),
 j AS (SELECT l_quantity::BIGINT AS n, l_linestatus = 'F' AS visible, u.tier FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN u ON l_linestatus = 'F' AND trim(regexp_replace(lower(upper(p_name)), '[^a-z]+', ' ', 'g')) = u.key)
 SELECT visible, tier, tier IS NOT NULL AS known, count(*) AS n_rows, sum(n)::BIGINT AS troops, sum(n * coalesce(CASE tier WHEN 'T1' THEN 1 WHEN 'T2' THEN 2 WHEN 'T3' THEN 3 WHEN 'T4' THEN 4 WHEN 'T5' THEN 10 END, 0))::BIGINT AS power FROM j GROUP BY ALL"""
 )
 def resolve_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     tier = F.coalesce(*[F.when(F.col("p_type") == k, F.lit(v)) for k, v in TIER_OF.items()])
-    units = d.keyed_units(parts.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), tier.alias("tier"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("long").alias("power")))
+    units = d.keyed_units(parts.select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.when(F.col("p_size") > 12, " guard").otherwise("")).alias("name"), tier.alias("tier"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("long").alias("power")))
     lines = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_linestatus").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     rows = lines.select(F.upper("p_name").alias("raw_name"), F.col("l_quantity").cast("long").alias("count"), (F.col("l_linestatus") == "F").alias("name_visible"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("string").alias("troop_type"))
     out = reconcile.resolve(rows, units, d.tiers(spark))
     return out.groupBy(F.col("name_visible").alias("visible"), "tier", "known").agg(F.count("*").alias("n_rows"), F.sum("count").alias("troops"), F.sum("power_total").alias("power"))
 
 
-@query("SELECT c_custkey::VARCHAR AS gid, c_name AS roster_name FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0")
+@query("SELECT c_custkey::VARCHAR AS gid, c_name AS roster_name FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
 def roster_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("gid"), "c_name", "c_custkey")
-    roster = c.filter("c_custkey % 3 <> 0").select("gid", F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("c_name")).alias("name"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("gid"), "c_name", "c_mktsegment")
+    its = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("x"), "gid")).otherwise(F.col("gid"))
+    roster = c.select(its.alias("gid"), F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_name")).alias("name"))
     return reconcile.pass_roster(c.select("gid"), roster)
 
 
@@ -277,19 +278,21 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey % 7 = 0)
-SELECT l_orderkey AS key, l_linenumber AS line FROM lineitem WHERE l_orderkey NOT IN (SELECT key FROM k) UNION ALL SELECT key, 0 FROM k WHERE key % 2 = 0"""
+    """WITH k AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_orderkey AS key, l_linenumber AS line FROM lineitem WHERE l_orderkey NOT IN (SELECT key FROM k)
+UNION ALL SELECT DISTINCT l_orderkey, 0 FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'"""
 )
 def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"))
-    keys = lines.filter("key % 7 = 0").select("key").distinct()
-    return sink.replace_children(lines, keys, keys.filter("key % 2 = 0").select("key", F.lit(0).alias("line")), "key")
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), "l_returnflag", "l_linestatus")
+    back = items.filter("l_returnflag = 'R'")
+    new = back.filter("l_linestatus = 'F'").select("key").distinct().select("key", F.lit(0).alias("line"))
+    return sink.replace_children(items.select("key", "line"), back.select("key").distinct(), new, "key")
 
 
-@query("SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query("SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'P')")
 def remove_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    return sink.remove(base, _t(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("key")), "key")
+    return sink.remove(base, _t(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%' AND o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")), "key")
 
 
 def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +309,7 @@ def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def edit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    c = _t(spark, sf_dir, "customer").filter("c_custkey % 6 IN (1, 2, 3)")
+    c = _t(spark, sf_dir, "customer")
     field = F.when(k % 6 == 1, "T4+T5 Troops").when(k % 6 == 2, "Name").otherwise("Food")
     value = F.when(k % 6 == 1, F.format_number(k * 100, 0)).when(k % 6 == 2, "=x").otherwise("abc")
     edits = c.select(k.cast("string").alias("Governor ID"), field.alias("field"), value.alias("value"), F.when(k % 6 == 1, "Ed").otherwise("").alias("editor"))
@@ -423,12 +426,13 @@ def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT count(*) FILTER (t = r) AS "right", count(*) FILTER (r IS NOT NULL AND t IS DISTINCT FROM r) AS wrong, count(*) FILTER (t IS NOT NULL AND r IS NULL) AS blank
-FROM (SELECT c_custkey AS k, c_nationkey AS t FROM customer WHERE c_custkey % 5 > 0) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 25 END AS r FROM customer WHERE c_custkey % 7 > 0) b ON a.k = b.k"""
+FROM (SELECT c_custkey AS k, c_nationkey AS t FROM customer) a FULL JOIN (SELECT c_custkey + 10 AS k, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 25 END AS r FROM customer) b ON a.k = b.k"""
 )
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    read = c.filter("c_custkey % 7 > 0").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, (F.col("c_custkey") % 25).cast("int")).alias("value"))
-    return choose.accuracy(c.filter("c_custkey % 5 > 0").select("c_custkey", F.col("c_nationkey").alias("value")), read, ["c_custkey"])
+    # the readings' keys are ten further, so the first truths have none and the last readings are spurious
+    read = c.select((F.col("c_custkey") + 10).alias("c_custkey"), F.when(F.col("c_custkey") % 3 > 0, (F.col("c_custkey") % 25).cast("int")).alias("value"))
+    return choose.accuracy(c.select("c_custkey", F.col("c_nationkey").alias("value")), read, ["c_custkey"])
 
 
 def _screen(spark: SparkSession, sf_dir: str) -> DataFrame:
