@@ -189,13 +189,14 @@ def query(docs: DataFrame) -> DataFrame:
     )
 
 
-# an iban that fails mod-97 stays below 0.5 whatever its context, one that passes stays above; an ssn needs a context word
+# an iban is a span that passes mod-97, tried at every token's end after a head; an ssn needs a context word
+_DUE = " ".join(f"WHEN substring(tail, 1, 2) IN ('{"', '".join(c.split())}') THEN {n}" for n, c in IBAN_LENGTHS.items())
 _SSN = " OR ".join(f"contains(before, '{w}')" for w in CONTEXT["ssn"])
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT * FROM (VALUES
   (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), (3, 'card', '[0-9](?:[ -]?[0-9])+'),
-  (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]'), (5, 'iban', '\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}\b'), (6, 'ssn', '\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\b')) AS v(k, kind, re)),
+  (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]'), (6, 'ssn', '\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\b')) AS v(k, kind, re)),
 m AS (SELECT doc_id, t, k, kind, regexp_extract_all(t, re) AS m, string_split_regex(t, re) AS g FROM d, p),
 x AS (SELECT doc_id, t, k, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
 y AS (SELECT doc_id, t, k, kind, m[i] AS txt, CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS s FROM x),
@@ -208,11 +209,18 @@ c AS (SELECT *, CASE kind
     CASE WHEN j % 2 = 0 THEN ascii(substring(digits, length(digits) - j, 1)) - 48
       ELSE (ascii(substring(digits, length(digits) - j, 1)) - 48) * 2 - CASE WHEN ascii(substring(digits, length(digits) - j, 1)) - 48 > 4 THEN 9 ELSE 0 END END)) % 10 = 0
   WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
-  WHEN 'iban' THEN list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substring(bare, 5) || substring(bare, 1, 4), ''), lambda h: CAST(CASE WHEN ascii(h) >= 65 THEN ascii(h) - 55 ELSE ascii(h) - 48 END AS BIGINT))),
-    lambda a, h: (CASE WHEN h >= 10 THEN a * 100 + h ELSE a * 10 + h END) % 97) = 1
   ELSE {_SSN} END AS keep FROM z),
+heads AS (SELECT doc_id, t, unnest(range(0, length(t) - 14)) AS s FROM d WHERE regexp_matches(t, '[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11}}')),
+tails AS (SELECT doc_id, s, substring(t, s + 1, 65) AS tail FROM heads WHERE regexp_matches(substring(t, s + 1, 4), '^[A-Z]{{2}}[0-9]{{2}}$') AND (s = 0 OR NOT regexp_matches(substring(t, s, 1), '[A-Za-z0-9_]'))),
+places AS (SELECT *, unnest(range(15, length(regexp_extract(tail, '^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}')) + 1)) AS p FROM tails),
+ends AS (SELECT doc_id, s, p, replace(substring(tail, 1, p), ' ', '') AS bare, CASE {_DUE} ELSE 0 END AS due FROM places WHERE substring(tail, p, 1) <> ' ' AND NOT regexp_matches(substring(tail, p + 1, 1), '[A-Za-z0-9_]')),
+passed AS (SELECT * FROM ends WHERE length(bare) >= 15 AND list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substring(bare, 5) || substring(bare, 1, 4), ''), lambda h: CAST(CASE WHEN ascii(h) >= 65 THEN ascii(h) - 55 ELSE ascii(h) - 48 END AS BIGINT))),
+  lambda a, h: (CASE WHEN h >= 10 THEN a * 100 + h ELSE a * 10 + h END) % 97) = 1),
+chosen AS (SELECT doc_id, s, s + coalesce(min(p) FILTER (length(bare) = due), max(p)) AS e FROM passed GROUP BY doc_id, s),
+ibans AS (SELECT doc_id, 5 AS k, 'iban' AS kind, s, e FROM chosen QUALIFY e > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)),
+kept AS (SELECT doc_id, k, kind, s, e FROM c WHERE keep UNION ALL SELECT doc_id, k, kind, s, e FROM ibans),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k <= 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM c WHERE keep GROUP BY doc_id)
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k <= 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
