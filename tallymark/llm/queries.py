@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, pii, quality, sentencepiece_codec, simhash, tokencount, topk, toxicity, urlfilter
+from . import decontam, forest, lm, pii, quality, sentencepiece_codec, simhash, tokencount, topk, toxicity, urlfilter
 from .common import read
 
 
@@ -50,13 +50,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_toxicity, op2_interpolation, op3_quality, op4_sentencepiece, op5_simhash, op6_url_filters, op7_decontamination, op8_token_counts, op9_pii, op10_topk, pipeline)
+_ALL = (op1_toxicity, op2_interpolation, op3_quality, op4_sentencepiece, op5_simhash, op6_url_filters, op7_decontamination, op8_token_counts, op9_pii, op10_topk, op11_neighbours, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
