@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, forest, lm, pii, quality, sentencepiece_codec, simhash, tokencount, topk, toxicity, urlfilter
+from . import decontam, forest, lm, periodic, pii, quality, sentencepiece_codec, simhash, tokencount, topk, toxicity, trie, urlfilter
 from .common import read
 
 
@@ -54,13 +54,21 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.query(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.query(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_toxicity, op2_interpolation, op3_quality, op4_sentencepiece, op5_simhash, op6_url_filters, op7_decontamination, op8_token_counts, op9_pii, op10_topk, op11_neighbours, pipeline)
+_ALL = (op1_toxicity, op2_interpolation, op3_quality, op4_sentencepiece, op5_simhash, op6_url_filters, op7_decontamination, op8_token_counts, op9_pii, op10_topk, op11_neighbours, op12_periodic_runs, op13_prefix_trie, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -68,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urlfilter.ORACLE, "op7_decontamination": decontam.ORACLE, "op9_pii": pii.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op6_url_filters": urlfilter.ORACLE, "op7_decontamination": decontam.ORACLE, "op9_pii": pii.ORACLE, "op10_topk": topk.ORACLE, "op13_prefix_trie": trie.ORACLE}
