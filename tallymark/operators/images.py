@@ -1,31 +1,40 @@
 """Colours, icons and glyphs from tables of pixels (image_id, box_id, x, y, r, g, b).
 
-Hue, saturation and value are column arithmetic and every decision is a histogram per box, so the pixels stay in the JVM.
-Only the flood fill, which has no relational form, runs in Python, an image at a time.
+Hue, saturation and value are column arithmetic and every decision is a histogram per box or a join, so the pixels stay in
+the JVM.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.sources.dimensions import RESOURCES
 
+from .layout import islands
+from .tables import kept
+
 # The tier of a colour, and the least share of it.
 TIER_OF_COLOUR = {"GREY": "T1", "GREEN": "T2", "BLUE": "T3", "PURPLE": "T4", "GOLD": "T5"}
 TIER_SHARE = 0.55
 GLYPH_SIZE = 32
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: what a generator puts out is not inlined where it is used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def hsv(df: DataFrame) -> DataFrame:
     """Adds hue (degrees), sat and val."""
     r, g, b = (F.col(c) / 255.0 for c in "rgb")
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    span = high - low
+    parts = _once(df, _r=r, _g=g, _b=b, _high=F.greatest(r, g, b), _low=F.least(r, g, b))
+    r, g, b, high = (F.col(c) for c in ("_r", "_g", "_b", "_high"))
+    span = high - F.col("_low")
     sector = F.when(r == high, ((high - b) - (high - g)) / span).when(g == high, 2.0 + ((high - r) - (high - b)) / span).otherwise(4.0 + ((high - g) - (high - r)) / span)
-    return df.withColumn("hue", F.when(span == 0, 0.0).otherwise(F.pmod(sector / 6.0, F.lit(1.0)) * 360)).withColumn("sat", F.when(high == 0, 0.0).otherwise(span / F.when(high == 0, 1.0).otherwise(high))).withColumn("val", high)
+    hue = F.when(span == 0, 0.0).otherwise(F.pmod(sector / 6.0, F.lit(1.0)) * 360)
+    sat = F.when(high == 0, 0.0).otherwise(span / F.when(high == 0, 1.0).otherwise(high))
+    return _once(parts, hue=hue, sat=sat, val=high).drop("_r", "_g", "_b", "_high", "_low")
 
 
 def colour_bucket() -> Column:
@@ -96,30 +105,31 @@ def glyph_bits(pixels: DataFrame, key: list[str]) -> DataFrame:
 
 
 def frame_blobs(pixels: DataFrame, key: str = "image_id", reach: int = 2, side: int = 20, aspect: tuple[float, float] = (0.6, 1.7)) -> DataFrame:
-    """key and the boxes of the connected frame pixels (neighbours within `reach`) that are icons by size and shape."""
-    lit = hsv(pixels).filter(is_frame()).select(key, F.col("x").cast("int"), F.col("y").cast("int"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        grid = np.full((y.max() + 1, x.max() + 1), -1, dtype=np.int32)
-        grid[y, x] = np.arange(len(x))
-        left, found = np.ones(len(x), dtype=bool), []
-        for s in np.lexsort((x, y)).tolist():
-            if not left[s]:
-                continue
-            left[s], todo, box = False, [s], [x[s], y[s], x[s], y[s]]
-            while todo:
-                k = todo.pop()
-                box = [min(box[0], x[k]), min(box[1], y[k]), max(box[2], x[k]), max(box[3], y[k])]
-                near = grid[max(0, y[k] - reach) : y[k] + reach + 1, max(0, x[k] - reach) : x[k] + reach + 1].ravel()
-                near = near[near >= 0]
-                near = near[left[near]]
-                left[near] = False
-                todo += near.tolist()
-            w, h = box[2] - box[0] + 1, box[3] - box[1] + 1
-            if w >= side and h >= side and aspect[0] <= w / h <= aspect[1]:
-                found.append((pdf[key].iloc[0], *map(int, (box[0], box[1], box[2] + 1, box[3] + 1))))
-        return pd.DataFrame(found, columns=[key, "left", "top", "right", "bottom"])
-
-    kind = dict(pixels.dtypes)[key]
-    return lit.groupBy(key).applyInPandas(fill, f"{key} {kind}, left int, top int, right int, bottom int")
+    """key and the boxes (left, top, right, bottom) of the connected frame pixels that are icons by size and shape.
+
+    Pixels up to `reach` apart in both directions are neighbours. The pixels of a line are runs, intervals that an ordered
+    window finds; runs of lines up to `reach` apart that come as near to each other are linked, by a join on line and tile;
+    the least label then spreads over the links, both along a link and from a label to the label's own, which halves the
+    way that is left, until a round changes nothing. So the work is by runs, and no image is gathered in one task.
+    """
+    lit = hsv(pixels).filter(is_frame()).select(key, F.col("x").cast("long"), F.col("y").cast("long")).distinct()
+    spans = islands(lit, [key, "y"], "x", reach).groupBy(key, "y", "island").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("island")
+    runs = kept(spans.withColumn("run", F.struct("y", "a")))
+    tile = 32
+    near = runs.select(key, "run", F.explode(F.array(*[F.col("y") + d for d in range(1, reach + 1)])).alias("_y"), F.col("a").alias("_a"), F.col("b").alias("_b")).withColumn("_t", F.explode(F.sequence(F.floor((F.col("_a") - reach) / tile), F.floor((F.col("_b") + reach) / tile))))
+    laid = runs.select(key, F.col("run").alias("other"), F.col("y").alias("_y"), "a", "b").withColumn("_t", F.explode(F.sequence(F.floor(F.col("a") / tile), F.floor(F.col("b") / tile))))
+    links = near.join(laid, [key, "_y", "_t"]).filter((F.col("a") <= F.col("_b") + reach) & (F.col("b") >= F.col("_a") - reach)).select(key, "run", "other").distinct()
+    both = kept(links.union(links.select(key, "other", "run")))
+    label = kept(runs.select(key, "run", F.col("run").alias("label")))
+    while True:
+        by_link = both.join(label.select(key, F.col("run").alias("other"), "label"), [key, "other"]).select(key, "run", "label")
+        by_label = label.select(key, "run", F.col("label").alias("at")).join(label.select(key, F.col("run").alias("at"), "label"), [key, "at"]).select(key, "run", "label")
+        lowest = by_link.union(by_label).union(label).groupBy(key, "run").agg(F.min("label").alias("label"))
+        after = kept(lowest.join(label.withColumnRenamed("label", "_was"), [key, "run"]))
+        changed = after.filter(F.col("label") != F.col("_was")).limit(1).count()
+        label = after.drop("_was")
+        if not changed:
+            break
+    boxes = runs.join(label, [key, "run"]).groupBy(key, "label").agg(F.min("a").alias("left"), F.min("y").alias("top"), F.max("b").alias("right"), F.max("y").alias("bottom"))
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    return boxes.filter((w >= side) & (h >= side) & (w / h).between(*aspect)).drop("label")

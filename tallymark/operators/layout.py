@@ -123,11 +123,21 @@ def match_icons(icons: DataFrame, numbers: DataFrame, key: list[str]) -> DataFra
 
     In the order of the icons each number serves once; an icon whose nearest number is taken gets none, not the next one.
     So of the icons with the same nearest number the first has it: a window, no loop.
+
+    A number stands in an icon's row if its centre is within 0.6 of the icon's height. Boxes are whole pixels, so twice a
+    centre is a whole number: each icon is laid on those of its row that hold a number, and there the next number in the
+    order of the left edges is an as-of match, one ordered window over icons and numbers together.
     """
-    n = numbers.select(*key, F.col("left").alias("_l"), F.col("top").alias("_top"), F.col("bottom").alias("_bottom"), F.col("text").alias("_text"), F.col("pos").alias("_npos"))
-    cy = lambda top, bottom: (F.col(top) + F.col(bottom)) / 2
-    near = icons.join(n, key).filter((F.col("_l") > F.col("right")) & (F.abs(cy("_top", "_bottom") - cy("top", "bottom")) < 0.6 * (F.col("bottom") - F.col("top"))))
-    best = near.groupBy(*key, "pos").agg(F.min(F.struct("_l", "_npos", "_text")).alias("_b"))
-    first = Window.partitionBy(*key, F.col("_b._npos")).orderBy("pos")
-    taken = best.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").select(*key, "pos", F.col("_b._text").alias("number"))
+    level = lambda: (F.col("top") + F.col("bottom")).cast("long")
+    laid = numbers.select(*key, level().alias("_y"), F.col("left").alias("_x"), F.struct(F.col("left").alias("l"), F.col("pos").alias("npos"), "text").alias("_n"))
+    reach = 1.2 * (F.col("bottom") - F.col("top"))
+    rows = F.sequence(F.floor(level() - reach) + 1, F.ceil(level() + reach) - 1)
+    asked = icons.filter(reach > 0).select(*key, "pos", F.col("right").alias("_x"), F.explode(rows).alias("_y")).join(laid.select(*key, "_y").distinct(), [*key, "_y"], "left_semi")
+    both = asked.withColumn("_n", F.lit(None).cast(laid.schema["_n"].dataType)).unionByName(laid.withColumn("pos", F.lit(None).cast(icons.schema["pos"].dataType)))
+    # from right to left: icons come before numbers at the same edge, and of equal numbers the first one comes last
+    ahead = Window.partitionBy(*key, "_y").orderBy(F.col("_x").desc(), F.col("pos").isNotNull().desc(), F.col("_n.npos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_next", F.last("_n", ignorenulls=True).over(ahead)).filter("pos IS NOT NULL AND _next IS NOT NULL")
+    best = seen.groupBy(*key, "pos").agg(F.min("_next").alias("_b"))
+    first = Window.partitionBy(*key, F.col("_b.npos")).orderBy("pos")
+    taken = best.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").select(*key, "pos", F.col("_b.text").alias("number"))
     return icons.join(taken, [*key, "pos"], "left")

@@ -16,6 +16,7 @@ from tallymark.sources.dimensions import RESOURCES, TIERS
 from .images import resource_of
 from .layout import count_word, islands, match_icons, merge_numbers, name_start
 from .reconcile import match_names
+from .regions import in_boxes, whole
 
 # How far above the totals the list ends and how near to the counts' column a number must be (in units, and
 # at least in pixels), the least frame density of a row without a column, the header's margins, the phrases of an empty
@@ -111,10 +112,10 @@ def cost_values(tokens: DataFrame, pixels: DataFrame, key: list[str]) -> DataFra
     suffix = F.substring("text", -1, 1)
     common = read.filter(suffix.rlike("[KkMmBb]")).groupBy(*key, suffix.alias("_s")).agg(F.count("*").alias("_n"), F.min("pos").alias("_p"))
     common = common.groupBy(*key).agg(F.max_by("_s", F.struct("_n", -F.col("_p"))).alias("_s"))
-    whole = lambda x: F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
-    windows = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), whole(F.col("left") + F.col("unit") * a).alias("x0"), whole(F.col("left") + F.col("unit") * b).alias("x1")) for i, (a, b) in enumerate(ICON_WINDOWS)]))
-    boxes = read.select(*key, "pos", windows.alias("v"), whole(F.col("top") - F.col("height") * 0.35).alias("_y0"), whole(F.col("top") + F.col("height") * 1.35).alias("_y1")).select(*key, "pos", "v.*", "_y0", "_y1")
-    inside = pixels.join(boxes, key).filter((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("_y0")) & (F.col("y") < F.col("_y1")))
+    at = lambda share: whole(F.col("left") + F.col("unit") * share).alias
+    windows = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), at(a)("x0"), at(b)("x1")) for i, (a, b) in enumerate(ICON_WINDOWS)]))
+    boxes = read.select(*key, "pos", windows.alias("v"), whole(F.col("top") - F.col("height") * 0.35).alias("y0"), whole(F.col("top") + F.col("height") * 1.35).alias("y1")).select(*key, "pos", "v.*", "y0", "y1")
+    inside = in_boxes(pixels, boxes, key)
     icons = resource_of(inside, [*key, "pos", "w"]).filter("resource IS NOT NULL").groupBy(*key, "pos").agg(F.min_by("resource", "w").alias("resource"))
     bare = F.contains("text", F.lit(".")) & ~suffix.rlike("[KkMmBb]") & F.col("_s").isNotNull()
     both = read.join(icons, [*key, "pos"]).join(common, key, "left").withColumn("_v", parse_number(F.when(bare, F.concat("text", "_s")).otherwise(F.col("text"))))
