@@ -3,8 +3,8 @@
 A reading belongs to the key's open session unless more than the timeout has passed since the one before (exactly the
 timeout keeps it open). Within a session a changed total starts a new epoch whose rows replace the old; of each unit the
 latest row counts; scalars take the last value that was read. Windows and aggregations over (key, time, sequence) do all
-of that. Closing a session early depends on what has been merged so far, so `closing_sessions` folds over the key's
-readings instead.
+of that. Closing a session early depends on what has been merged so far, so `closing_sessions` folds over the readings
+between two gaps instead.
 """
 
 from __future__ import annotations
@@ -89,21 +89,25 @@ def merge(readings: DataFrame, resolved: DataFrame, rules: Rules = Rules(), key:
 def closing_sessions(readings: DataFrame, key: str = "gid", rules: Rules = Rules()) -> DataFrame:
     """Adds session to readings that carry `rows` (array of key_name, name if any, count, known, in_ram_zone): as
     gap_sessions, but a session also ends after the reading with which it is complete or big enough. Rows without a count
-    or with a name in brackets don't count, as in `merge`."""
+    or with a name in brackets don't count, as in `merge`.
+
+    A gap opens a session whatever came before, so the fold runs inside each session of `gap_sessions` and holds that one's
+    readings only. It says for each of them whether it opens a session; a running count numbers them.
+    """
     fields = readings.schema["rows"].dataType.elementType.names
     counts = lambda y: (y["count"] > 0) & ~(F.startswith(y["name"], F.lit("(")) if "name" in fields else F.lit(False))
     only = lambda y: F.struct(*[y[c].alias(c) for c in ("key_name", "count", "known", "in_ram_zone")])
-    micros = F.unix_micros(F.col("event_ts").cast("timestamp"))
-    item = F.struct(micros.alias("t"), "seq", "reading_id", F.col("wounded_current").alias("w"), F.col("ram_current").alias("r"), F.transform(F.filter("rows", counts), only).alias("rows"))
-    per = readings.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_l"))
+    place = Window.partitionBy(key, "_gap").orderBy("event_ts", "seq", "reading_id")
+    gaps = gap_sessions(readings, key, rules.session_minutes).withColumnRenamed("session", "_gap").withColumn("_at", F.row_number().over(place))
+    item = F.struct("_at", F.col("wounded_current").alias("w"), F.col("ram_current").alias("r"), F.transform(F.filter("rows", counts), only).alias("rows"))
+    per = gaps.groupBy(key, "_gap").agg(F.sort_array(F.collect_list(item)).alias("_l"))
     row = "array<struct<key_name:string,count:bigint,known:boolean,in_ram_zone:boolean>>"
     empty = F.expr(f"cast(array() as {row})")
     null = F.lit(None).cast("long")
-    state = F.struct(F.lit(-1).alias("n"), F.lit(False).alias("open"), null.alias("t"), null.alias("w"), null.alias("r"), empty.alias("rows"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    state = F.struct(F.lit(False).alias("open"), null.alias("w"), null.alias("r"), empty.alias("rows"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        goes_on = s["open"] & (x["t"] - s["t"] <= rules.session_minutes * 60_000_000)
-        n = F.when(goes_on, s["n"]).otherwise(s["n"] + 1)
+        goes_on = s["open"]
         old_w, old_r = F.when(goes_on, s["w"]), F.when(goes_on, s["r"])
         changed = F.coalesce(x["w"] != old_w, F.lit(False))
         before = F.when(goes_on & ~changed, s["rows"]).otherwise(empty)
@@ -113,14 +117,13 @@ def closing_sessions(readings: DataFrame, key: str = "gid", rules: Rules = Rules
         add = lambda zone: F.aggregate(rows, F.lit(0).cast("long"), lambda a, y: a + F.when(y["in_ram_zone"] == zone, y["count"]).otherwise(0))
         done = w.isNotNull() & ((w >= rules.big_enough) | ((add(False) == w) & (r.isNull() | (add(True) <= r)) & F.forall(rows, lambda y: y["known"])))
         return F.struct(
-            n.cast("int").alias("n"), (~F.coalesce(done, F.lit(False))).alias("open"), x["t"].alias("t"), w.alias("w"), r.alias("r"), rows.alias("rows"),
-            F.when(goes_on, s["out"]).otherwise(F.concat(s["out"], F.array(x["reading_id"].cast("long")))).alias("out"),
+            (~F.coalesce(done, F.lit(False))).alias("open"), w.alias("w"), r.alias("r"), rows.alias("rows"),
+            F.when(goes_on, s["out"]).otherwise(F.concat(s["out"], F.array(x["_at"]))).alias("out"),
         )
 
-    # the fold only names the readings that open a session; the numbers follow by a running count
-    opens = per.select(F.explode(F.aggregate("_l", state, step, lambda s: s["out"])).alias("reading_id")).withColumn("_new", F.lit(1))
+    opens = per.select(key, "_gap", F.explode(F.aggregate("_l", state, step, lambda s: s["out"])).alias("_at")).withColumn("_new", F.lit(1))
     w = Window.partitionBy(key).orderBy("event_ts", "seq", "reading_id").rowsBetween(Window.unboundedPreceding, 0)
-    return readings.join(opens, "reading_id", "left").withColumn("session", (F.count("_new").over(w) - 1).cast("int")).drop("_new")
+    return gaps.join(opens, [key, "_gap", "_at"], "left").withColumn("session", (F.count("_new").over(w) - 1).cast("int")).drop("_new", "_gap", "_at")
 
 
 def open_keys(submissions: DataFrame, now: Column, minutes: int = 30, key: str = "gid") -> DataFrame:

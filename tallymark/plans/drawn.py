@@ -5,11 +5,15 @@ What the reader must find follows from the row that was drawn, so the oracles sa
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import images, portraits, regions, screens
-from tallymark.operators.tables import kept
+from tallymark.operators.store import Tables
+from tallymark.operators.tables import kept, shared_folder
+from tallymark.sources.dimensions import roster
 
 from .queries import TIER_OF, _t, query
 
@@ -135,3 +139,35 @@ def template_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.aggregate(F.transform(F.slice("embedding", 1, 24), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
     glyphs = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("class"), F.array(word).alias("bits"))
     return portraits.check_templates(glyphs, ["vec_id"], margin=0.03).groupBy("class", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH u AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1)
+SELECT 'facts' AS tab, c_custkey::VARCHAR AS key, CASE WHEN n IS NULL THEN c_mktsegment ELSE 'u' || n END AS value FROM customer LEFT JOIN u ON k = c_custkey
+UNION ALL SELECT 'children', o_custkey::VARCHAR, o_orderkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT k FROM u)
+UNION ALL SELECT 'children', o_custkey::VARCHAR, o_orderkey::VARCHAR FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus <> 'O'"""
+)
+def bucketed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers and their orders are written; then those with an urgent order are, with only their urgent orders that
+    are not open; both tables are read as the second manifest has them."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    text = lambda df, **cols: df.select(*[F.col(v).cast("string").alias(k) for k, v in cols.items()])
+    tables = Tables(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {"facts": ("key", "value"), "children": ("key", "value")}, "key")
+    tables.write_submissions("facts", "children", text(c, key="c_custkey", value="c_mktsegment"), text(o, key="o_custkey", value="o_orderkey"))
+    urgent = o.filter("o_orderpriority LIKE '1%'")
+    named = urgent.groupBy("o_custkey").agg(F.concat(F.lit("u"), F.count("*")).alias("n"))
+    tables.write_submissions("facts", "children", text(named, key="o_custkey", value="n"), text(urgent.filter("o_orderstatus <> 'O'"), key="o_custkey", value="o_orderkey"))
+    return tables.read("facts").select(F.lit("facts").alias("tab"), "key", "value").union(tables.read("children").select(F.lit("children"), "key", "value"))
+
+
+@query(
+    """WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 1 ELSE c_custkey END AS id, c_name AS n, c_custkey % 7 AS m, c_custkey % 11 AS s FROM customer)
+SELECT id::VARCHAR AS gid, arg_max(n, k) AS name FROM r WHERE m > 0 AND s > 0 GROUP BY id"""
+)
+def roster_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet with a title line before its header, ids with commas, repeated ids, ids that are none and short rows."""
+    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    gid = F.when(k % 7 == 0, "none").otherwise(F.format_number(F.when(k % 3 == 0, k - 1).otherwise(k), 0))
+    cells = F.when(k % 11 == 0, F.array(F.lit("x"), gid)).otherwise(F.array(F.lit("x"), gid, F.col("c_name"), F.lit("more")))
+    title = spark.createDataFrame([(0, ["Kingdom 1"]), (1, []), (2, ["Rank", " Governor ID", "governor NAME "])], "pos int, cells array<string>")
+    return roster(title.union(c.select((k + 2).cast("int"), cells)))

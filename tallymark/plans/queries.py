@@ -259,7 +259,15 @@ def epoch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subs.select("gid", "session", "epoch", "wounded_current", F.size("sources").alias("readings"), "identified")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_type AS k, CAST(round(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, ts, 0 AS n, v AS w, CASE WHEN v > 0 THEN [struct_pack(k := k, v := v)] ELSE [] END AS held, v >= 200 OR v >= 0 AS closed FROM e WHERE rn = 1
+UNION ALL SELECT user_id, rn, ts, n, w, held, w >= 200 OR coalesce(list_sum(list_transform(held, lambda x: x.v)), 0) = w FROM (
+  SELECT e.user_id, e.rn, e.ts, CASE WHEN o.on_ THEN o.n ELSE o.n + 1 END AS n, e.v AS w,
+    list_concat(CASE WHEN o.on_ AND o.w = e.v THEN list_filter(o.held, lambda x: x.k <> e.k) ELSE [] END, CASE WHEN e.v > 0 THEN [struct_pack(k := e.k, v := e.v)] ELSE [] END) AS held
+  FROM (SELECT f.*, x.ts - f.ts <= INTERVAL 720 MINUTE AND NOT f.closed AS on_ FROM f JOIN e x ON x.user_id = f.user_id AND x.rn = f.rn + 1) o JOIN e ON e.user_id = o.user_id AND e.rn = o.rn + 1))
+SELECT user_id::VARCHAR AS gid, n AS session, count(*) AS n FROM f GROUP BY ALL"""
+)
 def closing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")
     row = F.array(F.struct(F.col("event_type").alias("key_name"), F.round("value").cast("long").alias("count"), F.lit(True).alias("known"), F.lit(False).alias("in_ram_zone")))
@@ -267,6 +275,23 @@ def closing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.closing_sessions(r, "gid", FEW).groupBy("gid", "session").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_type AS k, 1 + user_id % 4 AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, ts, 0 AS n, [k] AS held, w = 1 AS closed FROM e WHERE rn = 1
+UNION ALL SELECT user_id, rn, ts, n, held, len(held) = w FROM (
+  SELECT f.user_id, e.rn, e.ts, e.w, CASE WHEN f.closed OR e.ts - f.ts > INTERVAL 720 MINUTE THEN f.n + 1 ELSE f.n END AS n,
+    CASE WHEN f.closed OR e.ts - f.ts > INTERVAL 720 MINUTE THEN [e.k] ELSE list_concat(list_filter(f.held, lambda x: x <> e.k), [e.k]) END AS held FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+SELECT user_id::VARCHAR AS gid, CAST(n AS INTEGER) AS session, count(*) AS n, min(ts) AS first FROM f GROUP BY user_id, f.n"""
+)
+def closing_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key's total is 25 times one to four, and every kind of event is a unit with 25: so many kinds complete a session."""
+    e = _t(spark, sf_dir, "events")
+    row = F.array(F.struct(F.col("event_type").alias("key_name"), F.lit(25).cast("long").alias("count"), F.lit(True).alias("known"), F.lit(False).alias("in_ram_zone")))
+    total = (25 * (1 + F.col("user_id") % 4)).cast("long")
+    r = e.select(F.concat(F.lit("e"), "event_id").alias("reading_id"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("gid"), F.col("ts").alias("event_ts"), total.alias("wounded_current"), F.lit(None).cast("long").alias("ram_current"), row.alias("rows"))
+    return sessions.closing_sessions(r, "gid", FEW).groupBy("gid", "session").agg(F.count("*").alias("n"), F.min("event_ts").alias("first"))
+
+
 _CHANGES = "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1"
 
 

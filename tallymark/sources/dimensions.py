@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,6 +148,15 @@ def write_glyphs(templates: DataFrame, path: str) -> None:
 
 
 def sheet_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, cells): all cells of a small CSV sheet as strings, in order; NULL is empty."""
-    table = spark.read.csv(path, header=False, inferSchema=False)
-    return table.coalesce(1).select(F.monotonically_increasing_id().cast("int").alias("pos"), F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in table.columns]).alias("cells"))
+    """(pos, cells): all rows of a small CSV sheet as strings, in order, each as wide as it is; a blank line has no cells.
+
+    Quoted cells may hold commas, quotes and line ends. A sheet is one file, which one task reads.
+    """
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in f["content"]:
+                rows = list(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline="")))
+                yield pd.DataFrame({"pos": range(len(rows)), "cells": rows})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "pos int, cells array<string>")

@@ -9,11 +9,12 @@ watermark are dropped by it. The batch operators give the same sessions from the
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -118,16 +119,105 @@ def guarded(apply: Callable[[DataFrame, int], None], failed: str) -> Callable[[D
     return run
 
 
-def with_static(read: Callable[[], DataFrame], apply: Callable[[DataFrame, int, DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """apply with the static side (the roster) read again for every batch; while it cannot be read, the one before stands."""
-    held: list[DataFrame] = []
+class Ledger:
+    """What has become of each batch, in a shared folder: its rows, numbered, and the parts of them that are done.
+
+    A batch that is run again after a crash finds its rows as they were and skips the parts that were applied, so each part
+    is applied once, or again only if the crash came between its application and its mark.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        make = jvm.org.apache.hadoop.fs.Path
+        return make, make(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def rows(self, batch: DataFrame, number: int) -> tuple[DataFrame, int]:
+        """(the batch's rows with _at from 0, their number), as first written."""
+        make, fs = self._fs()
+        at = f"{self.path}/rows/batch={number}"
+        if not fs.exists(make(f"{at}/_SUCCESS")):
+            batch.withColumn("_id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(at)
+        held = self.spark.read.parquet(at).drop("batch")
+        # how many rows each writing task had tells where its numbers begin: one row a task
+        part = F.shiftright("_id", 33)
+        counts = held.groupBy(part.alias("_p")).count().orderBy("_p").collect()
+        begins, total = [], 0
+        for r in counts:
+            begins.append((r["_p"], total))
+            total += r["count"]
+        starts = F.broadcast(self.spark.createDataFrame(begins or [(0, 0)], "_p long, _start long"))
+        place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+        return held.withColumn("_p", part).join(starts, "_p").withColumn("_at", place).drop("_p", "_start", "_id"), total
+
+    def done(self, number: int, a: int, b: int) -> bool:
+        make, fs = self._fs()
+        return fs.exists(make(f"{self.path}/done/batch={number}/{a}-{b}"))
+
+    def mark(self, number: int, a: int, b: int) -> None:
+        make, fs = self._fs()
+        fs.create(make(f"{self.path}/done/batch={number}/{a}-{b}"), True).close()
+
+
+def isolating(apply: Callable[[DataFrame, int], None], ledger: Ledger, failed: str) -> Callable[[DataFrame, int], None]:
+    """apply, but of a batch that it fails on only the rows at fault are kept under `failed`, with the reason; all others are
+    applied, once.
+
+    A part that fails is halved until the failing rows stand alone, so r bad rows among n cost some 2 r log n tries. apply
+    must leave nothing behind when it fails, as a change by one manifest does.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
+        rows, total = ledger.rows(batch, number)
+        todo, bad = [(0, total)] if total else [], []
+        while todo:
+            a, b = todo.pop()
+            if ledger.done(number, a, b):
+                continue
+            try:
+                apply(rows.filter((F.col("_at") >= a) & (F.col("_at") < b)).drop("_at"), number)
+            except Exception as e:
+                if b - a > 1:
+                    todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+                else:
+                    bad.append((a, f"{type(e).__name__}: {e}"[:1000]))
+                continue
+            ledger.mark(number, a, b)
+        if bad:
+            reasons = F.broadcast(rows.sparkSession.createDataFrame(bad, "_at long, reason string"))
+            rows.join(reasons, "_at").drop("_at").write.mode("overwrite").parquet(f"{failed}/batch={number}")
+
+    return run
+
+
+class Snapshot:
+    """A static side (the roster) as a written version, read anew once it is older than `seconds`.
+
+    A new version counts when it has been read and written whole; while that fails, for whatever reason, the one before
+    stands, and only without one the failure is the caller's.
+    """
+
+    def __init__(self, read: Callable[[], DataFrame], path: str, seconds: float = 300, clock: Callable[[], float] = time.time) -> None:
+        self.read, self.path, self.seconds, self.clock = read, path.rstrip("/"), seconds, clock
+        self.at: float | None = None
+        self.held: DataFrame | None = None
+
+    def get(self, force: bool = False) -> DataFrame:
+        if self.held is not None and not force and self.clock() - self.at < self.seconds:
+            return self.held
         try:
-            held[:] = [read()]
-        except AnalysisException:
-            if not held:
+            new = self.read()
+            folder = f"{self.path}/{uuid.uuid4().hex}"
+            new.write.parquet(folder)
+            self.held, self.at = new.sparkSession.read.schema(new.schema).parquet(folder), self.clock()
+        except Exception:
+            if self.held is None:
                 raise
-        apply(batch, number, held[0])
+        return self.held
 
-    return run
+
+def with_static(side: Snapshot, apply: Callable[[DataFrame, int, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """apply with a snapshot of the static side."""
+    return lambda batch, number: apply(batch, number, side.get())

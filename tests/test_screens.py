@@ -133,7 +133,7 @@ def test_writing_archiving_and_mirroring(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
 
 
-def test_batches_that_fail_and_static_sides(spark, tmp_path):
+def test_batches_that_fail(spark, tmp_path):
     batch, seen = spark.range(3), []
     live.guarded(lambda b, n: seen.append(b.count()), f"{tmp_path}/bad")(batch, 0)
 
@@ -143,12 +143,6 @@ def test_batches_that_fail_and_static_sides(spark, tmp_path):
     live.guarded(fail, f"{tmp_path}/bad")(batch, 1)
     kept = spark.read.parquet(f"{tmp_path}/bad")
     assert seen == [3] and kept.count() == 3 and kept.first().reason == "ValueError: poor batch" and kept.first().batch == 1
-    spark.range(5).write.parquet(f"{tmp_path}/r0")
-    names, got = iter(["r0", "none", "r0"]), []
-    run = live.with_static(lambda: spark.read.parquet(f"{tmp_path}/{next(names)}"), lambda b, n, r: got.append(r.count()))
-    for k in range(3):
-        run(batch, k)
-    assert got == [5, 5, 5]
 
 
 def test_reports_and_dry_run(spark):
