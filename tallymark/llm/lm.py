@@ -152,7 +152,7 @@ class Spelling:
         cells, starts = _cells(words)
         keys, at = np.unique(cells, return_inverse=True)
         p = (self.estimates(keys) * self.weights[self.bucket(keys)]).sum(axis=1)
-        return np.maximum(np.add.reduceat(np.log10(p)[at], starts), -300.0)
+        return np.add.reduceat(np.log10(p)[at], starts)
 
 
 def bucket(counts: np.ndarray) -> np.ndarray:
@@ -169,6 +169,18 @@ def mixture(n: np.ndarray, ratio: np.ndarray, rounds: int = 200) -> float:
     return w
 
 
+def ratios(counts: np.ndarray, total: float, spell: np.ndarray) -> np.ndarray:
+    """Words' own estimates over their spellings' (as log10); beyond e**600 a spelling has no share in a mixture anyway."""
+    with np.errstate(divide="ignore"):
+        return np.exp(np.minimum(np.log(counts / total) - spell * math.log(10), 600.0))
+
+
+def mixed_log10(weight: float, estimates: np.ndarray, spell: np.ndarray) -> np.ndarray:
+    """log10 of weight * estimate + (1 - weight) * 10**spell, however small the spelling is."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(weight * estimates), math.log(1 - weight) + spell * math.log(10)) / math.log(10)
+
+
 def _within(rare: DataFrame, spelling: Spelling, n_rest: int) -> float:
     """The weight of a rare word's own estimate against its spelling, by EM over a histogram of the held-out words."""
     packed = rare.sparkSession.sparkContext.broadcast(spelling)
@@ -180,14 +192,16 @@ def _within(rare: DataFrame, spelling: Spelling, n_rest: int) -> float:
 
     binned = rare.filter("n_held > 0").mapInArrow(run, "n_rest long, n_held long, spell double")
     # the bins are quarter octaves of the count by tenths of the logarithm
-    got = binned.groupBy(F.when(F.col("n_rest") > 0, F.floor(4 * F.log2("n_rest"))).otherwise(-1).alias("c"), F.floor(F.col("spell") * 10).alias("s")).agg(
+    # so far down as -300 a spelling has no share in a double, whatever its length, so these words have a bin in common
+    low = F.greatest(F.floor(F.col("spell") * 10), F.lit(-3000))
+    got = binned.groupBy(F.when(F.col("n_rest") > 0, F.floor(4 * F.log2("n_rest"))).otherwise(-1).alias("c"), low.alias("s")).agg(
         F.sum("n_held").alias("n"), F.avg("n_rest").alias("count"), F.avg("spell").alias("spell")
     )
     rows = got.toArrow()
     if not rows.num_rows or not n_rest:
         return 0.5
     n, count, spell = (rows[c].to_numpy().astype(float) for c in ("n", "count", "spell"))
-    return mixture(n, count / n_rest / 10.0**spell)
+    return mixture(n, ratios(count, n_rest, spell))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -417,7 +431,7 @@ def score(docs: DataFrame, modulus: int = 7, out: int = 2, held: int = 3, head_r
                     if row["known"].is_valid and len(row["known"].values):
                         c[row["known"].values.field("k").to_numpy()] = row["known"].values.field("c").to_numpy()
                     s = np.concatenate([spell.log10(names_of[k : k + 20_000]) for k in range(0, len(names_of), 20_000)])
-                    mixed = np.where(c > 0, np.log10(within * c / other + (1 - within) * 10.0**s), math.log10(1 - within) + s)
+                    mixed = mixed_log10(within, c / other, s)
                     tail = np.flatnonzero(ids == OTHER)
                     logs[tail] += mixed[which]
                     base[tail] = np.log10(c + 1)[which]

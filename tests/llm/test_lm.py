@@ -64,7 +64,7 @@ def brute(rows, vocabulary):
         weight[k] = lm.mixture(*(np.array(x) for x in zip(*events[k]))) if k in events else weight[k - 1]
     tail = [(n, w) for w, n in words[1].items() if inside(w) is None]
     log = {w: lm.Spelling.log10(spell, [w])[0] for _, w in tail}
-    within = lm.mixture(np.array([float(n) for n, _ in tail]), np.array([words[0][w] / max(rest[None], 1) / 10 ** log[w] for _, w in tail])) if tail and rest[None] else 0.5
+    within = lm.mixture(np.array([float(n) for n, _ in tail]), np.array([0.0 if not words[0][w] else 10.0 ** min(250, math.log10(words[0][w] / max(rest[None], 1)) - log[w]) for _, w in tail])) if tail and rest[None] else 0.5
     total, bigrams, out = words[0] + words[1], grams[0] + grams[1], []
     for i, t in rows:
         before, s = b"\n", 0.0
@@ -137,3 +137,37 @@ def test_empty_and_without_training_rows(spark):
     out = next(i for i in range(100) if part(i) == 2)
     (row,) = lm.score(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).collect()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0) and row.score < 0
+
+
+def plain_spelling(counts, weights, word):
+    """log10 of a word's bytes, from counts of byte triples alone."""
+    letters = b"\n " + word + b" "
+    total = sum(counts.values())
+    one, two, first, pair = Counter(), Counter(), Counter(), Counter()
+    for t, n in counts.items():
+        one[t[2]] += n
+        two[t[1:]] += n
+        first[t[1]] += n
+        pair[t[:2]] += n
+    out = 0.0
+    for k in range(len(letters) - 2):
+        t = letters[k : k + 3]
+        parts = [1 / 256, one[t[2]] / total]
+        parts.append(two[t[1:]] / first[t[1]] if first[t[1]] else parts[1])
+        parts.append(counts[t] / pair[t[:2]] if pair[t[:2]] else parts[2])
+        out += math.log10(sum(w * x for w, x in zip(weights[min(47, int(math.log2(pair[t[:2]] + 1)))], parts)))
+    return out
+
+
+def test_words_are_spelled_to_their_end():
+    r = random.Random(4)
+    counts = Counter({bytes(r.choices(b"abc ", k=3)): r.randint(1, 50) for _ in range(40)})
+    weights = np.random.default_rng(2).dirichlet(np.ones(4), 48)
+    spell = lm.Spelling(np.array([x[0] << 16 | x[1] << 8 | x[2] for x in counts]), np.array(list(counts.values())), weights)
+    words = [bytes(r.choices(b"abcdz", k=n)) for n in (1, 30, 180, 300, 600, 3000)]
+    got = spell.log10(words)
+    assert np.allclose(got, [plain_spelling(counts, weights, w) for w in words], rtol=1e-9)
+    assert np.all(np.diff(got) < 0) and got[-1] < -1000
+    # a spelling that no double holds leaves the word's own estimate, and nothing but it where there is none
+    assert np.allclose(lm.mixed_log10(0.25, np.array([0.5, 0.0, 0.0]), np.array([-4000.0, -4000.0, -2.0])), [math.log10(0.125), math.log10(0.75) - 4000, math.log10(0.75) - 2])
+    assert lm.mixture(np.array([1.0, 1.0]), lm.ratios(np.array([3.0, 0.0]), 10.0, np.array([-4000.0, -4000.0]))) == 0.5
