@@ -56,3 +56,19 @@ def test_bounds_hold_and_pruning_is_exact(spark, monkeypatch):
     for k in range(20):
         best = sorted(((-(x[k] @ x[j]), j) for j in range(300) if j != k))[:5]
         assert {j for _, j in best} <= set(uid[q == k].tolist())
+
+
+def test_equal_vectors_are_one_row_of_the_file(spark, monkeypatch):
+    """10,000 rows repeat a vector and 200 of them ask: what the scan holds does not depend on the repeats."""
+    rows = [(i, [0.5, -0.25, 1.0]) for i in range(10_000)] + [(20_000 + i, [-float(i % 7), 1.0, -1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    held = []
+    read = topk.stash
+    monkeypatch.setattr(topk, "stash", lambda d: (lambda t: held.append((t.columns, t.count())) or t)(read(d)))
+    got = sorted(tuple(x) for x in topk.top_k(df, "vec_id % 50 = 0").collect())
+    assert max(n for c, n in held if "upper" in c) <= 64
+    want = []
+    for i in range(0, 10_000, 50):
+        own = [j for j in range(7) if j != i][:5]
+        want += [(i, r, j, 128 * 128 + 64 * 64 + 256 * 256) for r, j in enumerate(own, 1)]
+    assert [x for x in got if x[0] < 10_000] == want
