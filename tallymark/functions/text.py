@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters trimmed from a number, and the digits that letters are misread for.
+# Characters trimmed from a number, the digits that letters are misread for, and what a number looks like.
 TRIMMED = "()[]{}<>:;"
 MISREAD, DIGITS = "OolI|SB", "0011158"
-
 NUMBER = r"^([0-9][0-9.,]*)\s*([KkMmBb])?$"
 _LARGEST = 9.2e18
 
@@ -20,7 +21,7 @@ def strip(x: Column) -> Column:
 
 def clean_number(x: Column) -> Column:
     """Trim brackets and colons, drop spaces, and put digits for letters read in their place."""
-    bare = F.regexp_replace(strip(x), r"^[()\[\]{}<>:;]+|[()\[\]{}<>:;]+$", "")
+    bare = F.regexp_replace(strip(x), f"^[{re.escape(TRIMMED)}]+|[{re.escape(TRIMMED)}]+$", "")
     return F.translate(F.replace(bare, F.lit(" "), F.lit("")), MISREAD, DIGITS)
 
 

@@ -13,20 +13,26 @@ from pyspark.sql import functions as F
 from tallymark.functions.text import parse_number
 from tallymark.sources.dimensions import RESOURCES, TIERS
 
+from .choose import vote
 from .images import resource_of
 from .layout import count_word, islands, match_icons, merge_numbers, name_start
 from .reconcile import match_names
-from .regions import in_boxes, whole
+from .regions import clipped, in_boxes, whole
 
 # How far above the totals the list ends and how near to the counts' column a number must be (in units, and
 # at least in pixels), the least frame density of a row without a column, the header's margins, the phrases of an empty
-# grid, and the windows beside a cost token that hold its icon, in the order they are tried.
+# grid, the windows beside a cost token that hold its icon, in the order they are tried; the widths, the peak's share and the
+# gaps of a portrait column; where the cost strip lies from the upper total (in units), how uneven the two totals may be, and
+# the least unit and sides of a strip.
 LIST_END, COLUMN_REACH, COLUMN_LEAST, DENSITY = 2.2, 1.2, 25.0, 0.08
 HEADER_UP, HEADER_DOWN = 20, 10
 EMPTY_GRID = ("no units",)
 ICON_WINDOWS = ((-0.10, 0.55), (-0.85, -0.08), (-0.45, 0.25))
 COLUMN_WIDTH, COLUMN_PEAK, COLUMN_GAP = (0.8, 2.0), 0.45, 3
 
+STRIP, UNEVEN, STRIP_UNIT, STRIP_SIDES = ((5.0, 20.0), (-1.8, -0.2)), 1.35, 6, (20, 6)
+
+# What the readers say.
 NO_ICONS = "No troop icons found in the screenshot."
 NO_COUNT = "Found a siege icon but could not read its count - send a clearer screenshot if this matters for the check."
 
@@ -48,15 +54,16 @@ def named_rows(lines: DataFrame, units: DataFrame, key: list[str]) -> DataFrame:
 def unnamed_rows(lines: DataFrame, units: DataFrame, anchors: DataFrame, key: list[str], density: DataFrame | None = None) -> DataFrame:
     """key, line_no, raw_name (as read) and count of lines that look like rows but hold no known name.
 
-    anchors: key, wounded_top and ram_top; without both an image has no such rows. The line stands above the list's end;
+    anchors: key, wounded_top and ram_top, and scale if the image was enlarged for the reader (the reach is in pixels of the
+    original, at least COLUMN_LEAST); without both an image has no such rows. The line stands above the list's end;
     its last number has a value and stands in the mean column of the named rows' counts; a word of three letters or more
     stands left of it. An image without named rows has no column: there the frame density left of the name (density: key,
     line_no, density) decides.
     """
     named = named_rows(lines, units, key)
     column = named.groupBy(*key).agg(F.avg("x").alias("_x"))
-    unit = F.col("ram_top") - F.col("wounded_top")
-    ends = anchors.filter(unit > 0).select(*key, (F.col("wounded_top") - LIST_END * unit).alias("_floor"), F.greatest(COLUMN_REACH * unit, F.lit(COLUMN_LEAST)).alias("_reach"))
+    unit, scale = F.col("ram_top") - F.col("wounded_top"), F.col("scale") if "scale" in anchors.columns else F.lit(1.0)
+    ends = anchors.filter(unit > 0).select(*key, (F.col("wounded_top") - LIST_END * unit).alias("_floor"), F.greatest(COLUMN_REACH * unit / scale, F.lit(COLUMN_LEAST)).alias("_reach"))
     matched = all_readings(match_names(lines, units, (*key, "line_no")).select(*key, "line_no"), named.select(*key, "line_no")).distinct()
     rest = lines.filter(~F.contains("text", F.lit("/"))).join(matched, [*key, "line_no"], "left_anti").join(ends, key).filter(F.col("top") < F.col("_floor"))
     before = F.filter("words", lambda w: (w["left"] < F.col("_n.left")) & (F.length(F.regexp_replace(w["text"], r"[^\p{L}]", "")) >= 3))
@@ -127,6 +134,43 @@ def cost_votes(values: DataFrame, key: list[str]) -> DataFrame:
     return values.filter(F.col("resource").isin(*RESOURCES)).groupBy(*key, "resource", "value").agg(F.count("*").alias("votes"))
 
 
+def cost_strips(totals: DataFrame, images: DataFrame, key: list[str]) -> DataFrame:
+    """key, x0, x1, y0, y1 (in pixels of the original) and unit of the band that holds the costs.
+
+    totals: key, wounded_left, wounded_top, wounded_bottom, ram_top, ram_bottom (as read) and scale. Both totals are of one
+    size, so boxes of unequal height cannot be measured from: such an image, or one whose unit or band is too small, has no
+    strip and leaves its costs to a better reading.
+    """
+    high, low = F.col("wounded_bottom") - F.col("wounded_top"), F.col("ram_bottom") - F.col("ram_top")
+    unit = (F.col("ram_top") - F.col("wounded_top")) / F.col("scale")
+    even = (F.least(high, low) > 0) & (F.greatest(high, low) <= UNEVEN * F.least(high, low))
+    sized = totals.filter(even).withColumn("unit", unit).filter(F.col("unit") >= STRIP_UNIT)
+    x, y = F.col("wounded_left") / F.col("scale"), F.col("wounded_top") / F.col("scale")
+    side = lambda at, shares: [whole(at + F.col("unit") * v).cast("long") for v in shares]
+    boxes = sized.select(*key, "unit", *[c.alias(n) for c, n in zip([*side(x, STRIP[0]), *side(y, STRIP[1])], ("x0", "x1", "y0", "y1"))])
+    cut = clipped(boxes, images.withColumn("height", F.lit(2**31)), key).withColumn("y1", F.greatest("y1", F.lit(0)))
+    return cut.filter((F.col("x1") - F.col("x0") >= STRIP_SIDES[0]) & (F.col("y1") - F.col("y0") >= STRIP_SIDES[1])).select(*key, "x0", "x1", "y0", "y1", "unit")
+
+
+def resolve_costs(values: DataFrame, key: list[str]) -> DataFrame:
+    """key, the four resources, rss_approx, expected_resources and warnings from the values that all passes read.
+
+    A resource has the value that alone has the most votes and two of them at least. One rounded value marks them all as
+    rounded. What got any vote is expected; what is expected and has no value is warned of. Without any value nothing is
+    marked and nothing warned of.
+    """
+    seen = values.filter(F.col("resource").isin(*RESOURCES) & F.col("value").isNotNull())
+    won = vote(seen, [*key, "resource"])
+    cost = lambda r: F.max(F.when(F.col("resource") == r, F.col("winner")))
+    sums = won.groupBy(*key).agg(*[cost(r).alias(r) for r in RESOURCES], F.collect_set("resource").alias("_seen"))
+    marked = seen.groupBy(*key).agg(F.bool_or("approx").alias("_approx"))
+    got = F.coalesce(*[F.col(r) for r in RESOURCES]).isNotNull()
+    expected = F.filter(F.array(*map(F.lit, RESOURCES)), lambda r: F.array_contains("_seen", r))
+    lost = F.array_compact(F.array(*[F.when(F.col(r).isNull() & F.array_contains("_seen", r), F.lit(r)) for r in RESOURCES]))
+    told = F.when(got & (F.size(lost) > 0), F.array(F.concat(F.lit("Could not read the "), F.array_join(lost, ", "), F.lit(" cost.")))).otherwise(F.array().cast("array<string>"))
+    return sums.join(marked, key).select(*key, *RESOURCES, (got & F.col("_approx")).alias("rss_approx"), expected.alias("expected_resources"), told.alias("warnings"))
+
+
 def name_anchor(rows: DataFrame, key: list[str], x: str = "name_left") -> DataFrame:
     """key and anchor, the median of where the names start, which a few misread rows do not move."""
     return rows.groupBy(*key).agg(F.median(x).alias("anchor"))

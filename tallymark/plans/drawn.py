@@ -171,3 +171,19 @@ def roster_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.when(k % 11 == 0, F.array(F.lit("x"), gid)).otherwise(F.array(F.lit("x"), gid, F.col("c_name"), F.lit("more")))
     title = spark.createDataFrame([(0, ["Kingdom 1"]), (1, []), (2, ["Rank", " Governor ID", "governor NAME "])], "pos int, cells array<string>")
     return roster(title.union(c.select((k + 2).cast("int"), cells)))
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS img, (['food', 'wood', 'stone', 'gold'])[l_partkey % 4 + 1] AS r, l_suppkey % 3 AS v, l_returnflag = 'R' AS a FROM lineitem),
+c AS (SELECT img, r, v, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT img, r, max(n) AS top FROM c GROUP BY ALL),
+w AS (SELECT c.img, c.r, CASE WHEN count(*) = 1 AND max(top) >= 2 THEN max(v) END AS v FROM c JOIN m ON c.img = m.img AND c.r = m.r AND n = top GROUP BY ALL),
+p AS (SELECT img, max(v) FILTER (r = 'food') AS food, max(v) FILTER (r = 'wood') AS wood, max(v) FILTER (r = 'stone') AS stone, max(v) FILTER (r = 'gold') AS gold,
+  array_to_string(list_filter(['food', 'wood', 'stone', 'gold'], lambda x: list_contains(list(r), x)), ',') AS expected, array_to_string(list_filter(['food', 'wood', 'stone', 'gold'], lambda x: list_contains(list(r) FILTER (v IS NULL), x)), ', ') AS lost FROM w GROUP BY img),
+a AS (SELECT img, bool_or(a) AS a FROM t GROUP BY 1)
+SELECT p.img, food, wood, stone, gold, a AND coalesce(food, wood, stone, gold) IS NOT NULL AS rss_approx, expected, CASE WHEN coalesce(food, wood, stone, gold) IS NOT NULL AND lost <> '' THEN 'Could not read the ' || lost || ' cost.' ELSE '' END AS warning FROM p JOIN a ON p.img = a.img"""
+)
+def cost_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(r) for r in ("food", "wood", "stone", "gold")])
+    read = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img"), F.element_at(kinds, (F.col("l_partkey") % 4 + 1).cast("int")).alias("resource"), (F.col("l_suppkey") % 3).alias("value"), (F.col("l_returnflag") == "R").alias("approx"))
+    out = screens.resolve_costs(read, ["img"])
+    return out.select("img", "food", "wood", "stone", "gold", "rss_approx", F.array_join("expected_resources", ",").alias("expected"), F.array_join("warnings", " ").alias("warning"))
