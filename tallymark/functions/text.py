@@ -60,7 +60,7 @@ def flat_text(x: Column) -> Column:
 
 
 def is_numeric(x: Column) -> Column:
-    return clean_number(x).rlike(r"^[0-9][0-9.,]*\s*[KkMmBb]?$")
+    return clean_number(x).rlike(NUMBER)
 
 
 def trailing_number(x: Column, loose: bool = False) -> Column:
