@@ -1,5 +1,7 @@
 import datetime as dt
 import shutil
+import struct
+import zlib
 from pathlib import Path
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import choose, report, sessions, store
 from tallymark.sources import dimensions as d
+from tallymark.sources import messages
 from tallymark.streaming import live
 
 COLUMNS = {"facts": ("Governor ID", "Name", "Food"), "troops": ("Governor ID", "Unit")}
@@ -139,3 +142,18 @@ def test_what_no_query_calls(spark):
     assert {r.img: r.text for r in choose.longest(reads, ["img"]).collect()} == {1: "1 2", 2: ""}
     scales = spark.createDataFrame([(1, 5, None), (1, 5, None), (2, 5, 1), (2, 5, None)], "img long, total long, n long")
     assert {r.img: r.same for r in choose.invariant(scales, ["img"], ["total", "n"]).collect()} == {1: True, 2: False}
+
+
+def test_a_picture_is_decoded_to_pixels(spark, tmp_path):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes([10, y, 7, 200, y, 9]) for y in range(3))  # two pixels, no filter
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 3, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    got = messages.decoded(spark, str(tmp_path / "a.png")).first()
+    assert (got.width, got.height, got.channels) == (2, 3, 3)
+    assert bytes(got.data) == b"".join(bytes([7, y, 10, 9, y, 200]) for y in range(3))  # blue, green, red
+
+
+def test_the_commonest_suffix_and_its_ties(spark):
+    votes = spark.createDataFrame([(1, "K"), (1, "M"), (1, "K"), (2, "M"), (2, "B"), (2, None), (3, None)], "img long, suffix string")
+    assert {r.img: r.suffix for r in choose.suffix_of(votes, ["img"]).collect()} == {1: "K", 2: "B"}
