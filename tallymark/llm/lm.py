@@ -1,20 +1,21 @@
 """Language-model scores by deleted interpolation of word bigrams.
 
-P(w | v) mixes the maximum-likelihood estimates of the bigram and the word; the weight depends on the frequency bucket of
-the context word v. The vocabulary is the words that a threshold on the count leaves, at most HEAD_ROWS; every other word
-is the class OTHER, which is a word of the bigrams like any, times the word's probability within the class: its own
-estimate mixed with its spelling's. Spellings are byte trigrams whose estimates of every order (uniform, one, two, three
-bytes) are mixed by the frequency bucket of the two-byte context. All weights are learned by expectation-maximisation on
-counts held out from the training texts; the counts are then pooled.
-
-Words and bigrams are counted over all training texts. Texts travel as segments of about SEGMENT tokens: a segment sends
-its distinct bigrams to GROUPS of them by hash, where they are counted over all segments, and gets their counts back; its
-rare words are joined with the word table. So a frequent word or bigram costs one entry per segment, nothing is joined by
-occurrence, and all counts are exact. The number of groups grows with the tokens, so that a group's bigrams fit a task.
+P(w | v) mixes the maximum-likelihood estimate of the bigram with P(w); the weight depends on the frequency bucket of the
+context word v. P(w) mixes the word's maximum-likelihood estimate with its spelling: byte trigrams whose estimates of every
+order (uniform, one, two, three bytes) are mixed by the frequency bucket of the two-byte context. All words are words of the
+bigrams, however rare. All weights are learned by expectation-maximisation on counts held out from the training texts; the
+counts are then pooled.
+
+Words and bigrams are counted over all training texts. Texts travel as segments of about SEGMENT tokens. The most frequent
+words, at most HEAD_ROWS, are broadcast; a segment's other words are joined with the word table, once a segment. Then the
+segment sends its distinct bigrams to GROUPS of them by hash, where they are counted over all segments, and gets their counts
+back. So a frequent word or bigram costs one entry per segment, nothing is joined by occurrence, and all counts are exact.
+HEAD_ROWS decides what is broadcast and nothing else. The number of groups grows with the tokens, so that a group's bigrams
+fit a task.
 
 Defined results: a null or empty text is the end token alone; a null id counts as the empty text for the split; rows that
 repeat an id and text are scored each; without training texts base_score is log10(1/1) per token and score is the uniform
-spelling's; an empty table gives an empty table; other columns are ignored.
+spelling's; an empty table gives an empty table; other columns are ignored; over 2**32 places of distinct words are an error.
 """
 
 from __future__ import annotations
@@ -181,23 +182,23 @@ def mixed_log10(weight: float, estimates: np.ndarray, spell: np.ndarray) -> np.n
         return np.logaddexp(np.log(weight * estimates), math.log(1 - weight) + spell * math.log(10)) / math.log(10)
 
 
-def _within(rare: DataFrame, spelling: Spelling, n_rest: int) -> float:
-    """The weight of a rare word's own estimate against its spelling, by EM over a histogram of the held-out words."""
-    packed = rare.sparkSession.sparkContext.broadcast(spelling)
+def _own_weight(table: DataFrame, spelling: Spelling, n_rest: int) -> float:
+    """The weight of a word's own estimate against its spelling, by EM over a histogram of the held-out words."""
+    packed = table.sparkSession.sparkContext.broadcast(spelling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             logs = np.concatenate([packed.value.log10(b.column("w").slice(k, 20_000).to_pylist()) for k in range(0, b.num_rows, 20_000)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column("n_rest"), b.column("n_held"), pa.array(logs)], ["n_rest", "n_held", "spell"])
 
-    binned = rare.filter("n_held > 0").mapInArrow(run, "n_rest long, n_held long, spell double")
+    binned = table.filter("n_held > 0").select("w", "n_rest", "n_held").mapInArrow(run, "n_rest long, n_held long, spell double")
     # the bins are quarter octaves of the count by tenths of the logarithm
     # so far down as -300 a spelling has no share in a double, whatever its length, so these words have a bin in common
     low = F.greatest(F.floor(F.col("spell") * 10), F.lit(-3000))
     got = binned.groupBy(F.when(F.col("n_rest") > 0, F.floor(4 * F.log2("n_rest"))).otherwise(-1).alias("c"), low.alias("s")).agg(
         F.sum("n_held").alias("n"), F.avg("n_rest").alias("count"), F.avg("spell").alias("spell")
     )
-    rows = got.toArrow()
+    rows = got.orderBy("c", "s").toArrow()
     if not rows.num_rows or not n_rest:
         return 0.5
     n, count, spell = (rows[c].to_numpy().astype(float) for c in ("n", "count", "spell"))
@@ -216,35 +217,47 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ids of the frequent words and their counts; at most HEAD_ROWS words, END and OTHER."""
+    """Places of the frequent words, their counts in the training part and in all, and log10 of their probabilities by both."""
 
-    def __init__(self, words: list[bytes], rest: np.ndarray, every: np.ndarray) -> None:
-        self.ids = {w: k for k, w in enumerate(words, 2)} | {END: END_ID}
-        self.rest, self.every = rest, every
+    def __init__(self, words: list[bytes], rest: np.ndarray, every: np.ndarray, log_rest: np.ndarray, log_every: np.ndarray) -> None:
+        self.ids = {w: k for k, w in enumerate(words)}
+        self.rest, self.every, self.log_rest, self.log_every = rest, every, log_rest, log_every
 
-    def word(self, counts: np.ndarray) -> np.ndarray:
-        """Estimates of the words; one is added to each count, as OTHER may have none."""
-        return (counts + 1.0) / (counts.sum() + len(counts))
 
+class Words:
+    """The probability of a word: its own estimate mixed with its spelling's."""
 
-def pairs(ids: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    def __init__(self, weight: float, total: int, spelling: Spelling) -> None:
+        self.weight, self.total, self.spelling = weight, total, spelling
+
+    def log10(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        spell = [self.spelling.log10(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+        return mixed_log10(self.weight, counts / max(self.total, 1), np.concatenate(spell or [np.zeros(0)]))
+
+
+def pairs(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bigram key of every token of texts end to end; the first of a text has the end token before it."""
-    before = np.roll(ids, 1).astype(np.int64)
-    before[np.cumsum(sizes) - sizes] = END_ID
-    return before * size + ids
+    return (before(ids, sizes, np.uint64(END_ID)) << np.uint64(32)) | ids
+
+
+def before(values: np.ndarray, sizes: np.ndarray, end: object) -> np.ndarray:
+    """The value of the token before each; `end` for the first of a text."""
+    out = np.roll(values, 1)
+    out[np.cumsum(sizes) - sizes] = end
+    return out
 
 
 def _dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of sorted keys by group, then key; the groups in that order; where each group starts."""
-    g = (((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+    g = (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(g, kind="stable")
     g = g[order]
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, dtype=np.int64)
     return order, g[starts], starts
 
 
-def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, groups: int, segment: int) -> DataFrame:
-    """Texts as ids, about SEGMENT tokens to a row, and their distinct bigrams by group."""
+def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, segment: int) -> DataFrame:
+    """Texts as places of frequent words, about SEGMENT tokens to a row; `rare` lists the other words, `which` places them."""
     part = remainder(F.col("doc_id"), modulus)
     kind = F.when(part == out, _OUT).when(part == held, _HELD).otherwise(_REST)
     rows = docs.select("doc_id", kind.alias("kind"), F.col("text").cast("binary").alias("text"))
@@ -257,26 +270,18 @@ def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, groups
             T.StructField("ids", T.BinaryType()),
             T.StructField("rare", T.ArrayType(T.BinaryType())),
             T.StructField("which", T.BinaryType()),
-            T.StructField("sent", T.ArrayType(T.StructType([T.StructField("g", T.IntegerType()), T.StructField("k", T.BinaryType()), T.StructField("n", T.BinaryType())]))),
         ]
     )
-    sent_type = pa.list_(pa.struct([("g", pa.int32()), ("k", pa.binary()), ("n", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, size = packed.value.ids, len(packed.value.every)
+        places = packed.value.ids
         held_back: list[dict | None] = [None, None, None]
 
         def close(k: int) -> pa.RecordBatch:
             s, held_back[k] = held_back[k], None
-            ids, sizes = np.concatenate(s["ids"]), np.array(s["sizes"], dtype=np.int64)
-            keys, n = np.unique(pairs(ids, sizes, size), return_counts=True)
-            order, g, starts = _dealt(keys, groups)
-            keys, n = keys[order], n[order].astype(np.uint32)
-            ends = np.append(starts[1:], len(keys))
-            sent = [{"g": int(x), "k": _pack(np.diff(keys[a:b], prepend=0)), "n": _pack(n[a:b])} for x, a, b in zip(g, starts, ends)]
             cols = [
                 pa.array([int.from_bytes(os.urandom(8), "little", signed=True)], pa.int64()), pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(s["sizes"])], pa.int32()), pa.concat_arrays(s["doc_ids"])),
-                pa.array([_pack(sizes)], pa.binary()), pa.array([_pack(ids)], pa.binary()), pa.array([list(s["rare"])], pa.list_(pa.binary())), pa.array([_pack(np.array(s["which"], dtype=np.int32))], pa.binary()), pa.array([sent], sent_type),
+                pa.array([_pack(np.array(s["sizes"], dtype=np.int64))], pa.binary()), pa.array([_pack(np.concatenate(s["ids"]))], pa.binary()), pa.array([list(s["rare"])], pa.list_(pa.binary())), pa.array([_pack(np.array(s["which"], dtype=np.int32))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(cols, schema.names)
 
@@ -303,59 +308,119 @@ def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, groups
     return rows.mapInArrow(run, schema)
 
 
-_BINS, _LOW = 512, 160
+class _Segment:
+    """A row of `_segments` with what the word table knows of its rare words: ids, counts of the training part and of all."""
 
+    def __init__(self, row: dict) -> None:
+        self.places, self.sizes, self.which = (_unpack(row[c].as_py(), t) for c, t in (("ids", np.int32), ("sizes", np.int64), ("which", np.int32)))
+        self.rare = row["rare"].as_py()
+        self.tail = np.flatnonzero(self.places == OTHER)
+        self.rare_ids = np.full(len(self.rare), OTHER, dtype=np.uint64)
+        self.rare_rest, self.rare_every = np.zeros(len(self.rare)), np.zeros(len(self.rare))
+        if row["known"].is_valid and len(row["known"].values):
+            k, *cols = (row["known"].values.field(c).to_numpy() for c in ("k", "id", "n_rest", "c"))
+            for mine, theirs in zip((self.rare_ids, self.rare_rest, self.rare_every), cols):
+                mine[k] = theirs
 
-def _counted(packed):
-    """Over rows sorted by group: the training counts of every segment's bigrams, in the order they came in; then, without
-    a segment, a histogram of the held-out bigrams by context bucket and eighth octaves of the ratio of the two estimates."""
+    def by_token(self, head: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        out = head[self.places]
+        out[self.tail] = rare[self.which]
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = packed.value
-        size, word = len(voc.every), voc.word(voc.rest)
-        histogram = np.zeros((2, BUCKETS * _BINS))
-        names = ["seg", "g", "n", "cell", "held", "ratio"]
-        rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        group = None
-
-        def close() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-            kinds = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
-            n = np.concatenate([r[3] for r in rows]).astype(float)
-            rest, held = (np.bincount(at, weights=n * (kinds == k), minlength=len(keys)) for k in (_REST, _HELD))
-            every = (rest + held).astype(np.uint32)
-            ends = np.cumsum([len(r[2]) for r in rows])
-            blobs = [_pack(every[at[end - len(r[2]) : end]]) for r, end in zip(rows, ends)]
-            here = held > 0
-            before, after = keys[here] // size, keys[here] % size
-            context = voc.rest[before]
-            ratio = rest[here] / np.maximum(context, 1) / word[after]
-            bins = np.where(ratio > 0, np.clip(np.floor(8 * np.log2(np.maximum(ratio, 1e-30))) + _LOW, 1, _BINS - 1), 0).astype(int)
-            cell = bucket(context) * _BINS + bins
-            for k, w in enumerate((held[here], held[here] * ratio)):
-                histogram[k] += np.bincount(cell, weights=w, minlength=BUCKETS * _BINS)
-            m = len(rows)
-            none = [pa.nulls(m, t) for t in (pa.int64(), pa.float64(), pa.float64())]
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([group] * m, pa.int32()), pa.array(blobs, pa.binary()), *none], names)
-            rows.clear()
-            return out
+    def keys(self) -> np.ndarray:
+        ids = self.places.astype(np.uint64)
+        ids[self.tail] = self.rare_ids[self.which]
+        return pairs(ids, self.sizes)
+
+
+def _known(keys: np.ndarray) -> np.ndarray:
+    """Bigrams of words that the training texts hold; no other can have a count."""
+    return ((keys >> np.uint64(32)) != OTHER) & ((keys & np.uint64(0xFFFFFFFF)) != OTHER)
+
+
+def _sent(packed, learned, groups: int):
+    """The distinct bigrams of every segment by group. Those held out bring the bucket of their context and log2 of its
+    count times the word's probability, both by the training part, which is what their weights are learned from."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, words = packed.value, learned.value
         for b in batches:
-            for seg, kind, g, k, n in zip(*(b.column(c) for c in ("seg", "kind", "g", "k", "n"))):
-                if g.as_py() != group:
-                    if rows:
-                        yield close()
-                    group = g.as_py()
-                rows.append((seg.as_py(), kind.as_py(), np.cumsum(_unpack(k.as_py(), np.int64)), _unpack(n.as_py(), np.uint32)))
-        if rows:
-            yield close()
-        cells = np.flatnonzero(histogram[0])
-        m = len(cells)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(cells), *(pa.array(h[cells]) for h in histogram)], names)
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r] for c in b.schema.names}
+                s, kind = _Segment(row), row["kind"].as_py()
+                keys, first, n = np.unique(s.keys(), return_index=True, return_counts=True)
+                here = _known(keys)
+                keys, first, n = keys[here], first[here], n[here].astype(np.uint32)
+                order, g, starts = _dealt(keys, groups)
+                keys, first, n = keys[order], first[order], n[order]
+                ends = np.append(starts[1:], len(keys))
+                cols = [pa.array([_pack(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in zip(starts, ends)], pa.binary()), pa.array([_pack(n[i:j]) for i, j in zip(starts, ends)], pa.binary())]
+                if kind == _HELD:
+                    context = before(s.by_token(voc.rest, s.rare_rest), s.sizes, voc.rest[END_ID])[first]
+                    logs = s.by_token(voc.log_rest, words.log10(s.rare, s.rare_rest))[first]
+                    at = bucket(context).astype(np.uint8)
+                    scale = (np.log2(np.maximum(context, 1)) + logs * math.log2(10)).astype(np.float32)
+                    cols += [pa.array([_pack(x[i:j]) for i, j in zip(starts, ends)], pa.binary()) for x in (at, scale)]
+                else:
+                    cols += [pa.nulls(len(g), pa.binary())] * 2
+                m = len(g)
+                head = [pa.array([row["seg"].as_py()] * m, pa.int64()), pa.array([kind] * m, pa.int32()), pa.array(g.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*head, *cols], ["seg", "kind", "g", "k", "n", "bucket", "scale"])
 
     return run
 
 
+_BINS, _LOW = 512, 160
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by group: the training counts of every segment's bigrams, in the order they came in; then, without
+    a segment, a histogram of the held-out bigrams by context bucket and eighth octaves of the ratio of the two estimates."""
+    histogram = np.zeros((2, BUCKETS * _BINS))
+    names = ["seg", "g", "n", "cell", "held", "ratio"]
+    rows: list[tuple] = []
+    group = None
+
+    def close() -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        rest, every = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        ends = np.cumsum([len(r[2]) for r in rows])
+        places = [at[end - len(r[2]) : end] for r, end in zip(rows, ends)]
+        for (_, kind, _, n, _, _), place in zip(rows, places):  # a segment has a bigram once
+            if kind == _REST:
+                rest[place] += n
+            if kind != _OUT:
+                every[place] += n
+        for (_, kind, _, n, context, scale), place in zip(rows, places):
+            if kind == _HELD:
+                seen = rest[place] > 0
+                ratio = np.zeros(len(place))
+                ratio[seen] = rest[place][seen] * np.exp2(-scale[seen].astype(float))
+                bins = np.where(seen, np.clip(np.floor(8 * np.log2(np.maximum(ratio, 1e-30))) + _LOW, 1, _BINS - 1), 0).astype(int)
+                cell = context.astype(int) * _BINS + bins
+                for k, w in enumerate((n, n * ratio)):
+                    histogram[k] += np.bincount(cell, weights=w, minlength=BUCKETS * _BINS)
+        m = len(rows)
+        none = [pa.nulls(m, t) for t in (pa.int64(), pa.float64(), pa.float64())]
+        out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([group] * m, pa.int32()), pa.array([_pack(every[p]) for p in places], pa.binary()), *none], names)
+        rows.clear()
+        return out
+
+    for b in batches:
+        for seg, kind, g, k, n, context, scale in zip(*(b.column(c) for c in ("seg", "kind", "g", "k", "n", "bucket", "scale"))):
+            if g.as_py() != group:
+                if rows:
+                    yield close()
+                group = g.as_py()
+            held = (_unpack(context.as_py(), np.uint8), _unpack(scale.as_py(), np.float32)) if context.is_valid else (None, None)
+            rows.append((seg.as_py(), kind.as_py(), np.cumsum(_unpack(k.as_py(), np.uint64)), _unpack(n.as_py(), np.uint32), *held))
+    if rows:
+        yield close()
+    cells = np.flatnonzero(histogram[0])
+    m = len(cells)
+    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(cells), *(pa.array(h[cells]) for h in histogram)], names)
+
+
 def weights_of(cells: np.ndarray, held: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """The bigram's weight in each context bucket, from the histogram; an unseen context has none, a bucket without
     held-out bigrams takes the nearest lower one's."""
@@ -369,77 +434,68 @@ def weights_of(cells: np.ndarray, held: np.ndarray, ratio: np.ndarray) -> np.nda
 def score(docs: DataFrame, modulus: int = 7, out: int = 2, held: int = 3, head_rows: int = HEAD_ROWS, segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
     spark = docs.sparkSession
-    table = stash(_count(docs, modulus, out, held).withColumn("c", F.col("n_rest") + F.col("n_held")))
-    sums = table.agg(F.sum("n_rest").alias("rest"), F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    rest, n, v = sums["rest"] or 0, sums["n"] or 0, sums["v"]
+    counted = _count(docs, modulus, out, held).withColumn("c", F.col("n_rest") + F.col("n_held"))
+    place = F.monotonically_increasing_id()
+    table = stash(counted.withColumn("place", place))  # written, so a word keeps its place
+    task, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sums = table.agg(F.sum("n_rest").alias("rest"), F.sum("c").alias("n"), F.count("*").alias("v"), (F.max(task) + 1).alias("tasks"), F.max(row).alias("rows")).first()
+    rest, n, v, tasks = sums["rest"] or 0, sums["n"] or 0, sums["v"], sums["tasks"] or 1
     g, g_rest, g_held = _trigrams(table)
     learner = Spelling(g[g_rest > 0], g_rest[g_rest > 0])
     learner.learn(g[g_held > 0], g_held[g_held > 0].astype(float))
     spelling = Spelling(g, g_rest + g_held, learner.weights)
+    own = _own_weight(table, learner, rest) if n else 0.0
+    by_rest, by_every = Words(own if rest else 0.0, rest, learner), Words(own, n, spelling)
 
     cut = cut_for(table, "c", head_rows)
-    head = table.filter((F.col("c") >= cut) | (F.col("w") == END)).select("w", "n_rest", "c").orderBy(F.desc("c"), "w").toArrow()
-    words = head["w"].to_pylist()
-    ends = [k for k, w in enumerate(words) if w == END]
-    mine = np.array([k for k, w in enumerate(words) if w != END], dtype=int)
-
-    def counts(name: str, total: int) -> np.ndarray:
-        c = head[name].to_numpy().astype(float)
-        return np.concatenate([[c[ends].sum(), total - c.sum()], c[mine]])
-
-    voc = Vocabulary([words[k] for k in mine], counts("n_rest", rest), counts("c", n))
-    rare_table = table.filter((F.col("c") < cut) & (F.col("w") != END))
-    inside = _within(rare_table, learner, int(voc.rest[OTHER]))
+    head = table.filter((F.col("c") >= cut) & (F.col("w") != END)).select("w", "n_rest", "c").orderBy(F.desc("c"), "w").toArrow()
+    end = table.filter(F.col("w") == END).agg(F.sum("n_rest").alias("n_rest"), F.sum("c").alias("c")).first()
+    words = [END, b"", *head["w"].to_pylist()]  # no token is empty, so OTHER's place has no word
+    counts = {c: np.concatenate([[end[c] or 0, 0], head[c].to_numpy()]).astype(float) for c in ("n_rest", "c")}
+    voc = Vocabulary(words, counts["n_rest"], counts["c"], by_rest.log10(words, counts["n_rest"]), by_every.log10(words, counts["c"]))
+    if len(words) + ((sums["rows"] or 0) + 1) * tasks >= 1 << 32:
+        raise ValueError("over 2**32 places of words: bigram keys would not fit 64 bits")
+    ids = (F.lit(len(words)) + row * tasks + task).alias("id")
+    rare_table = table.filter((F.col("c") < cut) & (F.col("w") != END)).select("w", ids, "n_rest", "c")
     packed = spark.sparkContext.broadcast(voc)
+    learned, model = spark.sparkContext.broadcast(by_rest), spark.sparkContext.broadcast(by_every)
 
     groups = min(GROUPS, 1 + n // GROUP)
-    segs = stash(_segments(docs, modulus, out, held, packed, groups, segment))
-    sent = segs.select("seg", "kind", F.explode("sent").alias("s")).select("seg", "kind", "s.*")
-    back = stash(sent.repartition("g").sortWithinPartitions("g").mapInArrow(_counted(packed), "seg long, g int, n binary, cell long, held double, ratio double"))
+    segs = stash(_segments(docs, modulus, out, held, packed, segment))
+    asked = segs.select("seg", F.posexplode("rare").alias("k", "w"))
+    known = stash(asked.join(rare_table, "w").groupBy("seg").agg(F.collect_list(F.struct("k", "id", "n_rest", "c")).alias("known")))
+    whole = segs.join(known, "seg", "left")
+    sent = whole.drop("doc_ids").mapInArrow(_sent(packed, learned, groups), "seg long, kind int, g int, k binary, n binary, bucket binary, scale binary")
+    back = stash(sent.repartition("g").sortWithinPartitions("g").mapInArrow(_counted, "seg long, g int, n binary, cell long, held double, ratio double"))
     seen = back.filter("seg is null").groupBy("cell").agg(F.sum("held").alias("held"), F.sum("ratio").alias("ratio")).orderBy("cell").toArrow()
     weights = weights_of(*(seen[c].to_numpy() for c in ("cell", "held", "ratio")))
-
     got = back.filter("seg is not null").groupBy("seg").agg(F.collect_list(F.struct("g", "n")).alias("got"))
-    asked = segs.select("seg", F.posexplode("rare").alias("k", "w"))
-    rare = asked.join(rare_table.select("w", "c"), "w").groupBy("seg").agg(F.collect_list(F.struct("k", "c")).alias("known"))
-    whole = segs.drop("sent").join(got, "seg").join(rare, "seg", "left")
-    model = spark.sparkContext.broadcast((weights, inside, spelling))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (by_bucket, within, spell) = packed.value, model.value
-        size, word, weight = len(own.every), own.word(own.every), by_bucket[bucket(own.every)]
-        base_of = np.log10(own.every + 1)
-        other = max(own.every[OTHER], 1.0)
+        head, every = packed.value, model.value
         for b in batches:
             for r in range(b.num_rows):
                 row = {c: b.column(c)[r] for c in b.schema.names}
-                ids, sizes, which = (_unpack(row[c].as_py(), t) for c, t in (("ids", np.int32), ("sizes", np.int64), ("which", np.int32)))
-                starts = np.cumsum(sizes) - sizes
-                keys, at = np.unique(pairs(ids, sizes, size), return_inverse=True)
-                order, g, first = _dealt(keys, groups)
-                found = {x["g"].as_py(): x["n"].as_py() for x in row["got"].values}
-                n_of = np.empty(len(keys))
-                n_of[order] = np.concatenate([_unpack(found[int(x)], np.uint32) for x in g])
-                before, after = keys // size, keys % size
-                p = weight[before] * n_of / np.maximum(own.every[before], 1) + (1 - weight[before]) * word[after]
-                logs, base = np.log10(p)[at], base_of[ids]
-                known = (ids != OTHER) & (own.every[ids] > 0)
-                if len(which):
-                    names_of = row["rare"].as_py()
-                    c = np.zeros(len(names_of))
-                    if row["known"].is_valid and len(row["known"].values):
-                        c[row["known"].values.field("k").to_numpy()] = row["known"].values.field("c").to_numpy()
-                    s = np.concatenate([spell.log10(names_of[k : k + 20_000]) for k in range(0, len(names_of), 20_000)])
-                    mixed = mixed_log10(within, c / other, s)
-                    tail = np.flatnonzero(ids == OTHER)
-                    logs[tail] += mixed[which]
-                    base[tail] = np.log10(c + 1)[which]
-                    known[tail] = (c > 0)[which]
-                m = len(sizes)
-                cols = [row["doc_ids"].values, pa.array([row["kind"].as_py() == _OUT] * m, pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.full(m, n, dtype=np.int64))]
-                cols += [pa.array(np.add.reduceat(base, starts) - sizes * math.log10(n + v + 1)), pa.array(np.add.reduceat(logs, starts))]
+                s = _Segment(row)
+                keys, at = np.unique(s.keys(), return_inverse=True)
+                sent_keys = np.flatnonzero(_known(keys))
+                order, g, _ = _dealt(keys[sent_keys], groups)
+                n_of = np.zeros(len(keys))
+                if len(g):
+                    found = {x["g"].as_py(): x["n"].as_py() for x in row["got"].values}
+                    n_of[sent_keys[order]] = np.concatenate([_unpack(found[int(x)], np.int64) for x in g])
+                count = s.by_token(head.every, s.rare_every)
+                context = before(count, s.sizes, head.every[END_ID])
+                weight = weights[bucket(context)]
+                with np.errstate(divide="ignore"):
+                    pair = np.log(weight * n_of[at] / np.maximum(context, 1))
+                word = s.by_token(head.log_every, every.log10(s.rare, s.rare_every)) * math.log(10)
+                logs = np.logaddexp(pair, np.log1p(-weight) + word) / math.log(10)
+                m, starts = len(s.sizes), np.cumsum(s.sizes) - s.sizes
+                cols = [row["doc_ids"].values, pa.array([row["kind"].as_py() == _OUT] * m, pa.bool_()), pa.array(s.sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.full(m, n, dtype=np.int64))]
+                cols += [pa.array(np.add.reduceat(np.log10(count + 1), starts) - s.sizes * math.log10(n + v + 1)), pa.array(np.add.reduceat(logs, starts))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     types = (T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
-    return whole.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(a, t) for a, t in zip(names[1:], types))]))
+    return whole.join(got, "seg", "left").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(a, t) for a, t in zip(names[1:], types))]))

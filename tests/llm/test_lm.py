@@ -24,57 +24,96 @@ def toks(t):
     return (t or "").encode().lower().split() + [b"\n"]
 
 
-def brute(rows, vocabulary):
-    """(id, score) of every row by plain dictionaries, exact expectation-maximisation and no histogram."""
-    inside = lambda w: w if w in vocabulary or w == b"\n" else None
+class Triples:
+    """Spelling by byte triples, from dictionaries of counts: four estimates, mixed by the octave of the context's count."""
+
+    def __init__(self, counts, weights=None):
+        self.counts, self.total = counts, sum(counts.values())
+        self.one, self.two, self.first, self.pair = Counter(), Counter(), Counter(), Counter()
+        for t, n in counts.items():
+            self.one[t[2]] += n
+            self.two[t[1:]] += n
+            self.first[t[1]] += n
+            self.pair[t[:2]] += n
+        self.weights = weights if weights is not None else [[0.25] * 4 for _ in range(48)]
+
+    def parts(self, t):
+        out = [1 / 256, self.one[t[2]] / self.total if self.total else 1 / 256]
+        out.append(self.two[t[1:]] / self.first[t[1]] if self.first[t[1]] else out[1])
+        out.append(self.counts[t] / self.pair[t[:2]] if self.pair[t[:2]] else out[2])
+        return out
+
+    def octave(self, t):
+        return min(47, int(math.log2(self.pair[t[:2]] + 1)))
+
+    def learn(self, held, rounds=60):
+        events = [(self.octave(t), self.parts(t), n) for t, n in held.items()]
+        for _ in range(rounds):
+            share = [[1e-3] * 4 for _ in range(48)]
+            for k, parts, n in events:
+                joint = [w * x for w, x in zip(self.weights[k], parts)]
+                for i, x in enumerate(joint):
+                    share[k][i] += n * x / sum(joint)
+            self.weights = [[x / sum(row) for x in row] for row in share]
+
+    def log10(self, word):
+        triples = letters(word)
+        return sum(math.log10(sum(w * x for w, x in zip(self.weights[self.octave(t)], self.parts(t)))) for t in triples)
+
+
+def letters(word):
+    spelt = b"\n \n" if word == b"\n" else b"\n " + word + b" "
+    return [spelt[k : k + 3] for k in range(len(spelt) - 2)]
+
+
+def em(events, rounds=200):
+    """The weight of the first estimate from (count, first / second) events."""
+    w = 0.5
+    for _ in range(rounds):
+        w = sum(n * w * x / (w * x + 1 - w) for n, x in events) / sum(n for n, _ in events)
+        w = min(max(w, 1e-6), 1 - 1e-6)
+    return w
+
+
+def brute(rows):
+    """(id, score) of every row by plain dictionaries over all words, exact expectation-maximisation and no histogram."""
     words, grams, spelt = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
     for i, t in rows:
         if part(i) != 2:
             k, before = int(part(i) == 3), b"\n"
             for w in toks(t):
                 words[k][w] += 1
-                grams[k][inside(before), inside(w)] += 1
-                letters = b"\n " + (w if w == b"\n" else w + b" ")
-                if w == b"\n":
-                    letters = b"\n \n"
-                for a in range(len(letters) - 2):
-                    spelt[k][letters[a : a + 3]] += 1
+                grams[k][before, w] += 1
+                spelt[k].update(letters(w))
                 before = w
-    cell = lambda x: x[0] << 16 | x[1] << 8 | x[2]
-    spell = lm.Spelling(np.array([cell(x) for x in spelt[0]]), np.array(list(spelt[0].values())))
-    spell.learn(np.array([cell(x) for x in spelt[1]]), np.array(list(spelt[1].values()), dtype=float))
-    whole = spelt[0] + spelt[1]
-    pooled = lm.Spelling(np.array([cell(x) for x in whole]), np.array(list(whole.values())), spell.weights)
-
-    def classes(counts):
-        out = Counter({b"\n": 0, None: 0} | {w: 0 for w in vocabulary})
-        for w, c in counts.items():
-            out[inside(w)] += c
-        return out
+    learner = Triples(spelt[0])
+    learner.learn(spelt[1])
+    pooled = Triples(spelt[0] + spelt[1], learner.weights)
+    rest, every = words[0], words[0] + words[1]
+    n_rest, n_every = sum(rest.values()), sum(every.values())
+    own = em([(n, rest[w] / n_rest / 10 ** learner.log10(w) if rest[w] else 0.0) for w, n in words[1].items()])
+    memo = {}
+
+    def word(w, counts, total, spelling):
+        if (w, total) not in memo:
+            far = spelling.log10(w) + math.log10(1 - own)
+            memo[w, total] = far if not counts[w] else math.log10(own * counts[w] / total + 10**far)
+        return memo[w, total]
 
-    rest, every = classes(words[0]), classes(words[0] + words[1])
-    estimate = lambda c, w: (c[w] + 1) / (sum(c.values()) + len(c))
-    rest_of = {w: estimate(rest, w) for w in rest}
-    every_of = {w: estimate(every, w) for w in every}
     events = {}
     for (v, w), n in grams[1].items():
-        events.setdefault(int(math.log2(rest[v] + 1)), []).append((n, grams[0][v, w] / max(rest[v], 1) / rest_of[w]))
+        ratio = grams[0][v, w] / rest[v] / 10 ** word(w, rest, n_rest, learner) if grams[0][v, w] else 0.0
+        events.setdefault(int(math.log2(rest[v] + 1)), []).append((n, ratio))
     weight = [0.0] * 48
     for k in range(1, 48):
-        weight[k] = lm.mixture(*(np.array(x) for x in zip(*events[k]))) if k in events else weight[k - 1]
-    tail = [(n, w) for w, n in words[1].items() if inside(w) is None]
-    log = {w: lm.Spelling.log10(spell, [w])[0] for _, w in tail}
-    within = lm.mixture(np.array([float(n) for n, _ in tail]), np.array([0.0 if not words[0][w] else 10.0 ** min(250, math.log10(words[0][w] / max(rest[None], 1)) - log[w]) for _, w in tail])) if tail and rest[None] else 0.5
-    total, bigrams, out = words[0] + words[1], grams[0] + grams[1], []
+        weight[k] = em(events[k]) if k in events else weight[k - 1]
+    bigrams, out = grams[0] + grams[1], []
     for i, t in rows:
         before, s = b"\n", 0.0
         for w in toks(t):
-            a, b = inside(before), inside(w)
-            lam = weight[min(47, int(math.log2(every[a] + 1)))]
-            s += math.log10(lam * bigrams[a, b] / max(every[a], 1) + (1 - lam) * every_of[b])
-            if b is None:
-                own = float(pooled.log10([w])[0])
-                s += math.log10(within * total[w] / max(every[None], 1) + (1 - within) * 10**own) if total[w] else math.log10(1 - within) + own
+            lam = weight[min(47, int(math.log2(every[before] + 1)))]
+            far = math.log10(1 - lam) + word(w, every, n_every, pooled)
+            s += math.log10(lam * bigrams[before, w] / every[before] + 10**far) if bigrams[before, w] else far
             before = w
         out.append((str(i), s))
     return sorted(out)
@@ -86,17 +125,22 @@ def test_base_and_score_match_brute_force(spark):
     train = Counter(w for i, t in rows if part(i) != 2 for w in toks(t))
     n, v = sum(train.values()), len(train)
     want = sorted((str(i), part(i) == 2, len(toks(t)), sum(train[w] > 0 for w in toks(t)), n, round(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in toks(t)), 5)) for i, t in rows)
+    exact = brute(rows)
     for head, segment in ((lm.HEAD_ROWS, lm.SEGMENT), (20, 500)):
         out = lm.score(df, head_rows=head, segment=segment).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out) == want
-        least = next(c for c in lm.cut_for.__globals__["CUTS"] if sum(x >= c for x in train.values()) <= head)
-        exact = brute(rows, {w for w, c in train.items() if c >= least and w != b"\n"})
         got = sorted((str(r.doc_id), r.score) for r in out)
         assert [i for i, _ in got] == [i for i, _ in exact]
         for (i, a), (_, b) in zip(got, exact):
             assert abs(a - b) <= 0.004 * abs(b) + 1e-6, (i, a, b)
 
 
+def test_what_is_broadcast_changes_nothing(spark):
+    df = spark.createDataFrame(corpus(5, 120), "doc_id long, text string").repartition(3)
+    every = [sorted((str(r.doc_id), r.n_known, round(r.base_score, 7), round(r.score, 7)) for r in lm.score(df, head_rows=h, segment=k).collect()) for h, k in ((lm.HEAD_ROWS, lm.SEGMENT), (20, 500), (0, 3000))]
+    assert every[0] == every[1] == every[2]
+
+
 def test_word_order_and_repeats_matter(spark):
     r = random.Random(3)
     voc = ["".join(r.choices("abcdefgh", k=4)) for _ in range(300)]
@@ -139,26 +183,6 @@ def test_empty_and_without_training_rows(spark):
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0) and row.score < 0
 
 
-def plain_spelling(counts, weights, word):
-    """log10 of a word's bytes, from counts of byte triples alone."""
-    letters = b"\n " + word + b" "
-    total = sum(counts.values())
-    one, two, first, pair = Counter(), Counter(), Counter(), Counter()
-    for t, n in counts.items():
-        one[t[2]] += n
-        two[t[1:]] += n
-        first[t[1]] += n
-        pair[t[:2]] += n
-    out = 0.0
-    for k in range(len(letters) - 2):
-        t = letters[k : k + 3]
-        parts = [1 / 256, one[t[2]] / total]
-        parts.append(two[t[1:]] / first[t[1]] if first[t[1]] else parts[1])
-        parts.append(counts[t] / pair[t[:2]] if pair[t[:2]] else parts[2])
-        out += math.log10(sum(w * x for w, x in zip(weights[min(47, int(math.log2(pair[t[:2]] + 1)))], parts)))
-    return out
-
-
 def test_words_are_spelled_to_their_end():
     r = random.Random(4)
     counts = Counter({bytes(r.choices(b"abc ", k=3)): r.randint(1, 50) for _ in range(40)})
@@ -166,7 +190,7 @@ def test_words_are_spelled_to_their_end():
     spell = lm.Spelling(np.array([x[0] << 16 | x[1] << 8 | x[2] for x in counts]), np.array(list(counts.values())), weights)
     words = [bytes(r.choices(b"abcdz", k=n)) for n in (1, 30, 180, 300, 600, 3000)]
     got = spell.log10(words)
-    assert np.allclose(got, [plain_spelling(counts, weights, w) for w in words], rtol=1e-9)
+    assert np.allclose(got, [Triples(counts, weights).log10(w) for w in words], rtol=1e-9)
     assert np.all(np.diff(got) < 0) and got[-1] < -1000
     # a spelling that no double holds leaves the word's own estimate, and nothing but it where there is none
     assert np.allclose(lm.mixed_log10(0.25, np.array([0.5, 0.0, 0.0]), np.array([-4000.0, -4000.0, -2.0])), [math.log10(0.125), math.log10(0.75) - 4000, math.log10(0.75) - 2])
