@@ -18,6 +18,20 @@ from .tables import kept
 TIER_OF_COLOUR = {"GREY": "T1", "GREEN": "T2", "BLUE": "T3", "PURPLE": "T4", "GOLD": "T5"}
 TIER_SHARE = 0.55
 GLYPH_SIZE = 32
+# Fixed values, of hue in degrees and of saturation, value and shares from 0 to 1.
+# A named colour: below which value there is none, the gilding (least value and saturation, hues), below which saturation a
+# pixel is grey, and the hues where gold ends and starts again, and where green and blue end.
+DARK, GILDING, GREY_BELOW = 0.18, (0.72, 0.55, (38, 62)), 0.25
+GOLD_BELOW, GOLD_FROM, GREEN_BELOW, BLUE_BELOW = 70, 330, 170, 258
+# A frame: least value and saturation, hues.
+FRAME = (0.28, 0.45, (25, 68))
+# A resource icon: below which value a pixel is left out, a white one (below this saturation, above this value), below which
+# saturation it is grey, where orange, yellow and green end; the least pixels and share of the box; the shares to exceed.
+ICON_DARK, ICON_WHITE, ICON_GREY = 0.30, (0.10, 0.88), 0.22
+ORANGE_BELOW, YELLOW_BELOW, ICON_GREEN_BELOW = 40, 70, 170
+ICON_LEAST, STONE_SHARE, FOOD_SHARE, WOOD_SHARE = (60, 0.18), 0.5, 0.12, 0.45
+# A glyph: above which value and below which saturation a pixel is of its shape; the least pixels and extent of a shape.
+GLYPH_WHITE, GLYPH_LEAST = (0.62, 0.35), (20, 3)
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -39,19 +53,21 @@ def hsv(df: DataFrame) -> DataFrame:
 
 def colour_bucket() -> Column:
     """The named colour of a pixel with hsv columns; NULL for dark pixels and bright gilding."""
+    value, saturation, hues = GILDING
     return (
-        F.when(F.col("val") < 0.18, None)
-        .when((F.col("val") > 0.72) & (F.col("sat") > 0.55) & F.col("hue").between(38, 62), None)
-        .when(F.col("sat") < 0.25, "GREY")
-        .when((F.col("hue") < 70) | (F.col("hue") >= 330), "GOLD")
-        .when(F.col("hue") < 170, "GREEN")
-        .when(F.col("hue") < 258, "BLUE")
+        F.when(F.col("val") < DARK, None)
+        .when((F.col("val") > value) & (F.col("sat") > saturation) & F.col("hue").between(*hues), None)
+        .when(F.col("sat") < GREY_BELOW, "GREY")
+        .when((F.col("hue") < GOLD_BELOW) | (F.col("hue") >= GOLD_FROM), "GOLD")
+        .when(F.col("hue") < GREEN_BELOW, "GREEN")
+        .when(F.col("hue") < BLUE_BELOW, "BLUE")
         .otherwise("PURPLE")
     )
 
 
 def is_frame() -> Column:
-    return (F.col("val") > 0.28) & (F.col("sat") > 0.45) & F.col("hue").between(25, 68)
+    value, saturation, hues = FRAME
+    return (F.col("val") > value) & (F.col("sat") > saturation) & F.col("hue").between(*hues)
 
 
 def dominant_colour(pixels: DataFrame, key: list[str]) -> DataFrame:
@@ -70,13 +86,14 @@ def tier_of(inside: DataFrame, outside: DataFrame, key: list[str]) -> DataFrame:
 
 def resource_of(pixels: DataFrame, key: list[str]) -> DataFrame:
     """key and resource of an icon by the shares of its colours; NULL if it is none of the four."""
-    drop = (F.col("val") < 0.30) | ((F.col("sat") < 0.10) & (F.col("val") > 0.88))
-    kind = F.when(F.col("sat") < 0.22, "grey").when(F.col("hue") < 40, "orange").when(F.col("hue") < 70, "yellow").when(F.col("hue") < 170, "green")
+    drop = (F.col("val") < ICON_DARK) | ((F.col("sat") < ICON_WHITE[0]) & (F.col("val") > ICON_WHITE[1]))
+    kind = F.when(F.col("sat") < ICON_GREY, "grey").when(F.col("hue") < ORANGE_BELOW, "orange").when(F.col("hue") < YELLOW_BELOW, "yellow").when(F.col("hue") < ICON_GREEN_BELOW, "green")
     marked = hsv(pixels).withColumn("_k", F.when(~drop, kind))
     sums = marked.groupBy(*key).agg(F.count("*").alias("area"), F.count("_k").alias("total"), *[F.count_if(F.col("_k") == c).alias(c) for c in ("grey", "orange", "yellow", "green")])
     share = lambda c: F.col(c) / F.col("total")
     food, wood, stone, gold = RESOURCES
-    found = F.when((F.col("total") < 60) | (F.col("total") < 0.18 * F.col("area")), None).when(share("grey") > 0.5, stone).when(share("green") > 0.12, food).when(F.col("yellow") > F.col("orange"), gold).when(share("orange") > 0.45, wood)
+    few = (F.col("total") < ICON_LEAST[0]) | (F.col("total") < ICON_LEAST[1] * F.col("area"))
+    found = F.when(few, None).when(share("grey") > STONE_SHARE, stone).when(share("green") > FOOD_SHARE, food).when(F.col("yellow") > F.col("orange"), gold).when(share("orange") > WOOD_SHARE, wood)
     return sums.select(*key, found.alias("resource"))
 
 
@@ -86,9 +103,10 @@ def frame_density(pixels: DataFrame, key: list[str]) -> DataFrame:
 
 def glyph_bits(pixels: DataFrame, key: list[str]) -> DataFrame:
     """key and bits, 16 longs: the near-white shape of a box, cropped and scaled to 32 x 32; no row for a small shape."""
-    on = hsv(pixels).filter((F.col("val") > 0.62) & (F.col("sat") < 0.35))
+    on = hsv(pixels).filter((F.col("val") > GLYPH_WHITE[0]) & (F.col("sat") < GLYPH_WHITE[1]))
     box = on.groupBy(*key).agg(F.min("x").alias("_l"), F.max("x").alias("_r"), F.min("y").alias("_t"), F.max("y").alias("_b"), F.count("*").alias("_n"), F.collect_set(F.struct("x", "y")).alias("_on"))
-    good = box.filter("_n >= 20 AND _r - _l >= 3 AND _b - _t >= 3")
+    least, extent = GLYPH_LEAST
+    good = box.filter((F.col("_n") >= least) & (F.col("_r") - F.col("_l") >= extent) & (F.col("_b") - F.col("_t") >= extent))
 
     def word(k: Column) -> Column:
         def bit(acc: Column, j: Column) -> Column:

@@ -6,7 +6,7 @@ comes. The small side of each anti-join is the set of changed keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import archive_name, cell, strip
@@ -23,9 +23,16 @@ def _same(a: str, b: str) -> Column:
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str = KEY) -> DataFrame:
-    """target with the rows of source in place of those of the same key (keys are trimmed); source has a key once."""
+    """target with the rows of source in place of those of the same key (keys are trimmed).
+
+    A key that source has more than once is an error, as nothing says which of its rows stands; rows without a key are added.
+    """
+    trimmed = strip(F.col(f"`{key}`"))
+    times = F.count(trimmed).over(Window.partitionBy(trimmed))
+    once = F.when(times > 1, F.raise_error(F.concat(F.lit("key more than once: "), trimmed))).otherwise(True)
+    new = source.withColumn("_once", once).filter("_once").drop("_once")
     keys = source.select(F.col(f"`{key}`").alias("_k"))
-    return target.join(keys, _same(f"`{key}`", "_k"), "left_anti").unionByName(source)
+    return target.join(keys, _same(f"`{key}`", "_k"), "left_anti").unionByName(new)
 
 
 def replace_children(target: DataFrame, keys: DataFrame, children: DataFrame, key: str = KEY) -> DataFrame:

@@ -66,9 +66,12 @@ def keyed_units(raw: DataFrame) -> DataFrame:
     return last.select("key", "v.*")
 
 
-def small(dimension: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A dimension marked for broadcast if it has at most so many rows, by counting up to one more; as it is otherwise."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+def small(dimension: DataFrame, rows: int = 200_000, size: int = 64 << 20) -> DataFrame:
+    """A dimension marked for broadcast if it has at most so many rows, by counting up to one more, and they take at most
+    `size` bytes as text; as it is otherwise."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dimension.columns])))
+    found = dimension.limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("size")).first()
+    return F.broadcast(dimension) if found["rows"] <= rows and found["size"] <= size else dimension
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import images, report, sessions, sink
@@ -77,6 +78,30 @@ def test_closing_and_live_sessions_agree(spark, tmp_path):
     assert any(x.complete for x in seen) and any(x.closed and not x.complete for x in seen)
 
 
+def test_a_key_comes_once_in_an_upsert(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    have = rows(("a", 1), (" b ", 2), (None, 3))
+    got = sink.upsert(have, rows(("b", 5), ("c", 6), (None, 7), (None, 8)), "k").collect()
+    assert sorted((r.k or "", r.v) for r in got) == [("", 3), ("", 7), ("", 8), ("a", 1), ("b", 5), ("c", 6)]
+    with pytest.raises(Exception, match="key more than once: b"):
+        sink.upsert(have, rows(("b", 5), (" b", 6)), "k").collect()
+    with pytest.raises(Exception, match="key more than once: b"):
+        sink.upsert(have.limit(0), rows(("b", 5), ("b", 5)), "k").count()
+    assert sink.upsert(have, have.limit(0), "k").count() == 3
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    wide = spark.createDataFrame([(k, "x" * 1000, [k]) for k in range(50)], "k long, v string, bits array<long>")
+    planned = lambda df: "BroadcastHashJoin" in spark.range(9).join(df, F.col("id") == F.col("k"))._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert planned(d.small(wide, rows=50)) and d.small(wide.limit(0)).count() == 0
+        assert not planned(d.small(wide, rows=49)) and not planned(d.small(wide, size=40_000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_tables(spark, tmp_path):
     cols = list(report.SUBMISSIONS)
     def table(*rows):
