@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table with at most this many rows, each of bounded width, may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
+#: A table whose texts and lists may be of any length is broadcast only if they are no more than this in all, too.
+BROADCAST_BYTES = 128 << 20
 #: No more keys than this hold so large a share of a join's rows that they are broadcast, by `spread`.
 HOT_KEYS = 100_000
 
@@ -46,6 +48,13 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def light(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if its rows, by one aggregation, are within the limit and their bytes as JSON within BROADCAST_BYTES."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    rows, width = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and width <= BROADCAST_BYTES else df
+
+
 def spread(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with table, which has one row a key and, as `n`, how many of the `total` rows hold it; n is dropped.
 

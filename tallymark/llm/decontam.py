@@ -1,10 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 Words are hashed, hashes are combined to k-grams by doubling (1, 2, 4, 8 words), and of every 6 consecutive 8-grams the
-least is kept, so any shared span of 13 words shares a kept fingerprint. Documents stream past the benchmark's
-fingerprints (broadcast if their counted rows are within a bound, else a shuffle join); a hit is extended to the 13-word
-windows whose least 8-gram it is, and these windows are compared word for word. Items shorter than a window are matched
-whole, by hashes of their own length. Nothing but hits and one row per document is shuffled.
+least is kept, so any shared span of 13 words shares a kept fingerprint. A hit is extended to the 13-word windows whose
+least 8-gram it is, and these windows are compared word for word. Items shorter than a window are matched whole, by
+hashes of their own length.
+
+While the benchmark's fingerprints are within a counted bound, documents stream past them in one scan, and nothing but
+hits and one row per document is shuffled. Beyond it, fingerprints meet in a shuffle join that carries no text (id, place,
+length, hash); what met is written, and texts are joined to it by their own ids, once. Every document has a mark of its own
+that needs no partner, so there is no key on which all documents meet. Equal lists of items are one row of a table, joined
+once a document, so a passage that all items share is not repeated for each of its windows.
 
 Defined results: null and empty texts have no words and are never contaminated; rows that repeat an id and text get equal
 rows each; a null doc_id is kept; benchmark rows without id or words are no items; an empty benchmark hits nothing;
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, stash
+from .common import BROADCAST_ROWS, ascii_lower, light, small, stash
 
 WINDOW = 13
 GRAM = 8
@@ -78,8 +83,39 @@ def _whole(length: int) -> Column:
     return F.transform(f"l{length}", lambda x, i: F.struct(i.alias("j"), F.lit(length).alias("len"), x.alias("fp")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, item_ids (sorted strings) and contaminated for every row of docs."""
+def _own_mark() -> Column:
+    """A document's mark that finds no fingerprint, as no length is 0; its hash spreads over a shuffle as documents do."""
+    return F.struct(F.lit(-1).alias("j"), F.lit(0).alias("len"), F.xxhash64("doc_id", "text_hash").alias("fp"))
+
+
+def _streamed(rows: DataFrame, prints: DataFrame, short: set[int], window: int) -> DataFrame:
+    """The marks of every row that meet the fingerprints, which are broadcast, and its own mark."""
+    # explode_outer, as explode would add filters on the arrays and push copies of their whole expressions to the scan
+    marked = _marks(rows.withColumn("words", words(F.col("text"))), short, window)
+    marked = marked.select("doc_id", "text_hash", "words", "least", "n", F.col("n").alias("n_words"), F.explode_outer(F.concat(F.array(_own_mark()), "marks")).alias("m"))
+    known = F.broadcast(prints.withColumn("known", F.lit(True)))
+    return marked.select("doc_id", "text_hash", "words", "least", "n", "n_words", "m.*").join(known, ["len", "fp"], "left").filter("known or j < 0")
+
+
+def _shuffled(rows: DataFrame, prints: DataFrame, short: set[int], window: int) -> DataFrame:
+    """As _streamed, for fingerprints of any number: marks without texts are shuffled, then texts to their marks."""
+    bare = _marks(rows.withColumn("words", words(F.col("text"))), short, window).select("doc_id", "text_hash", F.explode_outer("marks").alias("m"))
+    met = stash(bare.select("doc_id", "text_hash", "m.*").join(prints, ["len", "fp"]).select("doc_id", "text_hash", "j", "len", "fp"))
+    per = met.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).agg(F.collect_set(F.struct("j", "len", "fp")).alias("marks"))
+    back = rows.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")), "left")
+    split = back.withColumn("all", words(F.col("text"))).withColumn("n_words", F.size("all"))
+    # only texts with a mark need their grams again
+    split = split.withColumn("words", F.when(F.col("marks").isNotNull(), F.col("all")).otherwise(F.slice("all", 1, 0)))
+    found = F.concat(F.array(_own_mark()), F.coalesce("marks", F.array().cast("array<struct<j:int,len:int,fp:bigint>>")))
+    again = _marks(split.withColumn("found", found).select("doc_id", "text_hash", "words", "n_words", "found"), set(), window)
+    return again.select("doc_id", "text_hash", "words", "least", "n", "n_words", F.explode_outer("found").alias("m")).select("doc_id", "text_hash", "words", "least", "n", "n_words", "m.*")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, item_ids (sorted strings) and contaminated for every row of docs.
+
+    limit: rows of a table (fingerprints, windows, lists of items) up to which it may be broadcast; results don't depend on it.
+    """
     if not GRAM <= window:
         raise ValueError(f"window must be at least {GRAM}")
     span = window - GRAM + 1
@@ -87,7 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     at = F.explode(F.expr(f"sequence(0, greatest(n - {window}, 0))")).alias("i")
     cut = F.slice("words", F.col("i") + 1, F.least(F.col("n"), F.lit(window)))
     windows = items.select("item", "words", "n", at).select("item", cut.alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    windows = stash(windows.withColumn("txt", F.array_join("words", " ")))
+    windows = stash(windows.select("words", F.array_join("words", " ").alias("txt"), "items", F.sha2(F.to_json("items"), 256).alias("items_key")))
+    lists = stash(windows.select("items_key", "items").dropDuplicates(["items_key"]))
     short = {r[0] for r in windows.select(F.size("words")).distinct().collect()} - {window}
     prints = stash(
         _marks(windows.select("words"), short, window)
@@ -96,30 +133,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         .select("m.len", "m.fp")
         .distinct()
     )
-    n_prints, n_windows = prints.count(), windows.count()
-    # a mark (-1, 0, 0) goes with every document, and finds this row
-    spark = docs.sparkSession
-    prints = prints.union(spark.range(1).select(F.lit(0).alias("len"), F.lit(0).cast("long").alias("fp")))
-    exact = windows.select("txt", "items").union(spark.range(1).select(F.lit("").alias("txt"), F.expr("cast(array() as array<string>)").alias("items")))
 
-    # explode_outer, as explode would add filters on the arrays and push copies of their whole expressions to the scan
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("words"))
-    marked = _marks(rows, short, window).select(
-        "doc_id", "text_hash", "words", "least", "n",
-        F.explode_outer(F.concat(F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("fp"))), "marks")).alias("m"),
-    )
-    found = marked.select("doc_id", "text_hash", "words", "least", "n", "m.*").join(small(prints, n_prints), ["len", "fp"])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    found = (_streamed if prints.count() <= limit else _shuffled)(rows, prints, short, window)
+    # a zero byte is in no word, so a document's own mark meets no window
+    own = F.concat_ws("\0", F.lit(""), F.col("text_hash").cast("string"), F.col("doc_id").cast("string"))
     hit = lambda start, length: F.struct(start.alias("i"), length.alias("len"), F.array_join(F.slice("words", start + 1, length), " ").alias("txt"))
     around = F.filter(F.sequence("j", F.least(F.col("j") + (span - 1), F.col("n") - window)), lambda i: F.get("least", i) == F.col("fp"))
     tried = (
-        F.when(F.col("len") == 0, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("len"), F.lit("").alias("txt"))))
+        F.when(F.col("len") == 0, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("len"), own.alias("txt"))))
         .when(F.col("len") == window, F.transform(around, lambda i: hit(i, F.lit(window))))
         .otherwise(F.array(hit(F.col("j"), F.col("len"))))
     )
-    hits = found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_words"), F.explode_outer(tried).alias("t")).select("doc_id", "text_hash", "n_words", "t.*").join(small(exact, n_windows), "txt")
-    spans = F.filter(F.sort_array("spans"), lambda s: s["i"] >= 0)
+    exact = light(windows.select("txt", "items_key"), limit)
+    tries = found.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.explode_outer(tried).alias("t")).select("doc_id", "text_hash", "n_words", "t.*")
+    hits = tries.join(exact, "txt", "left").filter("items_key is not null or i < 0")
     covered = F.aggregate(
-        spans,
+        F.sort_array("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda s, x: F.struct(
             F.greatest(s["end"], x["i"] + x["len"]).alias("end"),
@@ -130,10 +160,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     per = hits.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("i") < 0, 1)).alias("copies"),
-        F.collect_set(F.struct("i", "len")).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
+        F.collect_set(F.when(F.col("i") >= 0, F.struct("i", "len"))).alias("spans"),
+        F.collect_set("items_key").alias("keys"),
     )
-    out = per.withColumn("n_hit", covered).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    # a document without hits gets a key of its own, so that such documents don't meet on one
+    per = per.select("doc_id", "text_hash", "n_words", "copies", covered.alias("n_hit"), F.explode_outer("keys").alias("k")).withColumn("items_key", F.coalesce("k", own)).drop("k")
+    named = per.join(light(lists, limit), "items_key", "left").groupBy("doc_id", "text_hash", "n_words", "copies", "n_hit")
+    out = named.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     return out.select("doc_id", "text_hash", "n_words", "n_hit", "item_ids", "contaminated", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).drop("copy")
 
 
@@ -146,9 +180,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(small(found.toDF(a, b), found.count()), same, "left_anti")
 
 
+def digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    c = contamination(docs, benchmark)
-    return c.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    return digest(contamination(docs, benchmark))
 
 
 ORACLE = r"""

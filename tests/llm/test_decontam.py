@@ -60,6 +60,48 @@ def test_matches_brute_force(spark):
         assert got == brute(docs, items)
 
 
+def test_shuffled_fingerprints_give_the_same_rows(spark):
+    """Beyond the bound nothing is broadcast; 300 items and a third of the rows share one passage."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for seed, shorts in ((1, False), (2, True)):
+            docs, items = case(seed, shorts)
+            passage = " ".join(f"shared{k}" for k in range(30))
+            items += [(1000 + i, passage) for i in range(300)]
+            docs += [(2000 + i, f"x{i} {passage} y{i}") for i in range(40)] + [(None, passage), (None, passage)]
+            d = spark.createDataFrame([(i, t, "w", 5) for i, t in docs], "doc_id long, text string, id string, th int")
+            b = spark.createDataFrame([(i, t, "w") for i, t in items], "item_id long, text string, fp string")
+            found = decontam.contamination(d, b, limit=0)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+            got = sorted((tuple(r) for r in decontam.digest(found).collect()), key=str)
+            assert got == brute(docs, items)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_key_holds_all_documents(spark):
+    """Marks that documents have of their own are spread, also where nothing is hit."""
+    rows = spark.range(2000).selectExpr("id as doc_id", "concat('a b c ', id) as text", "xxhash64(concat('a b c ', id)) as text_hash")
+    prints = spark.createDataFrame([(13, 1)], "len int, fp long")
+    for found in (decontam._streamed(rows, prints, set(), 13), decontam._shuffled(rows, prints, set(), 13)):
+        assert found.count() == 2000
+        assert found.groupBy("len", "fp").count().filter("count > 1").count() == 0
+
+
+def test_wide_tables_are_not_broadcast(spark):
+    from tallymark.llm import common
+
+    wide = spark.range(3).selectExpr("id", "repeat('x', 1000) as t")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.light(wide)) and not hinted(common.light(wide, 2))
+    old, common.BROADCAST_BYTES = common.BROADCAST_BYTES, 2000
+    try:
+        assert not hinted(common.light(wide))
+    finally:
+        common.BROADCAST_BYTES = old
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
