@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tallymark.llm import decontam, neardup, simhash
 
@@ -89,3 +91,54 @@ def test_representatives_with_maps_repeats_and_clashing_names(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert sorted(x["count"] for x in decontam.clean(docs, none).collect()) == [1, 2, 3, 4, 5, 6]
     assert decontam.clean(empty, none).collect() == []
+
+
+def test_the_index_is_of_simhash_fingerprints():
+    r = np.random.default_rng(7)
+    for n in (5, 300, 700):
+        values = r.integers(0, 1 << 64, n, dtype=np.uint64)
+        got, mask = neardup.fingerprint(values), (1 << 64) - 1
+        for w in (0, 9, neardup.WORDS + neardup.EXTRA - 1):
+            mixed = []
+            for v in values.tolist():
+                h = (v ^ int(neardup._TURN[w])) * int(neardup._TIMES[w]) & mask
+                h = (h ^ h >> 32) * int(neardup._MIX[w]) & mask
+                mixed.append(h ^ h >> 29)
+            assert int(got[w]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > n)
+    missed, shared, pairs = 0, 0, 300
+    for _ in range(pairs):
+        both, own = r.integers(0, 1 << 64, 160, dtype=np.uint64), r.integers(0, 1 << 64, 40, dtype=np.uint64)
+        a, b = (neardup.fingerprint(np.r_[both, x]) for x in (own[:20], own[20:]))  # 160 of 200: exactly 0.8
+        same = neardup.units(np.stack([a, b]))
+        hits = int((same[0] == same[1]).sum())
+        missed += not hits
+        shared += hits
+        assert neardup._close(a[neardup.WORDS :], b[neardup.WORDS :], np.int64(180))
+        assert not neardup._close(a[neardup.WORDS :], neardup.fingerprint(own)[neardup.WORDS :], np.int64(180))
+    assert missed == 0 and 10 < shared / pairs < 14  # 85 units, each shared with a probability of 0.8485 ** 12
+
+
+def test_links_of_the_smallest_texts_are_all_found(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(50_000)]
+    rows = []
+    for i in range(400):  # 4 to 7 shingles against one more: similarities of 0.8 to 0.875
+        t = r.sample(words, 8 + i % 4)
+        rows += [(i, " ".join(t)), (1000 + i, " ".join([*t, "more"]))]
+    got = {x.doc_id: x.component_id for x in neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1000 + i] == got[i] == i for i in range(400))
+
+
+def test_long_posting_lists_span_what_pairs_do(spark):
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    r = np.random.default_rng(9)
+    n, words = np.sort(r.integers(9, 30, 200)), r.integers(0, 1 << 64, (20, 3), dtype=np.uint64)[r.integers(0, 20, 200)]
+    edges = neardup._spanning(n, words)
+    near = {(a, b) for a in range(200) for b in range(a + 1, 200) if 5 * n[a] >= 4 * n[b] and (words[a] == words[b]).all()}
+    assert {tuple(sorted(e)) for e in edges} <= near
+    up = list(range(200))
+    for a, b in edges:
+        up = [up[a] if x == up[b] else x for x in up]
+    assert all(up[a] == up[b] for a, b in near)
+    assert sorted((tuple(r) for r in neardup.components(df).collect()), key=str) == brute(rows)
