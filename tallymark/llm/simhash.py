@@ -29,6 +29,8 @@ SHINGLE = 4
 MAX_BITS = 4
 #: Members of one key that a task compares at a time; larger keys are split into pairs of blocks of this size.
 BLOCK = 4096
+#: Tasks among which `roots` deals the edges of a vertex.
+SALT = 16
 _CHUNK = 1 << 15
 
 
@@ -195,17 +197,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 def roots(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): root is the smallest vertex of its component.
 
-    Alternating large-star and small-star steps, each a join with per-vertex minima, in which the vertices of many edges
-    are broadcast; every round is written to the shared folder, so lineage stays short. Ends when a round changes nothing.
+    Alternating large-star and small-star steps, each a join with per-vertex minima, in which a vertex of many edges
+    is dealt to SALT tasks; every round is written to the shared folder, so lineage stays short. Ends when a round changes nothing.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.coalesce(F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0))).first())
 
-    def star(df: DataFrame, large: bool, edges: int) -> DataFrame:
+    def star(df: DataFrame, large: bool) -> DataFrame:
         both = df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        pairs = spread(both, low, "a", 2 * edges)
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # every vertex meets its minimum in SALT places, so that one of many edges is not a single task's
+        salted = both.withColumn("salt", F.pmod(F.xxhash64("b", F.lit(11)), F.lit(SALT)).cast("int"))
+        pairs = salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["a", "salt"])
         if large:
             out = pairs.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -218,7 +222,7 @@ def roots(edges: DataFrame) -> DataFrame:
         before = at
         if not at[0]:
             break
-        now = stash(star(star(now, True, at[0]), False, at[0]))
+        now = stash(star(star(now, True), False))
     return now.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root"))
 
 

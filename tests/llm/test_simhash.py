@@ -75,3 +75,13 @@ def test_large_keys_are_split_without_loss(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.components(df).collect() == []
+
+
+def test_roots_of_a_hub_and_a_chain_need_no_broadcast(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(simhash, "spread", refuse)
+    edges = [(7, k) for k in range(1000, 1300)] + [(k, k + 1) for k in range(2000, 2040)] + [(5, 5), (1001, 7), (2040, 3)]
+    got = {x.v: x.root for x in simhash.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1000, 1300), 7) | dict.fromkeys(range(2000, 2041), 3)
