@@ -109,6 +109,22 @@ def best(table: Table, chunk: str) -> tuple[list[float], list[int], list[int], l
 
 
 def encode_chunk(table: Table, chunk: str) -> list[int]:
+    machine = table.machine()
+    if table.single.issuperset(chunk):  # no unknown edges: `best` without the counts, an edge kept as the automaton's value
+        score, edge = [0.0] + [float("-inf")] * len(chunk), [(1, 0.0, 0)] * (len(chunk) + 1)
+        for end, found in machine.iter(chunk):
+            length, s, _ = found
+            end += 1
+            s += score[end - length]
+            if s > score[end]:
+                score[end], edge[end] = s, found
+        out, at = [], len(chunk)
+        while at:
+            length, _, i = edge[at]
+            out.append(i)
+            at -= length
+        out.reverse()
+        return out
     _, _, start, ids = best(table, chunk)
     out, at = [], len(chunk)
     while at:

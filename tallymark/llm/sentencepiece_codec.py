@@ -14,6 +14,7 @@ each; a null id is kept; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -117,7 +118,7 @@ class _Solved(dict):
         self.room = _MEMO
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(encode_chunk(self.table, chunk), dtype=np.int32).tobytes()
+        ids = array("i", encode_chunk(self.table, chunk)).tobytes()
         if len(chunk) <= _LONG:
             if not self.room:
                 self._fill()

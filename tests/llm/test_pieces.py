@@ -82,3 +82,14 @@ def test_encoding_counts_and_round_trip(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokencount.count(df).collect() == [] and sentencepiece_codec.query(df).collect() == []
+
+
+def test_known_chunks_are_solved_without_the_counts(monkeypatch):
+    table = pieces.load()
+    table.machine()
+    chunks = [pieces.SPACE + w for w in words(5, 400)]
+    want = [brute(table, c) for c in chunks]
+    assert [pieces.encode_chunk(table, c) for c in chunks] == want
+    monkeypatch.setattr(pieces, "best", None)
+    known = [k for k, c in enumerate(chunks) if table.single.issuperset(c)]
+    assert len(known) > 50 and [pieces.encode_chunk(table, chunks[k]) for k in known] == [want[k] for k in known]
