@@ -216,6 +216,16 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize).T).view(kind).ravel()
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    """Words, which hold no white space, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    text = zstandard.ZstdDecompressor().decompress(data)
+    return text.split(b"\n") if text else []
+
+
 class Vocabulary:
     """Places of the frequent words, their counts in the training part and in all, and log10 of their probabilities by both."""
 
@@ -257,7 +267,8 @@ def _dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, segment: int) -> DataFrame:
-    """Texts as places of frequent words, about SEGMENT tokens to a row; `rare` lists the other words, `which` places them."""
+    """Texts as places of frequent words, about SEGMENT tokens to a row; `rare` lists the other words, to be
+    joined with the word table, `packed` holds them for the tasks, `which` places them."""
     part = remainder(F.col("doc_id"), modulus)
     kind = F.when(part == out, _OUT).when(part == held, _HELD).otherwise(_REST)
     rows = docs.select("doc_id", kind.alias("kind"), F.col("text").cast("binary").alias("text"))
@@ -270,6 +281,7 @@ def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, segmen
             T.StructField("ids", T.BinaryType()),
             T.StructField("rare", T.ArrayType(T.BinaryType())),
             T.StructField("which", T.BinaryType()),
+            T.StructField("packed", T.BinaryType()),
         ]
     )
 
@@ -282,6 +294,7 @@ def _segments(docs: DataFrame, modulus: int, out: int, held: int, packed, segmen
             cols = [
                 pa.array([int.from_bytes(os.urandom(8), "little", signed=True)], pa.int64()), pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(s["sizes"])], pa.int32()), pa.concat_arrays(s["doc_ids"])),
                 pa.array([_pack(np.array(s["sizes"], dtype=np.int64))], pa.binary()), pa.array([_pack(np.concatenate(s["ids"]))], pa.binary()), pa.array([list(s["rare"])], pa.list_(pa.binary())), pa.array([_pack(np.array(s["which"], dtype=np.int32))], pa.binary()),
+                pa.array([_pack_words(list(s["rare"]))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(cols, schema.names)
 
@@ -313,7 +326,7 @@ class _Segment:
 
     def __init__(self, row: dict) -> None:
         self.places, self.sizes, self.which = (_unpack(row[c].as_py(), t) for c, t in (("ids", np.int32), ("sizes", np.int64), ("which", np.int32)))
-        self.rare = row["rare"].as_py()
+        self.rare = _unpack_words(row["packed"].as_py())
         self.tail = np.flatnonzero(self.places == OTHER)
         self.rare_ids = np.full(len(self.rare), OTHER, dtype=np.uint64)
         self.rare_rest, self.rare_every = np.zeros(len(self.rare)), np.zeros(len(self.rare))
@@ -464,7 +477,7 @@ def score(docs: DataFrame, modulus: int = 7, out: int = 2, held: int = 3, head_r
     segs = stash(_segments(docs, modulus, out, held, packed, segment))
     asked = segs.select("seg", F.posexplode("rare").alias("k", "w"))
     known = stash(asked.join(rare_table, "w").groupBy("seg").agg(F.collect_list(F.struct("k", "id", "n_rest", "c")).alias("known")))
-    whole = segs.join(known, "seg", "left")
+    whole = segs.drop("rare").join(known, "seg", "left")
     sent = whole.drop("doc_ids").mapInArrow(_sent(packed, learned, groups), "seg long, kind int, g int, k binary, n binary, bucket binary, scale binary")
     back = stash(sent.repartition("g").sortWithinPartitions("g").mapInArrow(_counted, "seg long, g int, n binary, cell long, held double, ratio double"))
     seen = back.filter("seg is null").groupBy("cell").agg(F.sum("held").alias("held"), F.sum("ratio").alias("ratio")).orderBy("cell").toArrow()

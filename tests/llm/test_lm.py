@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tallymark.llm import lm
 
@@ -195,3 +196,13 @@ def test_words_are_spelled_to_their_end():
     # a spelling that no double holds leaves the word's own estimate, and nothing but it where there is none
     assert np.allclose(lm.mixed_log10(0.25, np.array([0.5, 0.0, 0.0]), np.array([-4000.0, -4000.0, -2.0])), [math.log10(0.125), math.log10(0.75) - 4000, math.log10(0.75) - 2])
     assert lm.mixture(np.array([1.0, 1.0]), lm.ratios(np.array([3.0, 0.0]), 10.0, np.array([-4000.0, -4000.0]))) == 0.5
+
+
+def test_segments_carry_their_rare_words_packed():
+    words = [b"a", "é".encode(), b"\x00b", b"zz" * 500]
+    assert lm._unpack_words(lm._pack_words(words)) == words and lm._unpack_words(lm._pack_words([])) == []
+    packed = {c: pa.scalar(lm._pack(np.array(v, dtype=t))) for c, v, t in (("ids", [2, 1, 1, 1, 1, 0], np.int32), ("sizes", [6], np.int64), ("which", [0, 2, 1, 2], np.int32))}
+    known = pa.array([[{"k": 2, "id": 77, "n_rest": 0, "c": 8}, {"k": 0, "id": 9, "n_rest": 3, "c": 4}]])[0]
+    s = lm._Segment(packed | {"packed": pa.scalar(lm._pack_words(words)), "known": known})
+    assert s.rare == words and s.rare_ids.tolist() == [9, lm.OTHER, 77, lm.OTHER]
+    assert s.by_token(np.zeros(3), s.rare_every).tolist() == [0, 4, 8, 0, 8, 0]
