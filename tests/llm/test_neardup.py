@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallymark.llm import decontam, neardup, simhash
@@ -142,3 +143,32 @@ def test_long_posting_lists_span_what_pairs_do(spark):
         up = [up[a] if x == up[b] else x for x in up]
     assert all(up[a] == up[b] for a, b in near)
     assert sorted((tuple(r) for r in neardup.components(df).collect()), key=str) == brute(rows)
+
+
+def test_a_large_group_is_not_proposed_by_every_list(spark, monkeypatch):
+    r = random.Random(10)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(3000)]
+    base, rows = r.choices(words, k=200), corpus(5)
+    for i in range(300):
+        t = list(base)
+        for _ in range(3):
+            t[r.randrange(200)] = r.choice(words)
+        rows.append((5000 + i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marked = neardup._marked(df.selectExpr("doc_id", "0L AS th", "CAST(text AS BINARY) AS text"), 5)
+    classes = simhash.stash(marked.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "fp", "few")]))
+    for k, v in (("shuffle.partitions", "48"), ("adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        made = neardup.proposals(classes)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(x.count() for x in made) < 15 * 300 + 2 * len(rows)  # one for each list and class would be some 40 times as many
+    found = []
+    for first in (neardup.FIRST, 85, 1):  # all units at once connect the same classes
+        monkeypatch.setattr(neardup, "FIRST", first)
+        one, other = neardup.proposals(classes)
+        assert first < 85 or not other.count()
+        found.append(sorted(map(tuple, simhash.roots(one.union(other).select("a", "b")).collect())))
+    assert len(found[0]) > 400 and found[0] == found[1] == found[2]
