@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -32,13 +34,19 @@ class Table:
     unknown: float
     texts: list[bytes]
     _machine: ahocorasick.Automaton | None = field(default=None, repr=False)
+    _spelled: pa.Array | None = field(default=None, repr=False)
 
     @property
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_machine": None}
+        return {**self.__dict__, "_machine": None, "_spelled": None}
+
+    def spelled(self) -> pa.Array:
+        if self._spelled is None:
+            self._spelled = pa.array(self.texts, pa.large_binary())
+        return self._spelled
 
     def machine(self) -> ahocorasick.Automaton:
         if self._machine is None:
@@ -79,6 +87,15 @@ def chunks(text: str | None) -> Iterator[str]:
     return map(re.Match.group, CHUNK.finditer(SPACE + text.replace(" ", SPACE))) if text else iter(())
 
 
+def words(text: str | None) -> list[str]:
+    """The chunks of a text, each without its first SPACE; between single spaces the built-in split finds them."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text:
+        return [c[1:] for c in CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
+
+
 def best(table: Table, chunk: str) -> tuple[list[float], list[int], list[int], list[int]]:
     """Viterbi by end position: score, piece count, start and id (or -1) of the last edge, for each prefix of chunk."""
     n = len(chunk)
@@ -137,3 +154,12 @@ def encode_chunk(table: Table, chunk: str) -> list[int]:
 def decode_ids(table: Table, ids: list[int]) -> str:
     text = b"".join(map(table.texts.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
+
+
+def decode_runs(table: Table, ids: pa.Array, ends: np.ndarray) -> list[str]:
+    """decode_ids of every run of ids; ends: where each stops."""
+    spelled = table.spelled().take(ids)
+    at = np.frombuffer(spelled.buffers()[1], dtype=np.int64)[np.r_[0, ends]].tolist() if len(ids) else [0] * (len(ends) + 1)
+    raw = memoryview(spelled.buffers()[2] or b"") if len(ids) else b""
+    texts = (str(raw[a:b], "utf-8", "replace").replace(SPACE, " ") for a, b in zip(at, at[1:]))
+    return [t[1:] if t.startswith(" ") else t for t in texts]

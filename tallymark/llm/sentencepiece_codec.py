@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, stash
-from .pieces import MODEL, SPACE, Table, chunks, decode_ids, encode_chunk, load
+from .pieces import MODEL, SPACE, Table, decode_runs, encode_chunk, load, words
 
 HEAD_ROWS = 200_000
 _FLUSH = 200_000
@@ -40,18 +40,18 @@ def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["chunk", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
             seen.clear()
             return out
 
         for b in batches:
             for t in b.column("text"):
-                seen.update(chunks(t.as_py()))
+                seen.update(words(t.as_py()))
                 if len(seen) > _FLUSH:
                     yield flush()
         yield flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).select(F.concat(F.lit(SPACE), "word").alias("chunk"), "n")
 
 
 def lattice(words: DataFrame, table: Table) -> DataFrame:
@@ -102,7 +102,7 @@ def head(docs: DataFrame, table: Table, rows: int = HEAD_ROWS, text: str = "text
 
 
 class _Solved(dict):
-    """The ids of chunks as packed 32-bit integers: the frequent ones, and of the others those met last."""
+    """By chunk without its first SPACE, its ids as packed 32-bit integers: the frequent ones, and of the others those met last."""
 
     def __init__(self, table: Table, frequent: tuple[list[str], bytes, np.ndarray]) -> None:
         self.table, self.frequent, self.room = table, frequent, 0
@@ -113,16 +113,16 @@ class _Solved(dict):
         names, flat, ends = self.frequent
         at = 0
         for name, end in zip(names, ends.tolist()):
-            self[name] = flat[at:end]
+            self[name[1:]] = flat[at:end]
             at = end
         self.room = _MEMO
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = array("i", encode_chunk(self.table, chunk)).tobytes()
-        if len(chunk) <= _LONG:
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", encode_chunk(self.table, SPACE + word)).tobytes()
+        if len(word) < _LONG:
             if not self.room:
                 self._fill()
-            self[chunk] = ids
+            self[word] = ids
             self.room -= 1
         return ids
 
@@ -135,21 +135,18 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", rows: int = H
     kept = docs.drop("tokens", *([check] if check else []))
     extra = [T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), *([T.StructField(check, T.BooleanType())] if check else [])]
 
-    def restored(table: Table, text: str | None, ids: bytes | None) -> bool:
-        return text is None or decode_ids(table, np.frombuffer(ids, dtype=np.int32).tolist()) == text.replace(SPACE, " ")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solved = _Solved(*packed.value)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 s = b.slice(at, 64)
                 texts = s.column(text).to_pylist()
-                parts = [None if t is None else b"".join(map(solved.__getitem__, chunks(t))) for t in texts]
+                parts = [None if t is None else b"".join(map(solved.__getitem__, words(t))) for t in texts]
                 ends = np.cumsum([0, *(0 if p is None else len(p) // 4 for p in parts)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(p for p in parts if p), dtype=np.int32), pa.int32())
                 missing = pa.array([p is None for p in parts], pa.bool_())
                 ids = pa.ListArray.from_arrays(pa.array(ends), flat, mask=missing)
-                same = [pa.array([restored(solved.table, *x) for x in zip(texts, parts)], pa.bool_())] if check else []
+                same = [pa.array([t is None or d == t.replace(SPACE, " ") for t, d in zip(texts, decode_runs(solved.table, flat, ends[1:]))], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*s.columns, ids, *same], [*s.schema.names, *(f.name for f in extra)])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *extra]))
@@ -165,9 +162,9 @@ def decode(df: DataFrame, path: str = MODEL, tokens: str = "tokens", to: str = "
             for at in range(0, b.num_rows, 64):
                 s = b.slice(at, 64)
                 ids = s.column(tokens)
-                flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
-                parts = zip(ids.is_null().to_pylist(), ends.tolist(), np.asarray(ids.value_lengths().fill_null(0)).tolist())
-                texts = pa.array([None if none else decode_ids(packed.value, flat[end - n : end].tolist()) for none, end, n in parts], pa.string())
+                ends = np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
+                decoded = decode_runs(packed.value, ids.flatten(), ends)
+                texts = pa.array([None if none else t for none, t in zip(ids.is_null().to_pylist(), decoded)], pa.string())
                 yield pa.RecordBatch.from_arrays([*s.columns, texts], [*s.schema.names, to])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(to, T.StringType())]))

@@ -2,6 +2,8 @@ import random
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -93,3 +95,26 @@ def test_known_chunks_are_solved_without_the_counts(monkeypatch):
     monkeypatch.setattr(pieces, "best", None)
     known = [k for k, c in enumerate(chunks) if table.single.issuperset(c)]
     assert len(known) > 50 and [pieces.encode_chunk(table, chunks[k]) for k in known] == [want[k] for k in known]
+
+
+def test_words_are_the_chunks_and_runs_decode_as_ids_do():
+    table = pieces.load()
+    r = random.Random(6)
+    texts = [t for _, t, *_ in documents()] + ["".join(r.choices(" ab▁é\n", k=r.randint(1, 9))) for _ in range(2000)] + [" ".join(words(7, 20)), "a ", " a"]
+    for t in texts:
+        assert [pieces.SPACE + w for w in pieces.words(t)] == list(pieces.chunks(t))
+    ids = [r.choices(range(len(table.texts)), k=r.randint(0, 9)) for _ in range(500)] + [[], [table.bytes[0xE2]], []]
+    flat = pa.array([i for x in ids for i in x], pa.int32())
+    assert pieces.decode_runs(table, flat, np.cumsum([len(x) for x in ids])) == [pieces.decode_ids(table, x) for x in ids]
+    assert pieces.decode_runs(table, flat[:0], np.array([0, 0])) == ["", ""] and pieces.decode_runs(table, flat[:0], np.array([], dtype=int)) == []
+
+
+def test_encoding_takes_neither_pattern_nor_single_ids(monkeypatch):
+    table = pieces.load()
+    t = " ".join(words(8, 50)).replace("▁", "")
+    monkeypatch.setattr(pieces, "CHUNK", None)
+    assert pieces.words(t) == t.split(" ")
+    monkeypatch.setattr(pieces, "decode_ids", None)
+    solved = sentencepiece_codec._Solved(table, ([], b"", np.zeros(0, dtype=np.int64)))
+    ids = pa.array(np.frombuffer(b"".join(map(solved.__getitem__, pieces.words(t))), dtype=np.int32))
+    assert pieces.decode_runs(table, ids, np.array([len(ids)])) == [t]
