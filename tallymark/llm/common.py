@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A table with at most this many rows, each of bounded width, may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
@@ -14,6 +16,9 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 << 20
 #: No more keys than this hold so large a share of a join's rows that they are broadcast, by `spread`.
 HOT_KEYS = 100_000
+#: Bytes of rows that a Python worker gets at once. Spark's own bound is 10,000 rows, of whatever length.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +72,17 @@ def spread(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow over batches that end at BATCH_BYTES, so that workers and the JVM's buffers don't grow with the texts.
+
+    The bound is a setting of the session, as the result is computed later; one that the session has stands.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte per character take the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

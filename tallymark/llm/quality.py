@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
 from .samples import FIT_BYTES, labelled
 
 FIT_ROWS = 1000
@@ -147,4 +148,4 @@ def select(docs: DataFrame, labels: DataFrame, reach: int = 1, least: float = 0.
             _, p = expectation(packed.value, [None if t is None else t.encode() for t in b.column("text").to_pylist()], reach)
             yield b.filter(pa.array(p >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, stash
+from .common import BROADCAST_ROWS, in_arrow, stash
 from .pieces import MODEL, SPACE, Table, decode_runs, encode_chunk, load, words
 
 HEAD_ROWS = 200_000
@@ -51,7 +51,7 @@ def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).select(F.concat(F.lit(SPACE), "word").alias("chunk"), "n")
+    return in_arrow(docs.select(F.col(text).alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).select(F.concat(F.lit(SPACE), "word").alias("chunk"), "n")
 
 
 def lattice(words: DataFrame, table: Table) -> DataFrame:
@@ -91,14 +91,14 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
 
 
 def head(docs: DataFrame, table: Table, rows: int = HEAD_ROWS, text: str = "text") -> tuple[list[str], bytes, np.ndarray]:
-    """The solved frequent chunks, at most `rows`: chunks, their ids end to end (32-bit), and where each ends."""
+    """The solved frequent chunks, at most `rows`: chunks without their first SPACE, their ids end to end (32-bit), and where each ends."""
     counted = stash(chunk_counts(docs, text))
     sums = counted.agg(*[F.sum(F.when(F.col("n") >= (1 << k), 1).otherwise(0)).alias(f"k{k}") for k in range(1, 62)]).first()
     cut = next((1 << k for k in range(1, 62) if (sums[f"k{k}"] or 0) <= rows), 1 << 62)
     frequent = counted.filter((F.col("n") >= cut) & (F.char_length("chunk") <= _LONG)).select("chunk")
     found = lattice(frequent, table).toArrow()
     ids = found["ids"].combine_chunks()
-    return found["chunk"].to_pylist(), ids.flatten().to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy()[1:] * 4
+    return [c[1:] for c in found["chunk"].to_pylist()], ids.flatten().to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy()[1:] * 4
 
 
 class _Solved(dict):
@@ -113,7 +113,7 @@ class _Solved(dict):
         names, flat, ends = self.frequent
         at = 0
         for name, end in zip(names, ends.tolist()):
-            self[name[1:]] = flat[at:end]
+            self[name] = flat[at:end]
             at = end
         self.room = _MEMO
 
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", rows: int = H
                 same = [pa.array([t is None or d == t.replace(SPACE, " ") for t, d in zip(texts, decode_runs(solved.table, flat, ends[1:]))], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*s.columns, ids, *same], [*s.schema.names, *(f.name for f in extra)])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *extra]))
+    return in_arrow(kept, run, T.StructType([*kept.schema.fields, *extra]))
 
 
 def decode(df: DataFrame, path: str = MODEL, tokens: str = "tokens", to: str = "decoded") -> DataFrame:
