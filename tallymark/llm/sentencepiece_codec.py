@@ -57,7 +57,9 @@ def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def lattice(words: DataFrame, table: Table) -> DataFrame:
     """(chunk, ids): the best path of every distinct chunk of words."""
     spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, i, float(s)) for p, i, s in table.pieces], "piece string, id int, score double")
+    # an Arrow table, as a list would pass through Python workers of another kind that stay beside those of mapInArrow
+    columns = {"piece": pa.string(), "id": pa.int32(), "score": pa.float64()}
+    pieces = spark.createDataFrame(pa.table([pa.array([p[k] for p in table.pieces], kind) for k, kind in enumerate(columns.values())], list(columns)))
     if len(table.pieces) <= BROADCAST_ROWS:
         pieces = F.broadcast(pieces)
     first = F.array(*[F.lit(i) for i in table.bytes])

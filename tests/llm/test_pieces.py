@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tallymark.llm import pieces, sentencepiece_codec, tokencount
 
@@ -118,3 +119,12 @@ def test_encoding_takes_neither_pattern_nor_single_ids(monkeypatch):
     solved = sentencepiece_codec._Solved(table, ([], b"", np.zeros(0, dtype=np.int64)))
     ids = pa.array(np.frombuffer(b"".join(map(solved.__getitem__, pieces.words(t))), dtype=np.int32))
     assert pieces.decode_runs(table, ids, np.array([len(ids)])) == [t]
+
+
+def test_the_piece_table_of_the_lattice_comes_without_python_workers(spark):
+    words = spark.range(3).select(F.concat(F.lit(pieces.SPACE), F.col("id").cast("string")).alias("chunk"))
+    found = sentencepiece_codec.lattice(words, pieces.load())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+    table = pieces.Table([], [*range(256)], -1.0, [])
+    assert sorted(map(tuple, sentencepiece_codec.lattice(words, table).select("ids").collect())) == [([0xE2, 0x96, 0x81, 0x30 + k],) for k in range(3)]
