@@ -110,11 +110,16 @@ def link(url: Column, label: str) -> Column:
 
 
 def column_letters(n: Column) -> Column:
-    """Letters of a sheet's column, A for 1; up to three letters."""
-    m = n - 1
-    letter = lambda v: F.char(F.lit(65) + v.cast("long"))
-    two, three = F.floor(m / 26) - 1, F.floor((F.floor(m / 26) - 1) / 26) - 1
-    return F.concat(F.when(m >= 702, letter(three % 26)).otherwise(""), F.when(m >= 26, letter(two % 26)).otherwise(""), letter(m % 26))
+    """Letters of a sheet's column, A for 1, AA after Z, AAAA after ZZZ."""
+
+    def place(s: Column, _: Column) -> Column:
+        m = s["left"] - 1
+        more = F.struct(F.call_function("div", m, F.lit(26).cast("long")).alias("left"), F.concat(F.char(m % 26 + 65), s["out"]).alias("out"))
+        return F.when(s["left"] > 0, more).otherwise(s)
+
+    most = 14  # places of the largest long
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(n.cast("long").alias("left"), F.lit("").alias("out")), place, lambda s: s["out"])
+    return F.when(n.isNotNull(), found)
 
 
 def is_image(mime: Column, name: Column) -> Column:

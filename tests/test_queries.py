@@ -45,3 +45,13 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_sheet_cells_of_keys_beyond_a_sheets_columns(spark, tmp_path):
+    keys = [0, 1, 702, 703, 18278, 18279, 19999, 90_000, 130_481, 899_999, 30_000_000, 45_000_000]
+    path = f"{tmp_path}/customer.parquet"
+    spark.createDataFrame([(k, f"Customer#{k}") for k in keys], "c_custkey long, c_name string").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{path}/*.parquet'")
+    want = sorted(con.sql(entry.oracle_sql()["sheet_cells"]).fetchall())
+    assert sorted(tuple(r) for r in entry.queries()["sheet_cells"](spark, str(tmp_path)).collect()) == want

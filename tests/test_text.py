@@ -49,3 +49,16 @@ def test_media(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_letters_of_columns_beyond_three_places(spark):
+    def letters(n):
+        out = ""
+        while n > 0:
+            n, left = divmod(n - 1, 26)
+            out = chr(65 + left) + out
+        return out
+
+    some = [0, 702, 703, 18277, 18278, 18279, 18304, 475254, 475255, 900_000, 2**53 + 1, 2**63 - 1, None]
+    assert one(spark, t.column_letters, some, "long") == [None if n is None else letters(n) for n in some]
+    assert one(spark, t.column_letters, [18278, 18279], "int") == ["ZZZ", "AAAA"]
