@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallymark.sources.dimensions import RESOURCES
 
 from .layout import islands
-from .tables import kept
+from .tables import dealt, kept
 
 # The tier of a colour, and the least share of it.
 TIER_OF_COLOUR = {"GREY": "T1", "GREEN": "T2", "BLUE": "T3", "PURPLE": "T4", "GOLD": "T5"}
@@ -81,7 +81,7 @@ def tier_of(inside: DataFrame, outside: DataFrame, key: list[str]) -> DataFrame:
     around = dominant_colour(outside, key).select(*key, F.col("colour").alias("_o"))
     tier = F.coalesce(*[F.when(F.col("colour") == c, F.lit(t)) for c, t in TIER_OF_COLOUR.items()])
     sure = (F.col("share") >= TIER_SHARE) & ~F.coalesce(F.col("colour") == F.col("_o"), F.lit(False))
-    return dominant_colour(inside, key).join(around, key, "left").select(*key, F.when(sure, tier).alias("tier"))
+    return dominant_colour(inside, key).join(dealt(around), key, "left").select(*key, F.when(sure, tier).alias("tier"))
 
 
 def resource_of(pixels: DataFrame, key: list[str]) -> DataFrame:

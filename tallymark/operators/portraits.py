@@ -18,7 +18,7 @@ from .images import glyph_bits, hsv, is_frame, tier_of
 from .layout import islands
 from .regions import SIDES, clipped, in_boxes, ring_share, whole
 from .screens import column_pair, name_anchor
-from .tables import kept
+from .tables import dealt, kept
 
 # How far the search goes left of a name, how far above and below a row (in units); the widths of an own
 # frame (in units) and its heights (in widths); the same of a fitted one; where portraits hang and how high they are when
@@ -67,7 +67,7 @@ def own_boxes(rows: DataFrame, frame: DataFrame, images: DataFrame, key: list[st
     width = F.col("right") - F.col("left")
     wide = kept(runs.filter(width.between(OWN_WIDTH[0] * u, OWN_WIDTH[1] * u)).groupBy(*by).agg(F.max_by(F.struct("left", "right", "unit", "centre"), "right").alias("r")).select(*by, "r.*"))
     scans = clipped(_boxes(wide, F.col("left"), F.col("right"), c - u * SCAN, c + u * SCAN), images, key)
-    high = _vertical_runs(scans, frame, key).filter("n >= 2").join(wide, by)
+    high = _vertical_runs(scans, frame, key).filter("n >= 2").join(dealt(wide), by)
     far = F.abs((F.col("top") + F.col("bottom")) / 2 - (c + u * HANGS))
     best = high.groupBy(*by).agg(F.min_by(F.struct("left", "top", "right", "bottom"), F.struct(far, "top")).alias("b")).select(*by, "b.*")
     return best.filter((F.col("bottom") - F.col("top")).between(width * OWN_HEIGHT[0], width * OWN_HEIGHT[1]))
@@ -82,19 +82,19 @@ def column_fit(rows: DataFrame, frame: DataFrame, images: DataFrame, key: list[s
     """
     u, c = F.col("unit"), F.col("centre")
     anchors = name_anchor(rows.filter("unit > 0"), key)
-    both = rows.filter("unit > 0").join(anchors, key)
+    both = rows.filter("unit > 0").join(dealt(anchors), key)
     bands = clipped(_boxes(both, F.col("anchor") - u * SEARCH_LEFT, F.col("anchor") - u * SEARCH_RIGHT, c - u * FIT_BAND, c + u * FIT_BAND), images, key).filter("x1 - x0 >= 8")
     profile = in_boxes(frame, bands, key).groupBy(*key, "x").agg(F.count("*").alias("n"), F.max("unit").alias("unit"))
     pair = kept(column_pair(profile, key))
     width = F.col("right") - F.col("left")
-    sides = rows.filter("unit > 0").join(pair, key)
-    runs = _vertical_runs(clipped(_boxes(sides, F.col("left"), F.col("right"), c - u * SCAN, c + u * SCAN), images, key), frame, key).join(sides, [*key, LINE])
+    sides = rows.filter("unit > 0").join(dealt(pair), key)
+    runs = _vertical_runs(clipped(_boxes(sides, F.col("left"), F.col("right"), c - u * SCAN, c + u * SCAN), images, key), frame, key).join(dealt(sides), [*key, LINE])
     usable = runs.filter((F.col("bottom") - F.col("top")).between(width * FIT_HEIGHT[0], width * FIT_HEIGHT[1]))
     middle = (F.col("top") + F.col("bottom")) / 2
     clean = usable.groupBy(*key, LINE).agg(F.min_by(F.struct((middle - c).alias("o"), (F.col("bottom") - F.col("top")).alias("h")), F.struct(F.abs(middle - (c + u * HANGS)), "top")).alias("r"))
     medians = clean.groupBy(*key).agg(F.median("r.o").alias("_o"), F.median("r.h").alias("_h"))
     units = rows.filter("unit > 0").groupBy(*key).agg(F.max("unit").alias("unit"))
-    return pair.join(units, key).join(medians, key, "left").select(*key, "left", "right", F.coalesce("_o", u * HANGS).alias("offset"), F.coalesce("_h", width * TALL).alias("height"))
+    return pair.join(dealt(units), key).join(dealt(medians), key, "left").select(*key, "left", "right", F.coalesce("_o", u * HANGS).alias("offset"), F.coalesce("_h", width * TALL).alias("height"))
 
 
 def tiers_in(boxes: DataFrame, pixels: DataFrame, images: DataFrame, key: list[str]) -> DataFrame:
@@ -119,14 +119,14 @@ def read_portraits(rows: DataFrame, pixels: DataFrame, images: DataFrame, key: l
     own = kept(own_boxes(rows, frame, images, key))
     first = kept(tiers_in(own, pixels, images, key).filter("tier IS NOT NULL"))
     top = F.col("centre") + F.col("offset") - F.col("height") / 2
-    fitted = rows.join(column_fit(rows, frame, images, key), key).join(first, by, "left_anti")
+    fitted = rows.join(dealt(column_fit(rows, frame, images, key)), key).join(dealt(first), by, "left_anti")
     fitted = kept(fitted.select(*by, whole(F.col("left")).alias("left"), whole(top).alias("top"), whole(F.col("right")).alias("right"), whole(top + F.col("height")).alias("bottom")))
     rings = ring_share(fitted.select(*by, F.col("left").alias("x0"), F.col("right").alias("x1"), F.col("top").alias("y0"), F.col("bottom").alias("y1")), frame, images, key, LINE)
-    framed = fitted.join(rings.filter(F.col("share") >= RING), by, "left_semi")
+    framed = fitted.join(dealt(rings.filter(F.col("share") >= RING)), by, "left_semi")
     second = tiers_in(framed, pixels, images, key).filter("tier IS NOT NULL")
-    box = lambda df, name: df.select(*by, F.struct("left", "top", "right", "bottom").alias(name))
+    box = lambda df, name: dealt(df.select(*by, F.struct("left", "top", "right", "bottom").alias(name)))
     full = rows.join(box(own, "_own"), by, "left").join(box(fitted, "_fit"), by, "left")
-    full = full.join(first.select(*by, F.col("tier").alias("_t1")), by, "left").join(second.select(*by, F.col("tier").alias("_t2")), by, "left")
+    full = full.join(dealt(first.select(*by, F.col("tier").alias("_t1"))), by, "left").join(dealt(second.select(*by, F.col("tier").alias("_t2"))), by, "left")
     side = lambda c: F.coalesce(F.col(f"_own.{c}"), F.col(f"_fit.{c}")).cast("long").alias(c)
     return full.select(*rows.columns, *map(side, ("left", "top", "right", "bottom")), F.coalesce("_t1", "_t2").alias("tier"), (F.col("_t1").isNull() & F.col("_t2").isNotNull()).alias("fitted"))
 
@@ -137,7 +137,7 @@ def row_types(rows: DataFrame, pixels: DataFrame, images: DataFrame, templates:
     boxes = _boxes(rows.filter("unit > 0 AND right IS NOT NULL AND name_left IS NOT NULL"), F.col("right") + GLYPH_MARGIN, whole(F.col("name_left")) - GLYPH_MARGIN, c - u * GLYPH_HALF, c + u * GLYPH_HALF)
     seen = in_boxes(pixels, clipped(boxes, images, key).filter("x1 - x0 >= 6 AND y1 - y0 >= 6").select(*by, *SIDES), key)
     found = classify_glyphs(glyph_bits(seen, by), templates, by)
-    return rows.select(*by).join(found.select(*by, "class"), by, "left")
+    return rows.select(*by).join(dealt(found.select(*by, "class")), by, "left")
 
 
 def learn_templates(glyphs: DataFrame) -> DataFrame:

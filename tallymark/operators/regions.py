@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import dealt
+
 TILE = 32
 SIDES = ("x0", "x1", "y0", "y1")
 
@@ -24,12 +26,12 @@ def in_boxes(points: DataFrame, boxes: DataFrame, key: list[str], tile: int = TI
     tiles = boxes.filter("x1 > x0 AND y1 > y0").withColumn("_tx", F.explode(across("x0", "x1"))).withColumn("_ty", F.explode(across("y0", "y1")))
     placed = points.withColumn("_tx", F.floor(F.col("x") / tile)).withColumn("_ty", F.floor(F.col("y") / tile))
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    return placed.join(tiles, [*key, "_tx", "_ty"]).filter(inside).drop("_tx", "_ty")
+    return placed.join(dealt(tiles), [*key, "_tx", "_ty"]).filter(inside).drop("_tx", "_ty")
 
 
 def clipped(boxes: DataFrame, images: DataFrame, key: list[str]) -> DataFrame:
     """The boxes cut at the edges of their images (key, width, height)."""
-    both = boxes.join(images.select(*key, F.col("width").alias("_width"), F.col("height").alias("_height")), key)
+    both = boxes.join(dealt(images.select(*key, F.col("width").alias("_width"), F.col("height").alias("_height"))), key)
     zero = F.lit(0)
     return both.withColumns({"x0": F.greatest("x0", zero), "x1": F.least("x1", "_width"), "y0": F.greatest("y0", zero), "y1": F.least("y1", "_height")}).drop("_width", "_height")
 
@@ -48,4 +50,4 @@ def ring_share(boxes: DataFrame, points: DataFrame, images: DataFrame, key: list
     strips = kept.select(*key, box, sides.alias("s")).select(*key, box, "s.*")
     hits = in_boxes(points.select(*key, "x", "y"), strips, key).groupBy(*key, box).agg(F.count("*").alias("_hits"))
     total = 2 * (x1 - x0 + y1 - y0)
-    return kept.join(hits, [*key, box], "left").select(*key, box, (F.coalesce("_hits", F.lit(0)) / total).alias("share"))
+    return kept.join(dealt(hits), [*key, box], "left").select(*key, box, (F.coalesce("_hits", F.lit(0)) / total).alias("share"))

@@ -18,6 +18,7 @@ from .images import resource_of
 from .layout import count_word, islands, match_icons, merge_numbers, name_start
 from .reconcile import match_names
 from .regions import clipped, in_boxes, whole
+from .tables import dealt
 
 # How far above the totals the list ends and how near to the counts' column a number must be (in units, and
 # at least in pixels), the least frame density of a row without a column, the header's margins, the phrases of an empty
@@ -125,7 +126,7 @@ def cost_values(tokens: DataFrame, pixels: DataFrame, key: list[str]) -> DataFra
     inside = in_boxes(pixels, boxes, key)
     icons = resource_of(inside, [*key, "pos", "w"]).filter("resource IS NOT NULL").groupBy(*key, "pos").agg(F.min_by("resource", "w").alias("resource"))
     bare = F.contains("text", F.lit(".")) & ~suffix.rlike("[KkMmBb]") & F.col("_s").isNotNull()
-    both = read.join(icons, [*key, "pos"]).join(common, key, "left").withColumn("_v", parse_number(F.when(bare, F.concat("text", "_s")).otherwise(F.col("text"))))
+    both = read.join(dealt(icons), [*key, "pos"]).join(dealt(common), key, "left").withColumn("_v", parse_number(F.when(bare, F.concat("text", "_s")).otherwise(F.col("text"))))
     return both.select(*key, "pos", "resource", F.col("_v.value").alias("value"), F.col("_v.approx").alias("approx")).filter("value IS NOT NULL")
 
 
@@ -188,10 +189,10 @@ def column_pair(profile: DataFrame, key: list[str]) -> DataFrame:
     fits = lambda width: width.between(COLUMN_WIDTH[0] * F.col("_unit"), COLUMN_WIDTH[1] * F.col("_unit"))
     # a screen has a handful of clusters, so its pairs are few
     right = clusters.select(*key, F.col("island").alias("_i2"), F.col("_b").alias("_b2"), F.col("_w").alias("_w2"))
-    pairs = clusters.join(right, key).filter((F.col("_i2") > F.col("island")) & fits(F.col("_b2") - F.col("_a")))
+    pairs = clusters.join(dealt(right), key).filter((F.col("_i2") > F.col("island")) & fits(F.col("_b2") - F.col("_a")))
     best = pairs.groupBy(*key).agg(F.max_by(F.struct(F.col("_a").alias("left"), F.col("_b2").alias("right")), F.struct(F.col("_w") + F.col("_w2"), -F.col("island"), -F.col("_i2"))).alias("_p"))
     wide = clusters.groupBy(*key).agg(F.max_by(F.struct("_a", "_b", "_unit"), F.struct("_n", -F.col("island"))).alias("_c")).select(*key, "_c.*").filter(fits(F.col("_b") - F.col("_a")))
-    return best.join(wide, key, "full").select(*key, F.coalesce("_p.left", "_a").alias("left"), F.coalesce("_p.right", "_b").alias("right"))
+    return best.join(dealt(wide), key, "full").select(*key, F.coalesce("_p.left", "_a").alias("left"), F.coalesce("_p.right", "_b").alias("right"))
 
 
 def frame_runs(profile: DataFrame, key: list[str], gap: Column | float) -> DataFrame:

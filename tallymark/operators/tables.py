@@ -28,3 +28,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled whatever Spark takes its size to be.
+
+    That is the size of the files that it is scanned from, and neither what they hold when they compress a hundredfold, as
+    pixels do, nor what is exploded from them; a broadcast chosen by it is gathered in the driver.
+    """
+    return df.hint("merge")

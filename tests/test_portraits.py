@@ -75,3 +75,28 @@ def test_the_reach_of_a_column_is_in_pixels_of_the_original(spark):
     tops = spark.createDataFrame([(1, 400, 460)], "image_id long, wounded_top int, ram_top int")
     read = lambda anchors: [r.line_no for r in screens.unnamed_rows(lines, d.units(spark), anchors, ["image_id"]).collect()]
     assert read(tops) == [1] and read(tops.withColumn("scale", F.lit(2.0))) == []
+
+
+def stored_screen(spark, tmp_path):
+    """rows, pixels and images of 40 screens, as scanned from files far smaller than what they hold."""
+    px = spark.range(40).selectExpr("id AS img", "explode(sequence(40, 64)) AS x").selectExpr("img", "x", "explode(sequence(32, 54)) AS y", "220 AS r", "180 AS g", "40 AS b")
+    rows = spark.range(40).selectExpr("id AS img", "0L AS line_no", "40d AS centre", "74d AS name_left", "20d AS unit")
+    for name, df in (("pixels", px.filter("x IN (40, 41, 63, 64) OR y IN (32, 33, 53, 54)")), ("rows", rows), ("images", rows.selectExpr("img", "200 AS width", "560 AS height"))):
+        df.write.parquet(f"{tmp_path}/{name}")
+    return [spark.read.parquet(f"{tmp_path}/{name}") for name in ("rows", "pixels", "images")]
+
+
+def plan_of(spark, df):
+    """The plan of df where Spark may broadcast whatever it takes to be under 1 GB."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        return df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_column_is_fitted_without_a_broadcast(spark, tmp_path):
+    rows, pixels, images = stored_screen(spark, tmp_path)
+    fit = lambda: portraits.column_fit(rows, portraits.frame_pixels(pixels, ["img"]), images, ["img"])
+    assert "SortMergeJoin" in (plan := plan_of(spark, fit)) and "Broadcast" not in plan
+    assert {tuple(r)[1:] for r in fit().collect()} == {(40, 64, 3.0, 22.0)}
