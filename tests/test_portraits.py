@@ -100,3 +100,10 @@ def test_the_column_is_fitted_without_a_broadcast(spark, tmp_path):
     fit = lambda: portraits.column_fit(rows, portraits.frame_pixels(pixels, ["img"]), images, ["img"])
     assert "SortMergeJoin" in (plan := plan_of(spark, fit)) and "Broadcast" not in plan
     assert {tuple(r)[1:] for r in fit().collect()} == {(40, 64, 3.0, 22.0)}
+
+
+def test_portraits_are_read_without_a_broadcast(spark, tmp_path):
+    rows, pixels, images = stored_screen(spark, tmp_path)
+    read = lambda: portraits.read_portraits(rows, pixels, images, ["img"])
+    assert "SortMergeJoin" in (plan := plan_of(spark, read)) and "Broadcast" not in plan
+    assert {tuple(r)[5:] for r in read().collect()} == {(40, 32, 64, 54, None, False)}
