@@ -31,11 +31,17 @@ def _grid(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column) -> Data
     return df.withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1)))
 
 
+def _parts(spark: SparkSession, sf_dir: str, *columns: str, per: int) -> DataFrame:
+    """part with `per` of its keys to an img. The file is small and what is drawn from it is not, so it is dealt by img."""
+    p = _t(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / per).alias("img"), "p_partkey", *columns)
+    return p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "img")
+
+
 def _list_screens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, pixels, images): eight parts to a screen. The fourth has no lower edge of its frame and the sixth no frame at
     all; beside every part of a size that four divides the panel has the portrait's colour."""
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    rows = p.select(F.floor(F.col("p_partkey") / 8).alias("img"), (F.col("p_partkey") % 8).alias("line_no"), "p_type", "p_size")
+    p = _parts(spark, sf_dir, "p_type", "p_size", per=8)
+    rows = p.select("img", (F.col("p_partkey") % 8).alias("line_no"), "p_type", "p_size")
     rows = rows.withColumns({"left": 40 + F.col("img") % 7, "mid": 40 + 60 * F.col("line_no")})
     px = _grid(rows, F.col("left") - 13, F.col("left") + 24, F.col("mid") - 8, F.col("mid") + 14)
     dx, dy, line = F.col("x") - F.col("left"), F.col("y") - F.col("mid"), F.col("line_no")
@@ -88,12 +94,12 @@ ICON_OF = {"ECONOMY": "food", "SMALL": "wood", "MEDIUM": "stone", "LARGE": "gold
 def _cost_strips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(tokens, pixels): four parts to a strip, with an icon in the first window beside the token, in the second, in both or
     in none; a fifth of the tokens are no numbers and another fifth have lost their suffix."""
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    p = _parts(spark, sf_dir, "p_type", "p_size", per=4)
     k, m = F.col("p_partkey"), F.col("p_partkey") % 7
     bare = F.concat((k % 90 + 10).cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string"))
     text = F.when(F.col("p_size") % 5 == 0, "x").when(F.col("p_size") % 5 == 1, bare).otherwise(F.concat(k.cast("string"), F.lit("K")))
     kind = F.coalesce(*[F.when(F.col("p_type") == a, F.lit(b)) for a, b in ICON_OF.items()])
-    tokens = p.select(F.floor(k / 4).alias("img"), (k % 4).alias("pos"), text.alias("text"), (100 + 150 * (k % 4)).cast("double").alias("left"), F.lit(20.0).alias("top"), F.lit(20.0).alias("height"), F.lit(40.0).alias("unit"), m.alias("m"), kind.alias("kind"))
+    tokens = p.select("img", (k % 4).alias("pos"), text.alias("text"), (100 + 150 * (k % 4)).cast("double").alias("left"), F.lit(20.0).alias("top"), F.lit(20.0).alias("height"), F.lit(40.0).alias("unit"), m.alias("m"), kind.alias("kind"))
     near = F.when(F.col("m").isin(0, 1, 5, 6), F.struct(F.lit(10).alias("at"), F.col("kind").alias("icon")))
     far = F.when(F.col("m").isin(2, 3), F.struct(F.lit(-33).alias("at"), F.col("kind").alias("icon"))).when(F.col("m").isin(5, 6), F.struct(F.lit(-33).alias("at"), F.lit("stone").alias("icon")))
     icons = tokens.select("img", F.col("left").cast("long").alias("left"), F.explode(F.array_compact(F.array(near, far))).alias("i"))
@@ -118,9 +124,9 @@ SELECT p_partkey // 8 AS img, 10 + p_size AS "left", 5 + 80 * (p_partkey % 8) AS
 )
 def icon_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with a gap of one pixel in each side, narrow ones, tall ones, and specks."""
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = _parts(spark, sf_dir, "p_size", per=8)
     k, s = F.col("p_partkey"), F.col("p_size")
-    boxes = p.select(F.floor(k / 8).alias("img"), (10 + s).alias("left"), (5 + 80 * (k % 8)).alias("top"), F.when(s % 4 == 0, 19).otherwise(20 + s % 9).alias("w"), F.when(s % 7 == 0, 60).otherwise(22 + s % 5).alias("h"))
+    boxes = p.select("img", (10 + s).alias("left"), (5 + 80 * (k % 8)).alias("top"), F.when(s % 4 == 0, 19).otherwise(20 + s % 9).alias("w"), F.when(s % 7 == 0, 60).otherwise(22 + s % 5).alias("h"))
     dx, dy = F.col("x") - F.col("left"), F.col("y") - F.col("top")
     edge = ((dx == 0) | (dx == F.col("w")) | (dy == 0) | (dy == F.col("h"))) & (dx != 9) & (dy != 11) & (dx <= F.col("w"))
     speck = (dx == F.col("w") + 6) & (dy % 7 == 0)

@@ -96,14 +96,24 @@ def plan_of(spark, df):
 
 
 def test_the_column_is_fitted_without_a_broadcast(spark, tmp_path):
-    rows, pixels, images = stored_screen(spark, tmp_path)
-    fit = lambda: portraits.column_fit(rows, portraits.frame_pixels(pixels, ["img"]), images, ["img"])
+    rows, pixels, sizes = stored_screen(spark, tmp_path)
+    fit = lambda: portraits.column_fit(rows, portraits.frame_pixels(pixels, ["img"]), sizes, ["img"])
     assert "SortMergeJoin" in (plan := plan_of(spark, fit)) and "Broadcast" not in plan
     assert {tuple(r)[1:] for r in fit().collect()} == {(40, 64, 3.0, 22.0)}
 
 
 def test_portraits_are_read_without_a_broadcast(spark, tmp_path):
-    rows, pixels, images = stored_screen(spark, tmp_path)
-    read = lambda: portraits.read_portraits(rows, pixels, images, ["img"])
+    rows, pixels, sizes = stored_screen(spark, tmp_path)
+    read = lambda: portraits.read_portraits(rows, pixels, sizes, ["img"])
     assert "SortMergeJoin" in (plan := plan_of(spark, read)) and "Broadcast" not in plan
     assert {tuple(r)[5:] for r in read().collect()} == {(40, 32, 64, 54, None, False)}
+
+
+def test_costs_are_read_without_a_broadcast(spark, tmp_path):
+    icon = spark.range(40).selectExpr("id AS img", "explode(sequence(110, 121)) AS x").selectExpr("img", "x", "explode(sequence(20, 39)) AS y", "40 AS r", "200 AS g", "60 AS b")
+    icon.write.parquet(f"{tmp_path}/pixels")
+    spark.range(40).selectExpr("id AS img", "0L AS pos", "'7K' AS text", "100d AS left", "20d AS top", "20d AS height", "40d AS unit").write.parquet(f"{tmp_path}/tokens")
+    tokens, pixels = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("tokens", "pixels"))
+    costs = lambda: screens.cost_values(tokens, pixels, ["img"])
+    assert "SortMergeJoin" in (plan := plan_of(spark, costs)) and "Broadcast" not in plan
+    assert sorted(tuple(r) for r in costs().collect()) == [(i, 0, "food", 7000, True) for i in range(40)]
