@@ -1,17 +1,21 @@
 """Colours, icons and glyphs from tables of pixels (image_id, box_id, x, y, r, g, b).
 
 Hue, saturation and value are column arithmetic and every decision is a histogram per box or a join, so the pixels stay in
-the JVM.
+the JVM, but for the frame pixels of `frame_blobs`, which meet by tile in Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.sources.dimensions import RESOURCES
 
-from .layout import islands
 from .tables import dealt, kept
 
 # The tier of a colour, and the least share of it.
@@ -122,32 +126,99 @@ def glyph_bits(pixels: DataFrame, key: list[str]) -> DataFrame:
     return good.select(*key, F.transform(F.sequence(F.lit(0), F.lit(15)), word).alias("bits"))
 
 
-def frame_blobs(pixels: DataFrame, key: str = "image_id", reach: int = 2, side: int = 20, aspect: tuple[float, float] = (0.6, 1.7)) -> DataFrame:
+def _tile_blobs(reach: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over pixels (key, tx, ty, x, y) sorted by key and tile: the connected pixels of each tile, and which it shares."""
+    wide, high = tile + 3 * reach, tile + 2 * reach
+
+    def blobs(b: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        tx, ty, x, y = (b.column(c).to_numpy() for c in ("tx", "ty", "x", "y"))
+        at, row = np.unique((group * high + y - ty * tile) * wide + x - tx * tile, return_index=True)
+        line, lx = np.divmod(at, wide)
+        first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (lx[1:] - lx[:-1] > reach)])
+        last = np.r_[first[1:], len(at)] - 1
+        u, v = [], []
+        for d in range(1, reach + 1):  # runs of a line so far below that come as near
+            low = np.searchsorted(at[last], (line[first] + d) * wide + np.maximum(lx[first] - reach, 0))
+            n = np.searchsorted(at[first], (line[first] + d) * wide + np.minimum(lx[last] + reach, wide - 1), "right") - low
+            u.append(np.repeat(np.arange(len(n)), n))
+            v.append(np.arange(len(u[-1])) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
+        u, v, label = np.concatenate(u), np.concatenate(v), np.arange(len(first))
+        while len(u):
+            low = np.minimum(label[u], label[v])
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while (label[label] != label).any():
+                label = label[label]
+            apart = label[u] != label[v]
+            u, v = u[apart], v[apart]
+        x, y, key = x[row], y[row], b.column(0).take(pa.array(row[first]))
+        shared = (lx < reach) | (lx >= tile) | (line % high < reach) | (line % high >= tile)
+        of = np.repeat(label, last - first + 1)
+        root = np.unique(label)
+        box = [np.full(len(first), s * 2**62) for s in (1, 1, -1, -1)]
+        for out, value, fn in zip(box, (x[first], y[first], x[last], y[first]), (np.minimum, np.minimum, np.maximum, np.maximum)):
+            fn.at(out, label, value)
+        open_ = np.zeros(len(first), dtype=bool)
+        open_[of[shared]] = True
+        whose = np.r_[root, of[shared]]
+        none = np.zeros(len(root), dtype=np.int64)
+        edge = [pa.array(np.r_[none, c[shared]], mask=np.r_[none == 0, np.zeros(shared.sum(), dtype=bool)]) for c in (x, y)]
+        return pa.RecordBatch.from_arrays([key.take(pa.array(whose)), *(pa.array(c[whose]) for c in (y[first], x[first], *box, open_)), *edge], [b.schema.names[0], *_BLOB])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            b = pa.concat_batches([held, b]) if held else b
+            if not b.num_rows:
+                continue
+            parts = [b.column(0).dictionary_encode().indices.to_numpy(), b.column("tx").to_numpy(), b.column("ty").to_numpy()]
+            group = np.cumsum(np.r_[False, np.any([p[1:] != p[:-1] for p in parts], axis=0)])
+            start = int(np.searchsorted(group, group[-1]))  # the last tile may go on in the next batch
+            if start:
+                yield blobs(b.slice(0, start), group[:start])
+            held = b.slice(start)
+            if held.num_rows > 2 * high * wide:  # rows that repeat a pixel
+                x, y = (held.column(c).to_numpy() for c in ("x", "y"))
+                held = held.take(pa.array(np.unique(np.stack([x, y]), axis=1, return_index=True)[1]))
+        if held:
+            yield blobs(held, np.zeros(held.num_rows, dtype=np.int64))
+
+    return run
+
+
+_BLOB = ["y0", "x0", "left", "top", "right", "bottom", "open", "px", "py"]
+
+
+def frame_blobs(pixels: DataFrame, key: str = "image_id", reach: int = 2, side: int = 20, aspect: tuple[float, float] = (0.6, 1.7), tile: int = 512) -> DataFrame:
     """key and the boxes (left, top, right, bottom) of the connected frame pixels that are icons by size and shape.
 
-    Pixels up to `reach` apart in both directions are neighbours. The pixels of a line are runs, intervals that an ordered
-    window finds; runs of lines up to `reach` apart that come as near to each other are linked, by a join on line and tile;
-    the least label then spreads over the links, both along a link and from a label to the label's own, which halves the
-    way that is left, until a round changes nothing. So the work is by runs, and no image is gathered in one task.
+    Pixels up to `reach` apart in both directions are neighbours. An image is dealt by tiles, and a tile also gets what lies
+    up to `reach` right of it and below, so every pair of neighbours meets in one. A task connects the pixels of a tile, which
+    its area bounds; a blob is named by its first pixel. Blobs of two tiles that share a pixel are linked, and the least name
+    then spreads over these links, both along a link and from a name to the name's own, which halves the way that is left,
+    until a round changes nothing. Only what reaches a tile's edge takes part in that, and no image is gathered in one task.
     """
-    lit = hsv(pixels).filter(is_frame()).select(key, F.col("x").cast("long"), F.col("y").cast("long")).distinct()
-    spans = islands(lit, [key, "y"], "x", reach).groupBy(key, "y", "island").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("island")
-    runs = kept(spans.withColumn("run", F.struct("y", "a")))
-    tile = 32
-    near = runs.select(key, "run", F.explode(F.array(*[F.col("y") + d for d in range(1, reach + 1)])).alias("_y"), F.col("a").alias("_a"), F.col("b").alias("_b")).withColumn("_t", F.explode(F.sequence(F.floor((F.col("_a") - reach) / tile), F.floor((F.col("_b") + reach) / tile))))
-    laid = runs.select(key, F.col("run").alias("other"), F.col("y").alias("_y"), "a", "b").withColumn("_t", F.explode(F.sequence(F.floor(F.col("a") / tile), F.floor(F.col("b") / tile))))
-    links = near.join(laid, [key, "_y", "_t"]).filter((F.col("a") <= F.col("_b") + reach) & (F.col("b") >= F.col("_a") - reach)).select(key, "run", "other").distinct()
-    both = kept(links.union(links.select(key, "other", "run")))
-    label = kept(runs.select(key, "run", F.col("run").alias("label")))
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor(F.col(c) / tile)))
+    lit = hsv(pixels).filter(is_frame()).select(key, F.col("x").cast("long"), F.col("y").cast("long")).dropna()
+    placed = lit.withColumn("tx", tiles("x")).withColumn("ty", tiles("y")).select(key, "tx", "ty", "x", "y")
+    kind = T.StructType([placed.schema[key], *(T.StructField(c, T.BooleanType() if c == "open" else T.LongType()) for c in _BLOB)])
+    found = placed.repartition(key, "tx", "ty").sortWithinPartitions(key, "tx", "ty").mapInArrow(_tile_blobs(reach, tile), kind).withColumn("name", F.struct("y0", "x0"))
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    icon = (w >= side) & (h >= side) & (w / h).between(*aspect)
+    found = kept(found.filter(F.col("open") | icon))
+    met = found.filter("px IS NOT NULL").groupBy(key, "px", "py").agg(F.min("name").alias("other"), F.collect_set("name").alias("_all"))
+    links = met.select(key, F.explode("_all").alias("name"), "other").filter("name <> other").distinct()
+    both = kept(links.union(links.select(key, "other", "name")))
+    label = kept(both.select(key, "name", F.col("name").alias("label")).distinct())
     while True:
-        by_link = both.join(label.select(key, F.col("run").alias("other"), "label"), [key, "other"]).select(key, "run", "label")
-        by_label = label.select(key, "run", F.col("label").alias("at")).join(label.select(key, F.col("run").alias("at"), "label"), [key, "at"]).select(key, "run", "label")
-        lowest = by_link.union(by_label).union(label).groupBy(key, "run").agg(F.min("label").alias("label"))
-        after = kept(lowest.join(label.withColumnRenamed("label", "_was"), [key, "run"]))
+        by_link = both.join(dealt(label.select(key, F.col("name").alias("other"), "label")), [key, "other"]).select(key, "name", "label")
+        by_label = label.select(key, "name", F.col("label").alias("at")).join(dealt(label.select(key, F.col("name").alias("at"), "label")), [key, "at"]).select(key, "name", "label")
+        lowest = by_link.union(by_label).union(label).groupBy(key, "name").agg(F.min("label").alias("label"))
+        after = kept(lowest.join(dealt(label.withColumnRenamed("label", "_was")), [key, "name"]))
         changed = after.filter(F.col("label") != F.col("_was")).limit(1).count()
         label = after.drop("_was")
         if not changed:
             break
-    boxes = runs.join(label, [key, "run"]).groupBy(key, "label").agg(F.min("a").alias("left"), F.min("y").alias("top"), F.max("b").alias("right"), F.max("y").alias("bottom"))
-    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
-    return boxes.filter((w >= side) & (h >= side) & (w / h).between(*aspect)).drop("label")
+    named = found.filter("px IS NULL").join(dealt(label), [key, "name"], "left").withColumn("label", F.coalesce("label", "name"))
+    boxes = named.groupBy(key, "label").agg(*[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), ("left", "top", "right", "bottom"))])
+    return boxes.filter(icon).drop("label")

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallymark.operators import portraits, regions, screens
+from tallymark.operators import images, portraits, regions, screens
 
 PIXEL = "img long, x int, y int, r int, g int, b int"
 GOLD, WHITE, PURPLE = (220, 180, 40), (250, 250, 250), (140, 40, 200)
@@ -117,3 +117,38 @@ def test_costs_are_read_without_a_broadcast(spark, tmp_path):
     costs = lambda: screens.cost_values(tokens, pixels, ["img"])
     assert "SortMergeJoin" in (plan := plan_of(spark, costs)) and "Broadcast" not in plan
     assert sorted(tuple(r) for r in costs().collect()) == [(i, 0, "food", 7000, True) for i in range(40)]
+
+
+def connected(pixels, reach):
+    """Boxes of the connected pixels of each image, whatever their size."""
+    out, left = [], set(pixels)
+    while left:
+        todo = [left.pop()]
+        group = list(todo)
+        while todo:
+            i, x, y = todo.pop()
+            near = {(i, x + a, y + b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)} & left
+            left -= near
+            todo += near
+            group += near
+        xs, ys = [p[1] for p in group], [p[2] for p in group]
+        out.append((group[0][0], min(xs), min(ys), max(xs), max(ys)))
+    return sorted(out)
+
+
+def test_blobs_go_on_over_the_edges_of_tiles(spark):
+    r = random.Random(3)
+    some = [(i, r.randint(-30, 50), r.randint(-30, 50)) for i in range(3) for _ in range(700)]
+    snake = [(9, x, y) for x in range(0, 60, 4) for y in range(60)] + [(9, x + d, 59 * (x // 4 % 2)) for x in range(0, 56, 4) for d in range(4)]
+    for reach, tile in ((1, 8), (2, 7), (2, 512), (3, 16)):
+        df = spark.createDataFrame([(*p, *GOLD) for p in some + snake + some[:50]], PIXEL).repartition(4)
+        got = images.frame_blobs(df, "img", reach, side=1, aspect=(0, 1e9), tile=tile).collect()
+        assert sorted(tuple(b) for b in got) == [b for b in connected(some + snake, reach) if b[3] > b[1] and b[4] > b[2]]
+
+
+def test_blobs_inside_a_tile_are_written_once(spark, monkeypatch):
+    df = spark.range(30).selectExpr("CAST(id AS string) AS img", "explode(sequence(40, 64)) AS x").selectExpr("img", "x", "explode(sequence(32, 56)) AS y", "220 AS r", "180 AS g", "40 AS b").filter("x IN (40, 64) OR y IN (32, 56)")
+    written, kept = [], images.kept
+    monkeypatch.setattr(images, "kept", lambda d: written.append(kept(d)) or written[-1])
+    assert sorted(tuple(b)[1:] for b in images.frame_blobs(df, "img").collect()) == 30 * [(40, 32, 64, 56)]
+    assert sum(d.count() for d in written) == 30  # the 48 runs of a frame were, in each round
