@@ -69,6 +69,16 @@ def test_the_stage_drops_edited_copies(spark):
     assert sorted(x.doc_id for x in kept.collect()) == list(range(20))
 
 
+def test_the_stage_drops_copies_without_an_id_and_keeps_other_texts_of_an_id(spark):
+    r = random.Random(8)
+    a, b, c, e = (" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (7, a), (None, b), (None, b), (None, b.upper()), (7, c), (3, c), (7, e), (None, None), (9, "")]
+    df = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, n_chars long").repartition(3)
+    kept = [tuple(x) for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    assert {x[:2] for x in kept if x[1] not in (b, b.upper())} == {(7, a), (3, c), (7, e), (9, "")}
+    assert [x[0] for x in kept if x[1] in (b, b.upper())] == [None] and len(kept) == 5
+
+
 def test_empty(spark):
     assert neardup.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
