@@ -7,13 +7,17 @@ if there is a frame at that place. Everything is a join on tiles or an aggregati
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.sources.dimensions import GLYPH_MARGIN as CLEAR
-from tallymark.sources.dimensions import GLYPH_SCORE, small
+from tallymark.sources.dimensions import GLYPH_SCORE
 
-from .choose import agreement, classify_glyphs
+from .choose import classify_glyphs
 from .images import glyph_bits, hsv, is_frame, tier_of
 from .layout import islands
 from .regions import SIDES, clipped, in_boxes, ring_share, whole
@@ -29,6 +33,8 @@ HANGS, TALL, RING = 0.45, 1.2, 0.4
 INSET, BAND, BESIDE = 0.20, (0.14, 0.34), (0.55, 0.12)
 GLYPH_HALF, GLYPH_MARGIN = 0.42, 2
 LINE = "line_no"
+#: Blocks of distinct glyphs that are compared in pairs: at most so many, unless they grow beyond the most rows; the least rows of one.
+BLOCKS, BLOCK_MOST, BLOCK_LEAST = 32, 65_536, 4096
 
 
 def frame_pixels(pixels: DataFrame, key: list[str]) -> DataFrame:
@@ -145,21 +151,57 @@ def learn_templates(glyphs: DataFrame) -> DataFrame:
     return glyphs.filter("class IS NOT NULL AND bits IS NOT NULL").select("class", "bits").distinct()
 
 
+def _nearest_classes(group: pa.Table) -> pa.Table:
+    """Over glyphs and templates (shown: whether it is a glyph) of one length: each glyph's two nearest classes and by how many bits they differ."""
+    group = group.combine_chunks()
+    glyphs, others = group.filter(group["shown"]), group.filter(pc.invert(group["shown"]))
+    w = group["w"][0].as_py()
+    words = lambda t: t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, w)
+    found = others["class"].combine_chunks().dictionary_encode() if len(others) else pa.DictionaryArray.from_arrays(pa.array([], pa.int32()), group["class"].combine_chunks().slice(0, 0))
+    by_name = pc.sort_indices(found.dictionary).to_numpy()
+    code = np.argsort(by_name)[found.indices.to_numpy()]
+    order = np.argsort(code, kind="stable")
+    starts, ids = np.searchsorted(code[order], np.arange(len(by_name))), others["id"].to_numpy()[order]
+    a, b, own, n = words(glyphs), words(others)[order], glyphs["id"].to_numpy(), glyphs["n"].to_numpy()
+    whose = np.argsort(ids)
+    least, out, step = 64 * w + 1, [], max(1, (1 << 20) // max(1, len(b)))
+    for k in range(0, len(a) if len(b) else 0, step):
+        differ = np.zeros((len(a[k : k + step]), len(b)), dtype=np.uint16 if w < 1000 else np.int32)
+        for c in range(w):
+            differ += np.bitwise_count(a[k : k + step, c, None] ^ b[:, c])
+        at = np.minimum(np.searchsorted(ids, own[k : k + step], sorter=whose), len(ids) - 1)
+        alone = np.flatnonzero((ids[whose[at]] == own[k : k + step]) & (n[k : k + step] == 1))
+        differ[alone, whose[at[alone]]] = least
+        per, rows = np.minimum.reduceat(differ, starts, axis=1), np.arange(len(differ))
+        for _ in range(2):
+            first = per.argmin(axis=1)  # of equals the first by name
+            good = per[rows, first] < least
+            out.append((own[k : k + step][good], first[good], per[rows, first][good]))
+            per[rows, first] = least
+    whole = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, dtype=np.int64) for c in range(3)]
+    return pa.table({"id": pa.array(whole[0], pa.int64()), "_class": found.dictionary.take(pa.array(by_name)).take(pa.array(whole[1], pa.int64())), "_d": pa.array(whole[2].astype(np.int64))})
+
+
 def check_templates(glyphs: DataFrame, key: list[str], score: float = GLYPH_SCORE, margin: float = CLEAR) -> DataFrame:
     """key, class, found and outcome (agree, differ or unknown): each labelled glyph classified by all the others.
 
     A glyph's own template does not vouch for it unless another glyph of its class has the same. Equal glyphs are judged
-    once, and a counted small table of templates is broadcast.
+    once. Every glyph meets every template of its length: both are dealt to blocks, and a task compares a pair of blocks and
+    puts out the two nearest classes of each glyph, of which those of all blocks are among the two nearest.
     """
     shown = glyphs.filter("class IS NOT NULL AND bits IS NOT NULL")
-    counted = shown.groupBy("class", "bits").agg(F.count("*").alias("_n"))
-    others = counted.select(F.col("class").alias("_class"), F.col("bits").alias("_bits"), "_n")
-    itself = (F.col("_class") == F.col("class")) & (F.col("_bits") == F.col("bits")) & (F.col("_n") == 1)
-    met = counted.select("class", "bits").join(small(others), F.size("bits") == F.size("_bits")).filter(~itself)
-    scored = met.groupBy("class", "bits", "_class").agg(F.max(agreement(F.col("bits"), F.col("_bits"))).alias("_s"))
+    counted = kept(shown.groupBy("class", "bits").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    rows = counted.count()
+    blocks = max(1, -(-rows // BLOCK_MOST), min(BLOCKS, -(-rows // BLOCK_LEAST)))
+    whole = counted.filter(~F.exists("bits", lambda x: x.isNull()) & (F.size("bits") > 0)).select("id", "class", F.col("bits").cast("array<long>").alias("bits"), "n", F.size("bits").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    side = lambda i, j, is_glyph: whole.select("id", "class", "bits", "n", "w", i.alias("i"), j.alias("j"), F.lit(is_glyph).alias("shown"))
+    pairs = side(F.col("own"), every, True).union(side(every, F.col("own"), False)).repartition(blocks * blocks, "w", "i", "j").groupBy("w", "i", "j")
+    near = pairs.applyInArrow(_nearest_classes, T.StructType([T.StructField("id", T.LongType()), T.StructField("_class", counted.schema["class"].dataType), T.StructField("_d", T.LongType())]))
+    scored = near.groupBy("id", "_class").agg(F.min("_d").alias("_d")).join(dealt(counted), "id").select("class", "bits", "_class", (1 - F.col("_d") / (64 * F.size("bits"))).alias("_s"))
     ranked = scored.withColumn("_rn", F.row_number().over(Window.partitionBy("class", "bits").orderBy(F.desc("_s"), "_class")))
     best = ranked.groupBy("class", "bits").agg(F.max(F.when(F.col("_rn") == 1, F.col("_s"))).alias("_1"), F.coalesce(F.max(F.when(F.col("_rn") == 2, F.col("_s"))), F.lit(0.0)).alias("_2"), F.max(F.when(F.col("_rn") == 1, F.col("_class"))).alias("_found"))
     sure = (F.col("_1") >= score) & (F.col("_1") - F.col("_2") >= margin)
-    out = shown.select(*key, "class", "bits").join(best, ["class", "bits"], "left").withColumn("found", F.when(sure, F.col("_found")))
+    out = shown.select(*key, "class", "bits").join(dealt(best), ["class", "bits"], "left").withColumn("found", F.when(sure, F.col("_found")))
     outcome = F.when(F.col("found").isNull(), "unknown").when(F.col("found") == F.col("class"), "agree").otherwise("differ")
     return out.select(*key, "class", "found", outcome.alias("outcome"))

@@ -152,3 +152,21 @@ def test_blobs_inside_a_tile_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(images, "kept", lambda d: written.append(kept(d)) or written[-1])
     assert sorted(tuple(b)[1:] for b in images.frame_blobs(df, "img").collect()) == 30 * [(40, 32, 64, 56)]
     assert sum(d.count() for d in written) == 30  # the 48 runs of a frame were, in each round
+
+
+def test_templates_of_several_blocks_and_lengths_match_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(k, r.choice("BCA"), [r.getrandbits(64) - 2**63 for _ in range(n)]) for n in (1, 2, 3) for k in range(100 * n, 100 * n + 40)]
+    rows += [(500 + k, r.choice("ABC"), [b ^ (1 << r.randrange(62)) for b in rows[k][2]]) for k in range(0, 120, 3)] + [(700 + k, *rows[k][1:]) for k in range(0, 30, 7)]
+    rows += [(800, "A", None), (801, None, [1]), (802, "D", [1] * 9), (803, "A", [None, 1]), (804, "A", [-1] * 5), (805, "B", [-2] * 5)]
+
+    def found(i, bits):
+        same = [(c, sum((x ^ y).bit_count() if (x ^ y) >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(bits, b)) / (64 * len(b))) for j, c, b in rows if j != i and c and b and None not in b and len(b) == len(bits)]
+        best = sorted((d, c) for c, d in {c: min(d for e, d in same if e == c) for c, _ in same}.items())
+        return best[0][1] if best and best[0][0] <= 0.34 and (best[1][0] if len(best) > 1 else 1) - best[0][0] >= 0.03 else None
+
+    monkeypatch.setattr(portraits, "BLOCK_LEAST", 20)
+    out = portraits.check_templates(spark.createDataFrame(rows, "id int, class string, bits array<bigint>").repartition(3), ["id"], 0.66, 0.03)
+    want = {i: None if None in b else found(i, b) for i, c, b in rows if c and b}
+    assert {x.id: x.found for x in out.collect()} == want and len({*want.values()}) == 4
+    assert "bit_count" not in out._jdf.queryExecution().executedPlan().toString()  # no row for a pair
